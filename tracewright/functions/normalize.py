@@ -22,7 +22,7 @@ def norm_technique(value: Column) -> Column:
 
 
 def norm_path(value: Column, case_insensitive: Column) -> Column:
-    path = F.regexp_replace(F.btrim(ws_trim(value), F.lit("'\"")), r"\\{2,}", r"\\\\")
+    path = F.regexp_replace(F.btrim(ws_trim(value), F.lit("'\"")), r"\\{2,}", r"\\")
     return F.when(case_insensitive, F.lower(path)).otherwise(path)
 
 

@@ -22,12 +22,15 @@ FORMAT_PATTERNS = {
 EDGE_TIME = r"^\((.*?)\)"
 RAW_TIME = r"msg=audit\((\d+\.\d+):\d+\)"
 
-_WINDOWS_PARTS = r"^(\d+)/(\d+)/(\d+) (\d+):(\d+):(\d+) ([AP])M$"
+_WHITESPACE = " \t\n\r\f\u000b"
+_WINDOWS_CLOCK = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (0?[1-9]|1[0-2]):(\d{2}):(\d{2}) [AP]M$"
+# Every format but the epoch becomes ``y-m-d h:m[:s]`` text and shares one cast.
+_CALENDAR = "|".join(f"(?:{FORMAT_PATTERNS[f]})" for f in ("iso", "iso_minute", "iso_offset")) + f"|(?:{_WINDOWS_CLOCK})"
 
 
 def ws_trim(text: Column) -> Column:
-    """Strip all leading and trailing whitespace (SQL ``trim`` strips spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Strip all leading and trailing ASCII whitespace (SQL ``trim`` strips spaces only)."""
+    return F.btrim(text, F.lit(_WHITESPACE))
 
 
 def classify_format(raw: Column) -> Column:
@@ -49,29 +52,22 @@ def _from_epoch(value: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_ZONE), start + seconds)
 
 
-def _from_windows(value: Column) -> Column:
-    month, day, year, hour, minute, second = (
-        F.regexp_extract(value, _WINDOWS_PARTS, i).try_cast("int") for i in range(1, 7)
-    )
-    afternoon = F.when(F.regexp_extract(value, _WINDOWS_PARTS, 7) == "P", 12).otherwise(0)
-    clock_ok = hour.between(1, 12) & (second < 60)
-    return F.when(
-        clock_ok,
-        F.try_make_timestamp_ntz(year, month, day, F.pmod(hour, F.lit(12)) + afternoon, minute, second),
-    )
+def _half_day(value: Column) -> Column:
+    """Hours between the clock as written and the 24-hour clock: 12 AM is 0, 1 PM is 13."""
+    hours = F.when(value.rlike(r" 12:.*AM$"), -12).when(value.rlike(r" (?!12:).*PM$"), 12).otherwise(0)
+    return F.make_dt_interval(F.lit(0), hours)
 
 
 def parse_record_time(raw: Column) -> Column:
-    """Any recognised format to wall clock. Impossible dates give null. An offset is not applied."""
+    """Any recognised format to wall clock. Impossible dates give null. An offset is not applied.
+
+    The expression is kept small: it is evaluated for every log line and must fit generated code.
+    """
     value = ws_trim(raw)
-    return (
-        F.when(value.rlike(FORMAT_PATTERNS["epoch"]), _from_epoch(value))
-        .when(value.rlike(FORMAT_PATTERNS["windows"]), _from_windows(value))
-        .when(value.rlike(FORMAT_PATTERNS["iso"]) | value.rlike(FORMAT_PATTERNS["iso_minute"]), _ntz(value))
-        .when(
-            value.rlike(FORMAT_PATTERNS["iso_offset"]),
-            _ntz(F.regexp_replace(value, r"[+-]\d{2}:\d{2}$", "")),
-        )
+    text = F.regexp_replace(value, _WINDOWS_CLOCK, r"$3-$1-$2 $4:$5:$6")
+    text = F.regexp_replace(text, r"[+-]\d{2}:\d{2}$", "")
+    return F.when(value.rlike(FORMAT_PATTERNS["epoch"]), _from_epoch(value)).when(
+        value.rlike(_CALENDAR), _ntz(text) + _half_day(value)
     )
 
 

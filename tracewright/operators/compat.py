@@ -16,7 +16,8 @@ ATTEMPT = [*SCOPE, "attempt_id"]
 def truth_pairs(annotations: DataFrame) -> DataFrame:
     """Distinct stamp x entity pairs of each record: (dataset, task, scenario, g_ts, g_entity)."""
     rows = annotations.select(*SCOPE, F.explode("timestamps").alias("g_ts"), "entities")
-    return rows.select(*SCOPE, "g_ts", E.unescape(F.explode("entities")).alias("g_entity")).distinct()
+    rows = rows.select(*SCOPE, "g_ts", F.explode("entities").alias("g_entity"))
+    return rows.withColumn("g_entity", E.unescape(F.col("g_entity"))).distinct()
 
 
 def compat_counts(scenarios: DataFrame, chunks: DataFrame, findings: DataFrame, truth: DataFrame,
@@ -115,7 +116,7 @@ def compare_scores(ours: DataFrame, theirs: DataFrame, keys: list[str], columns:
     match = F.col("in_ours").isNotNull() & F.col("in_theirs").isNotNull()
     for c in columns:
         match = match & F.col(f"ours_{c}").eqNullSafe(F.col(f"theirs_{c}"))
-    return rows.drop("in_ours", "in_theirs").withColumn("match", match)
+    return rows.withColumn("match", match).drop("in_ours", "in_theirs")
 
 
 def mismatch_totals(compared: DataFrame) -> DataFrame:

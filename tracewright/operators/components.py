@@ -16,8 +16,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     The number of rounds grows with the logarithm of the component size; each round is written to
     the shared checkpoint folder and reads back one number, the count of changed nodes.
     """
-    both = edges.select("a", "b").filter("a <> b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.filter("a <> b").select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct()
     known = nodes.select("node").distinct()
     both = both.join(known.withColumnRenamed("node", "a"), "a", "left_semi")
     both = cut_lineage(both.join(known.withColumnRenamed("node", "b"), "b", "left_semi"))
@@ -25,7 +25,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     state = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("parent")))
     for _ in range(max_rounds):
         up = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = cut_lineage(state.join(up, "parent"))  # node, parent, grand
+        jumped = state.join(up, "parent")  # node, parent, grand
         seen = jumped.select(F.col("node").alias("b"), "grand")
         best = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("best"))
         hooked = jumped.join(best, "node")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import timestamps as T
 from ..lookups import WINDOW_LINES
-from .scale import row_chunk
+from .scale import compute_once, row_chunk
 
 
 def timed_lines(lines: DataFrame) -> DataFrame:
@@ -16,11 +16,9 @@ def timed_lines(lines: DataFrame) -> DataFrame:
 
     ``lines``: rel_path, representation, line_no, line.
     """
-    return (
-        lines.withColumn("raw_time", T.extract_raw_time(F.col("line"), F.col("representation")))
-        .withColumn("ts", T.parse_record_time(F.col("raw_time")))
-        .withColumn("ts_format", F.when(F.col("ts").isNotNull(), T.classify_format(F.col("raw_time"))))
-    )
+    rows = compute_once(lines, "raw_time", T.extract_raw_time(F.col("line"), F.col("representation")))
+    rows = compute_once(rows, "ts", T.parse_record_time(F.col("raw_time")))
+    return rows.withColumn("ts_format", F.when(F.col("ts").isNotNull(), T.classify_format(F.col("raw_time"))))
 
 
 def time_profile(timed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as E
 from ..functions import timestamps as T
 from ..lookups import HIGH
+from ..session import cut_lineage
 from .evidence import entity_kind, task_precision
 from .validation import explode_findings, validate_payloads
 
@@ -65,12 +66,10 @@ def assign_findings(findings: DataFrame, units: DataFrame, targets: DataFrame, l
     names = names.withColumn("ent_norm", E.norm_entity(F.col("kind"), F.col("alias"), F.col("case_insensitive")))
     names = names.select("unit_id", "target_id", "target_order", "status", "ts_norm", "ent_norm").distinct()
     supported = F.col("status") == "supported_positive"
-    rank = F.struct(
-        (~supported).alias("_later"),
-        F.when(supported, F.col("target_order")).otherwise(-F.col("target_order")).alias("_order"),
-        "target_id", "status",
+    entry = F.struct("target_order", "target_id", "status")
+    hits = rows.join(names, ["unit_id", "ts_norm", "ent_norm"]).groupBy(*FINDING).agg(
+        F.coalesce(F.min(F.when(supported, entry)), F.max(F.when(~supported, entry))).alias("_hit")
     )
-    hits = rows.join(names, ["unit_id", "ts_norm", "ent_norm"]).groupBy(*FINDING).agg(F.min(rank).alias("_hit"))
     rows = rows.join(grounded.withColumn("_grounded", F.lit(True)), FINDING, "left").join(hits, FINDING, "left")
     before_cover = (
         F.when(F.col("verdict") != HIGH, "low_confidence")
@@ -116,7 +115,8 @@ def dense_reward(task: Column, label: Column, valid: Column, n_high: Column, n_t
 
 def grade(payloads: DataFrame, units: DataFrame, targets: DataFrame, lines: DataFrame) -> DataFrame:
     """Diagnostics row per (unit, attempt): validity, counts, both rewards, termination."""
-    checked = validate_payloads(payloads)
+    # read several times below, and small next to the lines: validate once
+    checked = cut_lineage(validate_payloads(payloads).drop("payload"))
     findings = explode_findings(checked)
     counts = match_counts(assign_findings(findings, units, targets, lines))
     wanted = targets.filter("status = 'supported_positive'").groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_targets"))

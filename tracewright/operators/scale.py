@@ -13,6 +13,16 @@ CHUNK_ROWS = 65_536
 HASH_BUCKETS = 1_024
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is evaluated once per row.
+
+    Filters and join keys on a projected column are pushed below the projection, where the optimizer
+    repeats its expression. They cannot be pushed below a generator, and exploding a one-element
+    array is one.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def row_chunk(position: Column, size: int = CHUNK_ROWS) -> Column:
     """Chunk of a dense integer position. Monotone in ``position``."""
     return F.floor(position / F.lit(size)).cast("long")

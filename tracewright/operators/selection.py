@@ -25,7 +25,7 @@ def eligible_steps(evaluations: DataFrame) -> DataFrame:
         F.when(~alert_ok, "false-alert rate above base"),
         F.when(~valid_ok, "validity below base"),
     ))
-    return rows.drop("_f0", "_v0").withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
+    return rows.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0).drop("_f0", "_v0")
 
 
 def select_step(evaluations: DataFrame) -> DataFrame:

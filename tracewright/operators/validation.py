@@ -15,6 +15,7 @@ from ..lookups import (
     FINDING_FIELD, HIGH, MAX_FINDINGS, MAX_PAYLOAD_BYTES, MAX_SOURCE_LINES, MAX_STRING, OPTIONAL_KEYS, REQUIRED_KEYS,
     VERDICTS,
 )
+from .scale import compute_once
 
 # Entity syntax.
 HOST = r"^[A-Za-z0-9][A-Za-z0-9.:\-\[\]]*$"
@@ -111,13 +112,13 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     """
     sized = F.octet_length("payload").between(1, MAX_PAYLOAD_BYTES) & F.is_valid_utf8("payload")
     wrapped = F.when(sized, F.try_parse_json(F.concat(F.lit("["), F.col("payload"), F.lit(',"__END__"]'))))
-    rows = payloads.withColumn("_v", wrapped)
+    rows = compute_once(payloads, "_v", wrapped)
     outer = F.try_variant_get("_v", "$", "array<variant>")
     alone = (F.size(outer) == 2) & (F.try_variant_get(F.get(outer, F.lit(1)), "$", "string") == "__END__")
-    rows = rows.withColumn("_json", F.when(F.coalesce(alone, F.lit(False)), F.get(outer, F.lit(0))))
+    rows = compute_once(rows, "_json", F.when(F.coalesce(alone, F.lit(False)), F.get(outer, F.lit(0))))
     items = F.try_variant_get("_json", "$", "array<variant>")
     as_map = F.transform(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
-    return rows.withColumn("items", as_map).drop("_v")
+    return compute_once(rows, "items", as_map).drop("_v")
 
 
 def validate_payloads(payloads: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def validate_payloads(payloads: DataFrame) -> DataFrame:
         ))
     )
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("violations", F.concat(whole, F.coalesce(per_item, none)))
+    rows = compute_once(rows, "violations", F.concat(whole, F.coalesce(per_item, none)))
     valid = F.size("violations") == 0
     high = F.filter("items", lambda item: _text(item["verdict"]) == HIGH)
     return rows.withColumn("schema_valid", valid).withColumn(
