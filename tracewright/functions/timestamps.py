@@ -54,7 +54,7 @@ def _from_epoch(value: Column) -> Column:
 
 def _half_day(value: Column) -> Column:
     """Hours between the clock as written and the 24-hour clock: 12 AM is 0, 1 PM is 13."""
-    hours = F.when(value.rlike(r" 12:.*AM$"), -12).when(value.rlike(r" (?!12:).*PM$"), 12).otherwise(0)
+    hours = F.when(value.rlike(r"^\S+ 12:.*AM$"), -12).when(value.rlike(r"^\S+ (?!12:).*PM$"), 12).otherwise(0)
     return F.make_dt_interval(F.lit(0), hours)
 
 

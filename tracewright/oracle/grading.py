@@ -83,20 +83,20 @@ findings AS (SELECT i.* FROM item_ok i JOIN checked c USING (unit_id, attempt_id
 def _entity(kind: str, value: str) -> str:
     return f"""CASE {kind} WHEN 'host' THEN rtrim(trim(lower(trim({value})), '[]'), '.')
       WHEN 'technique' THEN trim(regexp_replace(replace(lower({value}), '-', ' '), '\\s+', ' ', 'g'))
-      ELSE CASE WHEN os = 'windows' THEN lower(regexp_replace(trim({value}), '\\\\{{2,}}', '\\', 'g')) ELSE regexp_replace(trim({value}), '\\\\{{2,}}', '\\', 'g') END END"""
+      ELSE CASE WHEN os = 'windows' THEN lower(regexp_replace(trim({value}), '\\\\{{2,}}', '\\\\', 'g')) ELSE regexp_replace(trim({value}), '\\\\{{2,}}', '\\\\', 'g') END END"""
 
 
 _KIND = "CASE task WHEN 'lm' THEN 'host' WHEN 'persistence' THEN 'technique' ELSE 'path' END"
 
 MATCHED = f"""
 fnorm AS (
-  SELECT *, {_entity('kind', 'entity')} AS ent_norm, CASE prec WHEN 'minute' THEN {minute('at')} ELSE {second('at')} END AS ts_norm
+  SELECT *, {_entity('kind', 'entity')} AS ent_norm, CASE prec WHEN 'minute' THEN {minute('wall')} ELSE {second('wall')} END AS ts_norm
   FROM (SELECT f.unit_id, f.attempt_id, f.idx, f.task, f.verdict, f.entity, f.refs, u.rel_path, u.start_line, u.os, {_KIND.replace('task', 'f.task')} AS kind,
-    {precision('u.dataset', 'u.task')} AS prec, {parse('trim(f.ts_text)')} AS at FROM findings f JOIN units u USING (unit_id) WHERE f.task <> 'classification')),
+    {precision('u.dataset', 'u.task')} AS prec, {parse('trim(f.ts_text)')} AS wall FROM findings f JOIN units u USING (unit_id) WHERE f.task <> 'classification')),
 grounded AS (
   SELECT DISTINCT f.unit_id, f.attempt_id, f.idx
   FROM (SELECT *, unnest(refs)::bigint AS ref FROM fnorm) f JOIN timed l ON l.rel_path = f.rel_path AND l.line_no = f.start_line + f.ref - 1
-  WHERE f.ts_norm = CASE prec WHEN 'minute' THEN {minute('l.at')} ELSE {second('l.at')} END
+  WHERE f.ts_norm = CASE prec WHEN 'minute' THEN {minute('l.wall')} ELSE {second('l.wall')} END
     AND (kind = 'technique' OR contains(CASE WHEN kind = 'host' OR f.os = 'windows' THEN lower(replace(l.line, '\\\\', '\\')) ELSE replace(l.line, '\\\\', '\\') END, ent_norm))),
 ut AS (
   SELECT u.unit_id, u.os, w.target_id, w.status, CASE w.status WHEN 'supported_positive' THEN '0' ELSE '1' END || w.target_id AS target_order, t.aliases, t.entity_kind AS kind

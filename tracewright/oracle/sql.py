@@ -32,15 +32,15 @@ def _add(name: str, *views: str, select: str) -> None:
 _add(
     "time_formats",
     f"""raw AS (SELECT event_id, fmt AS written_as, {V.written('fmt')} AS raw FROM events, (SELECT unnest(['epoch', 'windows', 'iso', 'iso_minute', 'iso_offset']) AS fmt)),
-        p AS (SELECT *, {V.parse('raw')} AS at FROM raw)""",
-    select=f"SELECT event_id, written_as, {V.classify('raw')} AS ts_format, {V.second('at')} AS local_second, {V.minute('at')} AS local_minute FROM p",
+        p AS (SELECT *, {V.parse('raw')} AS wall FROM raw)""",
+    select=f"SELECT event_id, written_as, {V.classify('raw')} AS ts_format, {V.second('wall')} AS local_second, {V.minute('wall')} AS local_minute FROM p",
 )
 _add(
     "entity_norms",
     V.LOGS,
     select=r"""SELECT event_id, rtrim(trim(lower(trim(' [' || upper(host_name) || ']. ')), '[]'), '.') AS host_norm,
       trim(regexp_replace(replace(lower('Create-' || command || '  X'), '-', ' '), '\s+', ' ', 'g')) AS technique_norm,
-      lower(regexp_replace(trim(trim('''' || replace(path_name, '\', '\\') || ''' '), ''''), '\\{2,}', '\', 'g')) AS path_norm, 'none' AS suspicion
+      lower(regexp_replace(trim(trim('''' || replace(path_name, '\', '\\') || ''' '), ''''), '\\{2,}', '\\', 'g')) AS path_norm, 'none' AS suspicion
       FROM log_events""",
 )
 
@@ -49,11 +49,11 @@ _add(
 _add(
     "file_profile",
     V.LOGS,
-    """seen AS (SELECT rel_path, line_no, at, lag(at) OVER (PARTITION BY rel_path ORDER BY line_no) AS prev FROM timed WHERE at IS NOT NULL)""",
-    select=f"""SELECT t.rel_path, count(*) AS lines, array_to_string(list_sort(list_distinct(list(ts_format) FILTER (at IS NOT NULL))), ',') AS ts_formats,
-      {V.second('arg_min(at, line_no) FILTER (at IS NOT NULL)')} AS first_time, {V.second('arg_max(at, line_no) FILTER (at IS NOT NULL)')} AS last_time,
-      count(*) FILTER (at IS NULL) AS parse_failures, any_value(n.violations) AS nonmonotonic
-      FROM timed t JOIN (SELECT rel_path, count(*) FILTER (at < prev) AS violations FROM seen GROUP BY 1) n USING (rel_path) GROUP BY t.rel_path""",
+    """seen AS (SELECT rel_path, line_no, wall, lag(wall) OVER (PARTITION BY rel_path ORDER BY line_no) AS prev FROM timed WHERE wall IS NOT NULL)""",
+    select=f"""SELECT t.rel_path, count(*) AS lines, array_to_string(list_sort(list_distinct(list(ts_format) FILTER (wall IS NOT NULL))), ',') AS ts_formats,
+      {V.second('arg_min(wall, line_no) FILTER (wall IS NOT NULL)')} AS first_time, {V.second('arg_max(wall, line_no) FILTER (wall IS NOT NULL)')} AS last_time,
+      count(*) FILTER (wall IS NULL) AS parse_failures, any_value(n.violations) AS nonmonotonic
+      FROM timed t JOIN (SELECT rel_path, count(*) FILTER (wall < prev) AS violations FROM seen GROUP BY 1) n USING (rel_path) GROUP BY t.rel_path""",
 )
 _add(
     "inventory_summary",
@@ -253,15 +253,15 @@ _add("hier_mean", TRIALS, select=f"SELECT task, round(v, 9) AS recall FROM ({_hi
 _FOUND = "CASE WHEN task0 = 'classification' THEN strict ELSE fp_free_recall END"
 _CLEAN = "CASE WHEN task0 = 'classification' THEN strict ELSE (valid AND NOT alert)::int::double END"
 SCORE = f"""
-both AS (SELECT * EXCLUDE (task), task AS task0, unnest([task, '*']) AS task FROM rows),
-m_p AS ({_hier("(SELECT * FROM both WHERE positive AND task <> '*')", _FOUND, 'task')}),
-m_n AS ({_hier("(SELECT * FROM both WHERE NOT positive AND task <> '*')", _CLEAN, 'task')}),
-m_f AS ({_hier('(SELECT * FROM both WHERE NOT positive)', 'alert::int::double', 'task')}),
-m_r AS ({_hier("(SELECT * FROM both WHERE positive AND task <> '*')", 'recall', 'task')}),
+scoped AS (SELECT * EXCLUDE (task), task AS task0, unnest([task, '*']) AS task FROM rows),
+m_p AS ({_hier("(SELECT * FROM scoped WHERE positive AND task <> '*')", _FOUND, 'task')}),
+m_n AS ({_hier("(SELECT * FROM scoped WHERE NOT positive AND task <> '*')", _CLEAN, 'task')}),
+m_f AS ({_hier('(SELECT * FROM scoped WHERE NOT positive)', 'alert::int::double', 'task')}),
+m_r AS ({_hier("(SELECT * FROM scoped WHERE positive AND task <> '*')", 'recall', 'task')}),
 score AS (
   SELECT task, any_value(m_p.v) AS P, any_value(m_n.v) AS N, any_value(m_f.v) AS false_alert_rate, any_value(m_r.v) AS ordinary_recall, avg(valid::int::double) AS validity,
     avg(reward) AS natural_mean_reward, count(*) AS n_records, count(DISTINCT grp) FILTER (positive) AS n_positive_groups, count(DISTINCT grp) FILTER (NOT positive) AS n_negative_groups
-  FROM both LEFT JOIN m_p USING (task) LEFT JOIN m_n USING (task) LEFT JOIN m_f USING (task) LEFT JOIN m_r USING (task) GROUP BY task)
+  FROM scoped LEFT JOIN m_p USING (task) LEFT JOIN m_n USING (task) LEFT JOIN m_f USING (task) LEFT JOIN m_r USING (task) GROUP BY task)
 """
 _rounded = ", ".join(f"round({c}, 9) AS {c}" for c in ("P", "N", "false_alert_rate", "ordinary_recall", "validity", "natural_mean_reward"))
 _add("dev_score", TRIALS, SCORE, select=f"SELECT task, {_rounded}, n_records, n_positive_groups, n_negative_groups FROM score")
@@ -270,7 +270,7 @@ _add(
     select="SELECT CASE WHEN count((P + N) / 2) = 4 THEN round(avg((P + N) / 2), 9) END AS D, count((P + N) / 2) AS available_tasks FROM score WHERE task <> '*'",
 )
 _add(
-    "invalid_as_zero", TRIALS.replace("rows AS (", "rows0 AS (") + """,
+    "invalid_as_zero", TRIALS.replace("\nrows AS (", "\nrows0 AS (") + """,
       rows AS (SELECT * REPLACE (CASE WHEN positive AND NOT valid THEN 0.0::double ELSE recall END AS recall,
         CASE WHEN positive AND NOT valid THEN 0.0::double ELSE fp_free_recall END AS fp_free_recall) FROM rows0)""", SCORE,
     select="SELECT task, round(P, 9) AS P, round(ordinary_recall, 9) AS ordinary_recall FROM score",
@@ -330,7 +330,7 @@ n_rep AS (SELECT task, cls, kind, group_id, count(DISTINCT representation) AS n5
 n_unit AS (SELECT task, cls, kind, group_id, representation, count(*) AS n6 FROM tree GROUP BY ALL),
 prob AS (
   SELECT t.*, n1, n2, n3, n4, n5, n6, 1.0::double / n1 / n2 / n3 / n4 / n5 / n6 AS probability
-  FROM tree t, n_task JOIN n_cls USING (task) JOIN n_kind USING (task, cls) JOIN n_grp USING (task, cls, kind) JOIN n_rep USING (task, cls, kind, group_id)
+  FROM tree t CROSS JOIN n_task JOIN n_cls USING (task) JOIN n_kind USING (task, cls) JOIN n_grp USING (task, cls, kind) JOIN n_rep USING (task, cls, kind, group_id)
   JOIN n_unit USING (task, cls, kind, group_id, representation))
 """
 

@@ -48,7 +48,7 @@ def precision(dataset: str, task: str) -> str:
 
 
 def written(fmt: str) -> str:
-    return f"""CASE {fmt} WHEN 'epoch' THEN (epoch_ms(ts) // 1000) || '.' || lpad((epoch_ms(ts) % 1000)::varchar, 3, '0')
+    return f"""CASE {fmt} WHEN 'epoch' THEN (epoch_us(ts) // 1000000) || '.' || lpad((epoch_us(ts) // 1000 % 1000)::varchar, 3, '0')
       WHEN 'windows' THEN strftime(ts, '%-m/%-d/%Y %-I:%M:%S %p') WHEN 'iso' THEN {second('ts')}
       WHEN 'iso_minute' THEN {minute('ts')} ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.25-05:00' END"""
 
@@ -245,7 +245,7 @@ log_lines AS (
       WHEN representation = 'raw' THEN 'type=SYSCALL msg=audit(' || time_text || ':' || event_id || ') ' ELSE '(' || time_text || ') ' END
     || '[' || event_id || '] --> ' || command || ' --> addr=' || host_name || ' path=' || replace(path_name, '\\', '\\\\') AS line FROM log_events),
 timed AS (
-  SELECT *, {classify('raw_time')} AS ts_format, {parse('raw_time')} AS at FROM (SELECT *, {RAW_TIME} AS raw_time FROM log_lines))
+  SELECT *, {classify('raw_time')} AS ts_format, {parse('raw_time')} AS wall FROM (SELECT *, {RAW_TIME} AS raw_time FROM log_lines))
 """
 
 EVIDENCE = f"""
@@ -276,7 +276,7 @@ evidence AS (
   SELECT DISTINCT target_id, l.rel_path, l.line_no
   FROM (SELECT target_id, dataset, task, scenario, precision, entity_kind, stamp, unnest(aliases) AS alias FROM tg JOIN tstamps USING (target_id)) p
   JOIN timed l ON l.dataset = p.dataset AND l.task = p.task AND l.scenario = p.scenario
-    AND p.stamp = CASE p.precision WHEN 'minute' THEN {minute('l.at')} ELSE {second('l.at')} END
+    AND p.stamp = CASE p.precision WHEN 'minute' THEN {minute('l.wall')} ELSE {second('l.wall')} END
   WHERE CASE entity_kind WHEN 'technique' THEN {_indicator('alias', 'line')}
     ELSE contains(replace(lower(line), '\\\\', '\\'), lower(alias)) END),
 tstatus AS (

@@ -1,8 +1,8 @@
-"""The log pipeline up to labelled units, with the small tables between its stages written once.
+"""The log pipeline up to labelled units, with the tables between its stages written once.
 
-Stage outputs that later stages read several times (annotations, targets, stamps, evidence) are tiny
-next to the log lines; they are written to the shared checkpoint folder. Lines are never written:
-every stage that needs them scans them again.
+Numbering the lines of a log takes a shuffle of the corpus, so the numbered events are written in
+columnar form and every later stage scans only the columns it needs. Annotations, targets, stamps
+and evidence are tiny next to them and are read several times each.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ class LogChain:
 
     @cached_property
     def events(self) -> DataFrame:
-        return B.log_events(self.spark, self.sf_dir)
+        return cut_lineage(B.log_events(self.spark, self.sf_dir))
 
     @cached_property
     def lines(self) -> DataFrame:
