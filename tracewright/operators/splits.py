@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..lookups import SPLITS, TASKS
+from ..session import cut_lineage
 from .scale import chunked_row_number, hash_bucket
 
 STRATUM = ["dataset", "label", "tasks", "os"]
@@ -53,36 +54,43 @@ def strata_counts(groups: DataFrame) -> DataFrame:
     return counted.withColumn("stratum", key)
 
 
-def _lottery(u: Column, weights: Sequence[Column]) -> Column:
+def _lottery(u: str, weights: Sequence[Column]) -> Column:
     """Index drawn in proportion to three weights."""
-    total = weights[0] + weights[1] + weights[2]
-    point = u * total
+    point = F.col(u) * (weights[0] + weights[1] + weights[2])
     return F.when(point < weights[0], 0).when(point < weights[0] + weights[1], 1).otherwise(2)
 
 
-def candidate_counts(strata: DataFrame, ladder: Sequence[tuple[float, float, float]], seed: int, n_candidates: int) -> DataFrame:
-    """Groups of each stratum per split, for every rung and candidate.
+def candidate_rows(strata: DataFrame, ladder: Sequence[tuple[float, float, float]], n_candidates: int, block: int = 64) -> DataFrame:
+    """Strata repeated for every rung and candidate, spread over the cluster in blocks of candidates."""
+    last = F.lit(n_candidates - 1)
+    rows = strata.withColumn("rung", F.explode(F.array(*[F.lit(i) for i in range(len(ladder))])))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), last, F.lit(block)))).repartition("rung", "_block")
+    each = F.sequence(F.col("_block"), F.least(F.col("_block") + block - 1, last))
+    return rows.withColumn("candidate", F.explode(each)).drop("_block")
+
+
+def candidate_counts(rows: DataFrame, ladder: Sequence[tuple[float, float, float]], seed: int) -> DataFrame:
+    """Groups of each stratum per split, for the rung and candidate of each row.
 
     A split gets the whole part of its quota; the remaining one or two groups are drawn in
     proportion to the fractional parts, without giving one split both.
     """
-    rungs = F.array(*[
-        F.struct(F.lit(i).alias("rung"), *[F.lit(float(f)).alias(f"f{j}") for j, f in enumerate(fractions)])
-        for i, fractions in enumerate(ladder)
-    ])
-    rows = strata.withColumn("_rung", F.explode(rungs)).select(*strata.columns, "_rung.*")
-    rows = rows.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
+    columns = rows.columns
+    for j in range(3):
+        fractions = F.array(*[F.lit(float(rung[j])) for rung in ladder])
+        rows = rows.withColumn(f"f{j}", F.get(fractions, F.col("rung")))
     quota = [F.col(f"f{j}") * F.col("n") for j in range(3)]
     for j in range(3):
         rows = rows.withColumn(f"b{j}", F.floor(quota[j])).withColumn(f"w{j}", quota[j] - F.floor(quota[j]))
     rows = rows.withColumn("_left", F.col("n") - F.col("b0") - F.col("b1") - F.col("b2"))
     draw = lambda k: uniform(F.lit(seed), F.col("rung"), F.col("candidate"), F.col("stratum"), F.lit(k))
-    rows = rows.withColumn("_one", F.when(F.col("_left") >= 1, _lottery(draw(1), [F.col(f"w{j}") for j in range(3)])))
+    one = F.when(F.col("_left") >= 1, _lottery("_u1", [F.col(f"w{j}") for j in range(3)]))
+    rows = rows.withColumn("_u1", draw(1)).withColumn("_one", one)
     rest = [F.when(F.col("_one") == j, F.lit(0.0)).otherwise(F.col(f"w{j}")) for j in range(3)]
-    rows = rows.withColumn("_two", F.when(F.col("_left") >= 2, _lottery(draw(2), rest)))
+    rows = rows.withColumn("_u2", draw(2)).withColumn("_two", F.when(F.col("_left") >= 2, _lottery("_u2", rest)))
     hit = lambda c, j: F.when(F.col(c) == j, 1).otherwise(0)
     kept = [(F.col(f"b{j}") + hit("_one", j) + hit("_two", j)).cast("long").alias(f"k{j}") for j in range(3)]
-    return rows.select(*strata.columns, "rung", "f0", "f1", "f2", "candidate", *kept)
+    return rows.select(*columns, "f0", "f1", "f2", *kept)
 
 
 def score_candidates(candidates: DataFrame, min_dev_groups: int = 2, min_train_positive: int = 2) -> DataFrame:
@@ -124,10 +132,12 @@ def choose_rung(attempts: DataFrame) -> DataFrame:
     return attempts.agg(F.min(key).alias("k")).select("k.rung", "k.candidate", "k.score", "k.n_violations", "k.infeasible")
 
 
-def deal_groups(groups: DataFrame, candidates: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
-    """Shuffle the groups of each stratum by hash and deal them out: (group_id, split)."""
-    quotas = candidates.join(F.broadcast(chosen.select("rung", "candidate")), ["rung", "candidate"])  # one row
-    # strata are closed sets: a few hundred rows at most
+def deal_groups(groups: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """Shuffle the groups of each stratum by hash and deal them out: (group_id, split).
+
+    ``quotas``: the counts of the chosen candidate per stratum.
+    """
+    # strata are combinations of closed sets: a few hundred rows at most
     rows = groups.join(F.broadcast(quotas.select(*STRATUM, "rung", "candidate", "k0", "k1")), STRATUM)
     rows = rows.withColumn("_u", uniform(F.lit(seed), F.col("rung"), F.col("candidate"), F.col("group_id")))
     ranked = chunked_row_number(rows, STRATUM, ["_u", "group_id"], hash_bucket(F.col("_u")), "_rank")
@@ -139,13 +149,24 @@ def deal_groups(groups: DataFrame, candidates: DataFrame, chosen: DataFrame, see
     return ranked.select("group_id", split.alias("split"))
 
 
+def search(groups: DataFrame, ladder: Sequence[tuple[float, float, float]], seed: int, n_candidates: int = 4000,
+           min_dev_groups: int = 2, min_train_positive: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The strata, and the best candidate per rung with its score: the log of attempts."""
+    strata = cut_lineage(strata_counts(groups))
+    candidates = candidate_counts(candidate_rows(strata, ladder, n_candidates), ladder, seed)
+    return strata, cut_lineage(best_candidate(score_candidates(candidates, min_dev_groups, min_train_positive)))
+
+
 def allocate(groups: DataFrame, ladder: Sequence[tuple[float, float, float]], seed: int, n_candidates: int = 4000,
              min_dev_groups: int = 2, min_train_positive: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns (assignment, chosen, attempts): rows per group, the chosen rung, the log per rung."""
-    candidates = candidate_counts(strata_counts(groups), ladder, seed, n_candidates)
-    attempts = best_candidate(score_candidates(candidates, min_dev_groups, min_train_positive))
+    """Returns (assignment, chosen, attempts): rows per group, the chosen rung, the log per rung.
+
+    Only the counts of the chosen candidate are worked out again for dealing.
+    """
+    strata, attempts = search(groups, ladder, seed, n_candidates, min_dev_groups, min_train_positive)
     chosen = choose_rung(attempts)
-    return deal_groups(groups, candidates, chosen, seed), chosen, attempts
+    winner = strata.join(F.broadcast(chosen.select("rung", "candidate")), F.lit(True))  # one row
+    return deal_groups(groups, candidate_counts(winner, ladder, seed), seed), chosen, attempts
 
 
 def constraint_violations(groups: DataFrame, assignment: DataFrame, min_dev_groups: int = 2,

@@ -166,7 +166,7 @@ def compat(name: str, levels: str) -> str:
 
 
 COMPAT = """
-scen AS (SELECT dataset, task, scenario, min(label) AS label, sum(lines) AS log_lines FROM log_files GROUP BY ALL),
+scen AS (SELECT dataset, task, scenario, min(label) AS label, sum(lines)::bigint AS log_lines FROM log_files GROUP BY ALL),
 truth AS (SELECT DISTINCT dataset, task, scenario, stamp AS g_ts, unnest(entities) AS g_entity FROM ann)
 """
 

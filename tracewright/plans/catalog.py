@@ -205,8 +205,8 @@ def _groups(spark, sf) -> DataFrame:
 
 @query
 def split_attempts(spark, sf):
-    candidates = SP.candidate_counts(SP.strata_counts(_groups(spark, sf)), LADDER, SPLIT_SEED, N_CANDIDATES)
-    return SP.best_candidate(SP.score_candidates(candidates)).select("rung", "candidate", "score", "n_violations")
+    attempts = SP.search(_groups(spark, sf), LADDER, SPLIT_SEED, N_CANDIDATES)[1]
+    return attempts.select("rung", "candidate", "score", "n_violations")
 
 
 def _allocated(spark, sf):
