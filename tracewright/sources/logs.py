@@ -19,18 +19,21 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
     """Inventory of ``root/<dataset>/task_<task>/<view>/*.log``: names, sha256 and size.
 
     Hashing reads a file as one value, so files must be below 2 GiB; ``scan_lines`` has no such limit.
+    File sources skip empty files: a ``listing`` (rel_path) of the tree adds them.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(root)
-    rel = found.withColumn("rel_path", _below(F.col("path"), root))
+    rel = found.select(_below(F.col("path"), root).alias("rel_path"), F.sha2("content", 256).alias("sha256"), "length")
+    if listing is not None:
+        rel = listing.select("rel_path").join(rel, "rel_path", "left")
     parts = F.split("rel_path", "/")
     return rel.select(
         "rel_path", F.get(parts, F.lit(0)).alias("dataset"),
         F.regexp_replace(F.get(parts, F.lit(1)), "^task_", "").alias("task"), F.element_at(parts, -1).alias("filename"),
-        F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"), F.coalesce("length", F.lit(0)).alias("bytes"),
     )
 
 
