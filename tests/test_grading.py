@@ -99,11 +99,11 @@ def test_matching_and_rewards(zoned):
         items = [{"verdict": v, "timestamp": t, "external_host": e, "source_lines": s} for v, t, e, s in findings]
         payloads.append((name, 0, "lm", 5, json.dumps([{**i, "external_host": i["external_host"].replace("ALICE@", "")} if name != "alias_case" else i for i in items])))
         if label == "positive":
-            targets.append((name, "t0", "0t0", "supported_positive", ["2025-06-05 09:19:40"], ["34.57.165.193", "Alice@34.57.165.193"]))
-            targets.append((name, "t1", "1t1", "ambiguous", ["2025-06-05 09:19:50"], ["10.0.0.9"]))
+            targets.append((name, "t0", "0t0", "supported_positive", "2025-06-05 09:19:40", ["34.57.165.193", "Alice@34.57.165.193"]))
+            targets.append((name, "t1", "1t1", "ambiguous", "2025-06-05 09:19:50", ["10.0.0.9"]))
         lines += [(f"log/{name}", i + 1, line) for i, line in enumerate(LOG)]
     u = spark.createDataFrame(units, "unit_id string, rel_path string, start_line long, representation string, task string, dataset string, os string, label string, n_lines long")
-    t = spark.createDataFrame(targets, "unit_id string, target_id string, target_order string, status string, stamps array<string>, aliases array<string>")
+    t = spark.createDataFrame(targets, "unit_id string, target_id string, target_order string, status string, stamp string, aliases array<string>")
     ln = spark.createDataFrame(lines, "rel_path string, line_no long, line string")
     p = spark.createDataFrame(payloads, "unit_id string, attempt_id int, task string, n_lines long, payload string")
     p = p.withColumn("payload", F.when(F.col("unit_id") == "alias_case", F.replace("payload", F.lit("ALICE@"), F.lit(""))).otherwise(F.col("payload")))

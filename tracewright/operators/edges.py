@@ -102,8 +102,9 @@ def overlap_links(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int
     inside time buckets and carried over from per-bucket maxima, so a hot host is spread over its
     buckets. Files with one scenario key may be linked here; ``same_key_edges`` links them anyway.
     """
-    place = ["dataset", "os", "host"]
-    base = _intervals(files).select(
+    place = ["dataset", "os", "_host"]  # without nulls, so that the join and the window share an exchange
+    base = _intervals(files).withColumn("_host", F.coalesce("host", F.lit("")))
+    base = base.select(
         "rel_path", *place, "window_start", "window_end", F.col("_s"), (F.col("_e") + F.lit(slack_seconds)).alias("_e")
     )
     base = base.withColumn("_bucket", F.floor(F.col("_s") / F.lit(bucket_seconds)))
@@ -114,7 +115,7 @@ def overlap_links(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int
         .select(*place, "_bucket", F.max("_top").over(earlier).alias("_carry"))
     )
     inside = Window.partitionBy(*place, "_bucket").orderBy("_s", "rel_path").rowsBetween(Window.unboundedPreceding, -1)
-    joined = null_safe_join(base, carried, [*place, "_bucket"], "inner")
+    joined = base.join(carried, [*place, "_bucket"])
     linked = joined.withColumn("_from", F.greatest(F.col("_carry"), F.max("_reach").over(inside)))
     linked = linked.filter(F.col("_from._e") >= F.col("_s"))
     evidence = F.concat(

@@ -52,7 +52,7 @@ def grounded_findings(normalised: DataFrame, lines: DataFrame) -> DataFrame:
 def assign_findings(findings: DataFrame, units: DataFrame, targets: DataFrame, lines: DataFrame) -> DataFrame:
     """Outcome per finding: low_confidence, fp, ungrounded, neutral, redundant or tp.
 
-    ``targets``: unit_id, target_id, target_order, status, stamps, aliases. A finding takes the first
+    ``targets``: unit_id, target_id, target_order, status, stamp, aliases, one row per stamp. A finding takes the first
     supported target it hits in list order, else the last ambiguous one; of the findings on one
     supported target the first is ``tp``.
     """
@@ -60,9 +60,9 @@ def assign_findings(findings: DataFrame, units: DataFrame, targets: DataFrame, l
     grounded = grounded_findings(rows.filter((F.col("verdict") == HIGH) & F.col("ts_norm").isNotNull()), lines)
     names = targets.join(unit_rules(units).select("unit_id", "kind", "case_insensitive"), "unit_id")
     names = names.select(
-        "unit_id", "target_id", "target_order", "status", F.explode("stamps").alias("ts_norm"), "aliases", "kind",
-        "case_insensitive",
-    ).withColumn("alias", F.explode("aliases"))
+        "unit_id", "target_id", "target_order", "status", F.col("stamp").alias("ts_norm"), "kind", "case_insensitive",
+        F.explode("aliases").alias("alias"),
+    )
     names = names.withColumn("ent_norm", E.norm_entity(F.col("kind"), F.col("alias"), F.col("case_insensitive")))
     names = names.select("unit_id", "target_id", "target_order", "status", "ts_norm", "ent_norm").distinct()
     supported = F.col("status") == "supported_positive"
@@ -119,7 +119,8 @@ def grade(payloads: DataFrame, units: DataFrame, targets: DataFrame, lines: Data
     checked = cut_lineage(validate_payloads(payloads).drop("payload"))
     findings = explode_findings(checked)
     counts = match_counts(assign_findings(findings, units, targets, lines))
-    wanted = targets.filter("status = 'supported_positive'").groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_targets"))
+    wanted = targets.filter("status = 'supported_positive'").select("unit_id", "target_id").distinct()
+    wanted = wanted.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_targets"))
     rows = checked.select(*ATTEMPT, "task", "schema_valid", "first_error", "n_findings", "n_high")
     rows = rows.join(units.select("unit_id", "label"), "unit_id").join(wanted, "unit_id", "left").join(counts, ATTEMPT, "left")
     graded = F.col("schema_valid") & (F.col("task") != "classification")

@@ -11,32 +11,32 @@ from .components import connected_components
 def line_shingles(files: DataFrame, k: int = 3) -> DataFrame:
     """Distinct runs of ``k`` lines of each distinct content: (sha256, shingle).
 
-    ``files``: sha256, text. Copies are reduced to one content first, so a large group of copies adds
-    nothing here; they are linked by their hash. Runs are cut inside the row, without a window.
+    ``files``: sha256, text. Runs are cut and hashed inside the row, so texts are never exchanged;
+    copies share their rows and are combined before the exchange.
     """
-    contents = files.groupBy("sha256").agg(F.first("text").alias("text"))
     lines = F.split("text", "\n")
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(lines) - (k - 1), F.lit(1))),
-        lambda i: F.md5(F.array_join(F.slice(lines, i, k), "\n")),
+        lambda i: F.unhex(F.md5(F.array_join(F.slice(lines, i, k), "\n"))),
     )
-    long_enough = contents.filter(F.size(lines) >= k)
-    return long_enough.select("sha256", F.explode(F.array_distinct(runs)).alias("shingle"))
+    long_enough = files.filter(F.size(lines) >= k)
+    return long_enough.select("sha256", F.explode(F.array_distinct(runs)).alias("shingle")).distinct()
 
 
 def near_duplicate_pairs(files: DataFrame, k: int = 3, min_shared: int = 2, boilerplate: int = 10) -> DataFrame:
     """Pairs of contents that share at least ``min_shared`` runs which are not boilerplate.
 
-    A run found in more than ``boilerplate`` contents is boilerplate by definition and links nothing,
-    which also bounds every join group by a constant: the candidates are linear in the runs.
+    A run found in more than ``boilerplate`` contents is boilerplate by definition and links nothing.
+    It is dropped before anything is collected, so a run lists at most ``boilerplate`` contents and
+    its pairs are bounded by a constant.
     """
     shingles = line_shingles(files, k)
     common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     telling = common.filter(F.col("df").between(2, boilerplate)).select("shingle")
-    kept = shingles.join(telling, "shingle")
-    pairs = kept.select("shingle", F.col("sha256").alias("a")).join(
-        kept.select("shingle", F.col("sha256").alias("b")), "shingle"
-    ).filter("a < b")
+    holders = shingles.join(telling, "shingle").groupBy("shingle").agg(F.array_sort(F.collect_list("sha256")).alias("_h"))
+    first = holders.select("_h", F.posexplode("_h").alias("_i", "a"))
+    rest = F.slice("_h", F.col("_i") + 2, F.lit(boilerplate))
+    pairs = first.select("a", F.explode(rest).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).filter(F.col("n_shared") >= min_shared)
 
 

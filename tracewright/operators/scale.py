@@ -36,9 +36,9 @@ def hash_bucket(uniform: Column, buckets: int = HASH_BUCKETS) -> Column:
 def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without one task per key.
 
-    ``chunk`` must be monotone in the order. Rows are numbered inside (keys, chunk); the number of
-    rows in earlier chunks comes from a per-chunk count, which is small. The join on (keys, chunk)
-    and the window share one exchange.
+    ``chunk`` must be monotone in the order, and keys must not be null. Rows are numbered inside
+    (keys, chunk); the number of rows in earlier chunks comes from a per-chunk count, which is small.
+    The join on (keys, chunk) and the window share one exchange.
     """
     keys = list(keys)
     tagged = df.withColumn("_chunk", chunk)
@@ -46,7 +46,7 @@ def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    joined = null_safe_join(tagged, offsets, [*keys, "_chunk"], "inner")
+    joined = tagged.join(offsets, [*keys, "_chunk"])
     return joined.withColumn(name, F.row_number().over(inside) + F.col("_offset")).drop("_chunk", "_offset")
 
 

@@ -84,6 +84,19 @@ def window_slices(lines: DataFrame, files: DataFrame, sizes: dict[str, int] = WI
     return rows.groupBy("rel_path", "window_index").agg(text.alias("slice"))
 
 
+def text_slices(files: DataFrame, sizes: dict[str, int] = WINDOW_LINES) -> DataFrame:
+    """``window_slices`` for files held as one text: cut inside the row, without an exchange."""
+    rows = files.filter("task <> 'classification' and text <> ''").select(
+        "rel_path", window_size(F.col("representation"), sizes).alias("_size"),
+        F.split(F.regexp_replace("text", "\n\\z", ""), "\n").alias("_lines"),
+    )
+    last = F.floor((F.size("_lines") - 1) / F.col("_size")).cast("long")
+    rows = rows.withColumn("window_index", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    start = (F.col("window_index") * F.col("_size") + 1).cast("int")
+    part = F.slice("_lines", start, F.col("_size"))
+    return rows.select("rel_path", "window_index", F.concat(F.array_join(part, "\n"), F.lit("\n")).alias("slice"))
+
+
 def shifted_windows(units: DataFrame, evidence: DataFrame, files: DataFrame, schema_version: str,
                     shifts: Sequence[int] = (-300, -200, -100, 100, 200, 300)) -> DataFrame:
     """Shifted copies of positive windows, clipped and deduplicated, with recomputed labels.

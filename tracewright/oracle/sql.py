@@ -122,6 +122,7 @@ _add(
     select="""SELECT rel_path, window_index, sha256(array_to_string(string_split(text, chr(10))[start_line:end_line], chr(10)) || chr(10)) AS sha256
       FROM doc_windows WHERE task <> 'classification'""",
 )
+ORACLES["slice_hash_text"] = ORACLES["slice_hash"]
 _UNITS = _chain("units")
 _add(
     "window_labels", *_UNITS,

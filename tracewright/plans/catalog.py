@@ -266,6 +266,12 @@ def slice_hash(spark, sf):
     return slices.select("rel_path", "window_index", F.sha2("slice", 256).alias("sha256"))
 
 
+@query
+def slice_hash_text(spark, sf):
+    slices = W.text_slices(B.doc_files(spark, sf), B.DOC_SIZES)
+    return slices.select("rel_path", "window_index", F.sha2("slice", 256).alias("sha256"))
+
+
 @query
 def window_labels(spark, sf):
     return LogChain(spark, sf).units.select(

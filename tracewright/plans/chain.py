@@ -66,7 +66,7 @@ class LogChain:
 
     @cached_property
     def window_targets(self) -> DataFrame:
-        return W.window_targets(self.evidence_status, self.files, B.LOG_SIZES)
+        return cut_lineage(W.window_targets(self.evidence_status, self.files, B.LOG_SIZES))
 
     @cached_property
     def units(self) -> DataFrame:
@@ -78,7 +78,7 @@ class LogChain:
 
     @cached_property
     def unit_targets(self) -> DataFrame:
-        """Targets of each investigation unit, in long form, with stamps and aliases: what grading needs.
+        """Targets of each investigation unit with aliases, one row per stamp: what grading needs.
 
         Supported targets come first, then ambiguous ones, each sorted by id.
         """
@@ -86,10 +86,10 @@ class LogChain:
         rows = self.window_targets.join(spans, ["rel_path", "window_index"]).join(
             self.targets.select("target_id", "aliases", "entity_kind"), "target_id"
         )
-        stamps = self.stamps.groupBy("target_id").agg(F.array_sort(F.collect_set("stamp_norm")).alias("stamps"))
+        stamps = self.stamps.select("target_id", F.col("stamp_norm").alias("stamp")).distinct()
         order = F.concat(F.when(F.col("status") == "supported_positive", "0").otherwise("1"), F.col("target_id"))
         return rows.join(stamps, "target_id").select(
-            "unit_id", "target_id", order.alias("target_order"), "status", "stamps", "aliases"
+            "unit_id", "target_id", order.alias("target_order"), "status", "stamp", "aliases"
         )
 
     @cached_property

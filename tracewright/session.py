@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # side without a rewrite; "force" keeps that even where it costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Targets, probes and references are broadcast when their measured size allows it.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
     # Small tables still carry costly expressions (patterns, JSON): keep them on many cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # The evidence and grounding joins probe the full corpus with few keys.

@@ -29,20 +29,20 @@ def running_spend(usage: DataFrame) -> DataFrame:
 def cap_breaches(usage: DataFrame, caps: dict[str, float] = PHASE_CAPS_USD, total: float = TOTAL_CAP_USD) -> DataFrame:
     """Batch: per phase the first usage at which its cap is reached: (phase, ts, usd, cap).
 
-    Usage is summed per (phase, hour) first; the running sum is over hours, and only the hour in
-    which the cap falls is read in full, so no phase is sorted in one task. ``usage``: phase, ts,
+    Usage is summed per (phase, second) first; the running sum is over seconds, and only the second
+    in which the cap falls is read in full, so no phase is sorted in one task. ``usage``: phase, ts,
     event_id, seconds, rate_per_hour.
     """
     rows = usage.withColumn("usd", cost(F.col("seconds"), F.col("rate_per_hour"))).withColumn(
-        "_hour", F.substring(F.col("ts").cast("string"), 1, 13)
+        "_second", F.substring(F.col("ts").cast("string"), 1, 19)
     )
-    hours = rows.groupBy("phase", "_hour").agg(F.sum("usd").alias("_usd"))
-    before = Window.partitionBy("phase").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("phase", "_second").agg(F.sum("usd").alias("_usd"))
+    before = Window.partitionBy("phase").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     hours = hours.withColumn("_before", F.coalesce(F.sum("_usd").over(before), F.lit(0.0)))
     hours = hours.withColumn("cap", phase_cap(F.col("phase"), caps, total))
     crossing = hours.filter((F.col("_before") < F.col("cap")) & (F.col("_before") + F.col("_usd") >= F.col("cap")))
-    inside = Window.partitionBy("phase", "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    detail = rows.join(crossing.select("phase", "_hour", "_before", "cap"), ["phase", "_hour"])
+    inside = Window.partitionBy("phase", "_second").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    detail = rows.join(crossing.select("phase", "_second", "_before", "cap"), ["phase", "_second"])
     detail = detail.withColumn("usd", F.col("_before") + F.sum("usd").over(inside)).filter("usd >= cap")
     first = F.min(F.struct("ts", "event_id", "usd", "cap")).alias("f")
     return detail.groupBy("phase").agg(first).select("phase", "f.ts", "f.event_id", "f.usd", "f.cap")
