@@ -45,6 +45,12 @@ def split_margins(groups: DataFrame, assignment: DataFrame) -> DataFrame:
     return cells.groupBy("c.margin", "c.cell", "split").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def margin_table(margins: DataFrame) -> DataFrame:
+    """Margins as a cross-tab: one column per split, zero-filled."""
+    wide = margins.groupBy("margin", "cell").pivot("split", list(SPLITS)).agg(F.sum("n_groups"))
+    return wide.fillna(0, list(SPLITS))
+
+
 def strata_counts(groups: DataFrame) -> DataFrame:
     """Strata with their number of groups and a text key."""
     counted = groups.groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.timestamps import FORMAT_PATTERNS  # noqa: F401
-from ..lookups import EXCLUDE_TERMS, FORBIDDEN_PATTERNS, REVIEW_TERMS, TASKS
+from ..lookups import EXCLUDE_TERMS, FORBIDDEN_PATTERNS, REVIEW_TERMS, TASKS, TECHNIQUE_INDICATORS
 from ..operators.uncertainty import POISSON_STEPS
 from ..plans.catalog import LADDER, N_BOOTSTRAP, N_CANDIDATES, N_DRAWS, SPLIT_SEED
 from . import grading as G
@@ -98,6 +98,11 @@ _add("split_attempts", *_SPLIT, select="SELECT rung, candidate, score, n_violati
 _add("split_best_candidate", *_SPLIT, select="SELECT rung, candidate, score, n_violations FROM chosen")
 _add("split_assignment", *_SPLIT, select="SELECT group_id, split FROM dealt")
 _add("split_margins", *_SPLIT, select="SELECT margin, cell, split, n_groups FROM margins")
+_add(
+    "split_table", *_SPLIT,
+    select="""SELECT margin, cell, coalesce(sum(n_groups) FILTER (split = 'train'), 0)::bigint AS train, coalesce(sum(n_groups) FILTER (split = 'dev'), 0)::bigint AS dev,
+      coalesce(sum(n_groups) FILTER (split = 'test'), 0)::bigint AS test FROM margins GROUP BY ALL""",
+)
 _tasks = "[" + ", ".join(f"'{t}'" for t in TASKS) + "]"
 _add(
     "split_violations", *_SPLIT,
@@ -282,6 +287,11 @@ _add(
     select=f"""SELECT t.task, CASE WHEN bool_or(label IN ('positive', 'attack')) THEN 0.0::double END AS P, CASE WHEN bool_or(label NOT IN ('positive', 'attack')) THEN 1.0::double END AS N
       FROM (SELECT unnest({_tasks}) AS task) t LEFT JOIN tunits u ON u.task = t.task AND u.label <> 'quarantined' GROUP BY t.task""",
 )
+_add(
+    "trivial_policy_d", TRIALS,
+    select="""SELECT CASE WHEN count(*) = 4 THEN 0.5::double END AS D, count(*) AS available_tasks FROM (SELECT task FROM tunits WHERE label <> 'quarantined' GROUP BY 1
+      HAVING bool_or(label IN ('positive', 'attack')) AND bool_or(label NOT IN ('positive', 'attack')))""",
+)
 
 EVALS = """
 ev AS (
@@ -459,3 +469,19 @@ _add(
         CASE event_type WHEN 'click' THEN 40.0::double WHEN 'view' THEN 60.0::double WHEN 'error' THEN 1e9::double ELSE 80.0::double END AS cap FROM events)""",
     select="SELECT phase, arg_min(event_id, (ts, event_id)) AS event_id, round(arg_min(usd, (ts, event_id)), 6) AS usd, any_value(cap) AS cap FROM usage WHERE usd >= cap GROUP BY phase",
 )
+
+# --- streams ------------------------------------------------------------------------------------
+
+_add(
+    "stream_hit_counts",
+    f"""lines AS (SELECT ts, '(' || {V.second('ts')} || ') [' || event_id || '] --> ' || CASE event_type WHEN 'purchase' THEN 'ssh root' WHEN 'error' THEN 'useradd bob' WHEN 'signup' THEN 'scp' WHEN 'click' THEN 'sudo id'
+        ELSE 'cat notes' END AS line FROM events),
+      hits AS (SELECT date_trunc('hour', ts) AS h, technique FROM lines, (SELECT unnest([{', '.join(quote(t) for t in TECHNIQUE_INDICATORS)}]) AS technique)
+        WHERE {V.indicator('technique', 'line')})""",
+    select=f"SELECT {V.second('h')} AS window_start, technique, count(*) AS n_hits FROM hits GROUP BY ALL",
+)
+_add(
+    "stream_spend",
+    "spent AS (SELECT event_type AS phase, sum(value * 60 / 3600 * 18.36::double) AS usd FROM events GROUP BY 1)",
+    select="SELECT phase, round(usd, 6) AS usd, usd >= 1500.0 AS over FROM spent",
+)

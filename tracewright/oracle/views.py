@@ -207,7 +207,7 @@ def windows_of(files: str, edge: int, raw: int, name: str) -> str:
         FROM (SELECT *, unnest(range(n_windows)) AS window_index FROM {name}0)))"""
 
 
-def _indicator(technique: str, line: str) -> str:
+def indicator(technique: str, line: str) -> str:
     cases = " ".join(
         f"WHEN {quote(name)} THEN regexp_matches({line}, {quote('(?i)' + '|'.join(f'(?:{p})' for p in patterns))})"
         for name, patterns in TECHNIQUE_INDICATORS.items()
@@ -277,7 +277,7 @@ evidence AS (
   FROM (SELECT target_id, dataset, task, scenario, precision, entity_kind, stamp, unnest(aliases) AS alias FROM tg JOIN tstamps USING (target_id)) p
   JOIN timed l ON l.dataset = p.dataset AND l.task = p.task AND l.scenario = p.scenario
     AND p.stamp = CASE p.precision WHEN 'minute' THEN {minute('l.wall')} ELSE {second('l.wall')} END
-  WHERE CASE entity_kind WHEN 'technique' THEN {_indicator('alias', 'line')}
+  WHERE CASE entity_kind WHEN 'technique' THEN {indicator('alias', 'line')}
     ELSE contains(replace(lower(line), '\\\\', '\\'), lower(alias)) END),
 tstatus AS (
   SELECT t.*, coalesce(p.scenario_key, t.dataset || '/' || t.scenario) AS scenario_key, coalesce(n, 0) AS n_evidence,

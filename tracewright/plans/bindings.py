@@ -169,6 +169,20 @@ def timed_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed_lines(log_lines(log_events(spark, sf_dir)))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def streamed_lines(events: DataFrame) -> DataFrame:
+    """Edge lines of streamed events."""
+    return events.selectExpr(
+        "concat('user/', user_id) as rel_path", "'edge' as representation",
+        f"concat('(', substring(cast(ts as string), 1, 19), ') [', event_id, '] --> ', {_COMMAND}) as line",
+    )
+
+
 def raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event time written in every format: (event_id, raw)."""
     formats = ["epoch", "windows", "iso", "iso_minute", "iso_offset"]

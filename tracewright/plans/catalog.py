@@ -25,7 +25,7 @@ from ..operators import uncertainty as U
 from ..operators import validation as V
 from ..operators import windows as W
 from ..session import cut_lineage
-from ..streaming import spend
+from ..streaming import log_stream, sinks, spend
 from . import bindings as B
 from .chain import LogChain
 
@@ -231,6 +231,12 @@ def split_margins(spark, sf):
     return SP.split_margins(groups, assignment)
 
 
+@query
+def split_table(spark, sf):
+    groups, assignment, _ = _allocated(spark, sf)
+    return SP.margin_table(SP.split_margins(groups, assignment))
+
+
 @query
 def split_violations(spark, sf):
     groups, assignment, _ = _allocated(spark, sf)
@@ -484,6 +490,11 @@ def trivial_policy(spark, sf):
     return MT.trivial_policy(B.trial_units(spark, sf))
 
 
+@query
+def trivial_policy_d(spark, sf):
+    return MT.overall_d(MT.trivial_policy(B.trial_units(spark, sf)))
+
+
 @query
 def eligible_steps(spark, sf):
     out = SE.eligible_steps(B.evaluations(spark, sf))
@@ -675,3 +686,23 @@ def cap_breaches(spark, sf):
     )
     out = spend.cap_breaches(usage, caps={"click": 40.0, "view": 60.0, "error": 1e9}, total=80.0)
     return out.select("phase", "event_id", _round("usd", 6), "cap")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+@query
+def stream_hit_counts(spark, sf):
+    """Technique hits per hour, from the events read as a stream."""
+    hits = log_stream.indicator_hits(B.streamed_lines(B.event_stream(spark, sf)))
+    out = sinks.drain(log_stream.hit_counts(hits))
+    return out.select(F.substring(_text("window_start"), 1, 19).alias("window_start"), "technique", "n_hits")
+
+
+@query
+def stream_spend(spark, sf):
+    """Running spend per phase, from the events read as a stream."""
+    usage = B.event_stream(spark, sf).select(
+        F.col("event_type").alias("phase"), (F.col("value") * 60).alias("seconds"), F.lit(18.36).alias("rate_per_hour")
+    )
+    return sinks.drain(spend.running_spend(usage)).select("phase", _round("usd", 6), "over")

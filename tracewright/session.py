@@ -32,7 +32,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -51,6 +51,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A table is preferred to ``checkpoint()``: the plan runs once, later reads are pruned to their
     columns, and the planner knows the size of what it joins. A lost executor costs no replay.
     """
-    path = f"{_shared_dir(df.sparkSession).rstrip('/')}/tracewright-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tracewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
