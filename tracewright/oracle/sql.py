@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.timestamps import FORMAT_PATTERNS  # noqa: F401
+
 from ..lookups import EXCLUDE_TERMS, FORBIDDEN_PATTERNS, REVIEW_TERMS, TASKS, TECHNIQUE_INDICATORS
 from ..operators.uncertainty import POISSON_STEPS
 from ..plans.catalog import LADDER, N_BOOTSTRAP, N_CANDIDATES, N_DRAWS, SPLIT_SEED

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lookups import FINDING_FIELD  # noqa: F401
 from ..operators.inventory import timed_lines
 from ..operators.scale import chunked_row_number, row_chunk
 from ..sources.logs import split_text_lines

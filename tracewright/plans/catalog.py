@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as NZ
 from ..functions import timestamps as T
+from ..lookups import FINDING_FIELD
 from ..operators import compat as C
 from ..operators import components as G
 from ..operators import edges as ED
@@ -375,7 +376,7 @@ def oracle_audit(spark, sf):
     """Grade the proving findings of every unit: passes and failures per split."""
     chain = LogChain(spark, sf)
     findings = M.oracle_findings(chain.units, chain.window_targets, chain.targets, chain.evidence, chain.lines)
-    payloads = M.oracle_payloads(chain.units, findings, B.FINDING_FIELD)
+    payloads = M.oracle_payloads(chain.units, findings, FINDING_FIELD)
     graded = M.grade(payloads, chain.units, chain.unit_targets, chain.lines).join(chain.units.select("unit_id", "split"), "unit_id")
     visible = chain.lines.join(chain.files.select("rel_path", "u"), "rel_path").select(
         F.expr("case when u div 16 % 10 < 5 then 'train' when u div 16 % 10 < 6 then 'dev' else 'test' end").alias("split"),
@@ -398,7 +399,8 @@ def line_count_errors(spark, sf):
 # --- compatibility scoring ----------------------------------------------------------------------
 
 
-def _compat(spark, sf, more_defensive=False) -> DataFrame:
+def _compat_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Scenarios, chunks, findings and truth of the submissions."""
     chain = LogChain(spark, sf)
     files = chain.files
     scenarios = files.groupBy("dataset", "task", "scenario").agg(
@@ -409,7 +411,17 @@ def _compat(spark, sf, more_defensive=False) -> DataFrame:
         chain.units.select("unit_id", "dataset", "task", "scenario"), "unit_id"
     ).withColumnRenamed("unit_id", "chunk_id")
     findings = _findings(chain).join(place, "unit_id").withColumnRenamed("unit_id", "chunk_id")
-    return C.compat_counts(scenarios, chunks, findings, C.truth_pairs(chain.annotations), more_defensive)
+    return scenarios, chunks, findings, C.truth_pairs(chain.annotations)
+
+
+def _compat(spark, sf) -> DataFrame:
+    return C.compat_counts(*_compat_inputs(spark, sf))
+
+
+def _compared(spark, sf) -> DataFrame:
+    inputs = _compat_inputs(spark, sf)
+    ours, theirs = C.compat_counts(*inputs), C.compat_counts(*inputs, more_defensive=True)
+    return C.compare_scores(ours, theirs, C.ATTEMPT, ["tp", "fp", "fn"])
 
 
 @query
@@ -429,15 +441,12 @@ def compat_rates(spark, sf):
 @query
 def scorer_diff(spark, sf):
     """Strict against defensive counts of the same submissions."""
-    ours, theirs = _compat(spark, sf), _compat(spark, sf, more_defensive=True)
-    compared = C.compare_scores(ours, theirs, C.ATTEMPT, ["tp", "fp", "fn"])
-    return compared.drop("n")
+    return _compared(spark, sf)
 
 
 @query
 def scorer_diff_totals(spark, sf):
-    ours, theirs = _compat(spark, sf), _compat(spark, sf, more_defensive=True)
-    return C.mismatch_totals(C.compare_scores(ours, theirs, C.ATTEMPT, ["tp", "fp", "fn"]))
+    return C.mismatch_totals(_compared(spark, sf))
 
 
 # --- evaluation ---------------------------------------------------------------------------------
