@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.timestamps import FORMAT_PATTERNS
 from ..lookups import FINDING_FIELD, OPTIONAL_KEYS, REQUIRED_KEYS, VERDICTS
-from .views import RAW_TIME, minute, parse, precision, quote, second  # noqa: F401
+from .views import minute, parse, precision, quote, second
 
 _ITEM = r"""CASE WHEN attempt_id = 2 AND k = 17 THEN '17' ELSE '{' ||
     CASE WHEN attempt_id = 2 AND k = 11 THEN '' ELSE '"timestamp":"' || CASE WHEN attempt_id = 2 AND k = 16 THEN 'yesterday' ELSE time_text END || '",' END ||
