@@ -29,7 +29,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         seen = jumped.select(F.col("node").alias("b"), "grand")
         best = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("best"))
         hooked = jumped.join(best, "node")
-        none = F.lit(None).cast("string")
+        none = F.lit(None).cast(state.schema["node"].dataType)
         offers = hooked.select("node", F.least("grand", "best").alias("to"), F.col("parent").alias("old")).unionByName(
             hooked.select(F.col("parent").alias("node"), F.col("best").alias("to"), none.alias("old"))
         )
