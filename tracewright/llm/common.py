@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,20 @@ def map_rows(df: DataFrame, schema: str, row: Callable[..., list[tuple]]) -> Dat
                 [pa.array([t[k] for t in out], f.type) for k, f in enumerate(arrow_schema)], schema=arrow_schema
             )
 
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow``, with the package sent to the executors once per application."""
+    context = df.sparkSession.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir() and getattr(context, "_tracewright_sent", None) is None:
+        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # the driver serves it, executors fetch it
+        with zipfile.ZipFile(path, "w") as archive:
+            for source in sorted(package.rglob("*.py")):
+                archive.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(path))
+        context._tracewright_sent = str(path)
     return df.mapInArrow(run, schema)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import Remembered, arrow_types, mix, word_list
+from .common import Remembered, arrow_types, map_arrow, mix, word_list
 
 WINDOW = 8  # template tokens of a window
 MIN_LITERALS = 4  # words among them that are no slot; a shorter item can't be told from chance and matches nothing
@@ -119,7 +119,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 ]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_arrow(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def _filter_bits(items: DataFrame) -> np.ndarray:
@@ -157,7 +157,7 @@ def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> D
                         out.append((key, doc_id, length, a, h, templates.slots(words, kind, first, stop, a, length)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROWS)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, ROWS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_types, gapless_rank, map_rows
+from .common import arrow_types, gapless_rank, map_arrow, map_rows
 from .tokens import text_ids
 
 MAX_TOKENS = 2048
@@ -100,7 +100,7 @@ def place(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
                 [*batch.columns[:5], pa.array(sequence), pa.array(slots["offset"][at])], schema=arrow
             )
 
-    return ranked.mapInArrow(run, schema)
+    return map_arrow(ranked, run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:

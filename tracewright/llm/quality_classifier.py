@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, arrow_types, held_out, mix, word_list
+from .common import Remembered, arrow_types, held_out, map_arrow, mix, word_list
 from .training import training_sample
 
 BITS = 20
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(weight)], names=["index", "weight"])
 
     model = np.zeros((1 << BITS) + 1)
-    for row in sample.mapInArrow(run, "index long, weight double").collect():
+    for row in map_arrow(sample, run, "index long, weight double").collect():
         model[row["index"]] = row["weight"]
     return model
 
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
             )
 
     columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
-    return columns.mapInArrow(run, SCORED)
+    return map_arrow(columns, run, SCORED)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

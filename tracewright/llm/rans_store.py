@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_types, scratch
+from .common import arrow_types, map_arrow, scratch
 from .tokens import text_ids
 
 SCALE_BITS = 20
@@ -168,7 +168,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
                 [batch.column(0), pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array([pack(r) for r in raw])], schema=schema
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STAGED)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, STAGED)
 
 
 def _unpack(binary: bytes) -> np.ndarray:
@@ -191,7 +191,7 @@ def count_tokens(staged: DataFrame) -> DataFrame:
         token = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(total[token])], schema=schema)
 
-    return staged.select("ids").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    return map_arrow(staged.select("ids"), run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
 
 
 def _coded(shard: int, block: int, first: int, first_doc: int, docs: list[tuple], ids: np.ndarray, table: Table) -> tuple:
@@ -255,7 +255,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = staged.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     numbered = ordered.select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "ids")
-    numbered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    map_arrow(numbered, run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 # --- reading ---------------------------------------------------------------------------------------------------------
@@ -298,7 +298,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(run, PIECES)
+    return map_arrow(spark.read.parquet(f"{path}/blocks"), run, PIECES)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
-from .common import arrow_types
+from .common import arrow_types, map_arrow
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
 def _checks(words: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def anchor_rows(distinct: DataFrame) -> DataFrame:
                 row, key, home = anchors(fps.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(home)], schema=schema)
 
-    return distinct.select("fp").mapInArrow(run, "key long, fp long, home boolean")
+    return map_arrow(distinct.select("fp"), run, "key long, fp long, home boolean")
 
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

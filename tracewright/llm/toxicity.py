@@ -11,15 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, arrow_types, held_out, word_list
+from .common import Remembered, arrow_types, held_out, map_arrow, word_list
 from .training import training_sample
 
 BUCKETS = 1 << 16
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-EPOCHS = 6
+EPOCHS = 6  # at least; a small sample is gone through until MIN_STEPS texts were seen
+MIN_STEPS = 12_000
 RATE = 0.1
+MIN_TEXTS = 3  # words seen in fewer texts of the sample have the embedding zero, as unknown words have
 PIECE_WORDS = 1 << 16  # a long text is convolved in pieces of this many words; pooling joins them
 FOLD = 0  # the fifth of the sample that sets the thresholds and is not learnt from
 CUT = 0.7
@@ -52,6 +54,17 @@ class Net:
         self.biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
         self.bias = np.zeros(1, np.float32)
+        self.known = np.ones(BUCKETS, bool)
+
+    def start(self, rows: list[np.ndarray], y: np.ndarray) -> None:
+        """Forget the embeddings of rare words; the first coordinate of the others starts from the odds of a text they are in."""
+        seen = np.zeros((2, BUCKETS))
+        for text, label in zip(rows, y.tolist(), strict=True):
+            seen[label, np.unique(text)] += 1
+        odds = np.log((seen[1] + 1) / ((y == 1).sum() + 2)) - np.log((seen[0] + 1) / ((y == 0).sum() + 2))
+        self.embedding[:, 0] = np.clip(odds / 3, -1, 1)
+        self.known = seen.sum(0) >= MIN_TEXTS
+        self.embedding[~self.known] = 0
 
     def parts(self) -> list[np.ndarray]:
         return [self.embedding, *self.banks, *self.biases, self.out, self.bias]
@@ -113,6 +126,7 @@ class Net:
             bucket, place = np.unique(rows[touched].reshape(-1), return_inverse=True)
             grad = np.zeros((len(bucket), DIM), np.float32)
             np.add.at(grad, place.reshape(-1), np.repeat(dx[touched], 3, axis=0))
+            grad[~self.known[bucket]] = 0
             sums[0][bucket] += grad * grad
             self.embedding[bucket] -= RATE * grad / (np.sqrt(sums[0][bucket]) + 1e-6)
 
@@ -125,10 +139,11 @@ class Net:
 def train(rows: list[np.ndarray], labels: list[int], seed: int = 0) -> Net:
     """Classes weigh the same; the order of the texts is drawn anew each epoch, from a fixed seed."""
     net, rng = Net(seed), np.random.default_rng(seed)
+    net.start(rows, np.array(labels))
     sums = [np.full_like(p, 0.1 if p.ndim != 2 else 0.02) for p in net.parts()]
     y = np.array(labels)
     weight = {c: len(y) / (2 * max(1, (y == c).sum())) for c in (0, 1)}
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS // max(1, len(rows))))):
         for i in rng.permutation(len(rows)):
             net.step(rows[i], int(y[i]), weight[int(y[i])], sums)
     return net
@@ -170,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 2_500) -> tuple
         cuts = {"": calibrate(scores, truth)} | {k: calibrate(scores[of == k], truth[of == k]) for k in both}
         yield pa.RecordBatch.from_pylist([{"net": b"" if k else net.blob(), "lang": k, "cut": v} for k, v in cuts.items()])
 
-    found = sample.mapInArrow(run, "net binary, lang string, cut double").collect()
+    found = map_arrow(sample, run, "net binary, lang string, cut double").collect()
     if not found:  # no label to learn from: every text scores one half
         none = Net()
         none.out[:] = 0
@@ -206,7 +221,7 @@ def score(docs: DataFrame, blob: bytes, cuts: dict[str, float]) -> DataFrame:
     columns = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id").cast("long")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
     )
-    return columns.mapInArrow(run, SCORED)
+    return map_arrow(columns, run, SCORED)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
