@@ -22,8 +22,8 @@ from ..session import cut_lineage
 from .common import arrow_types, map_arrow, scratch
 from .tokens import text_ids
 
-SCALE_BITS = 20
-LANES = 512
+SCALE_BITS = 18
+LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 18
 END_ID = 0
@@ -60,7 +60,7 @@ class Table:
         self.frequency, self.start = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.frequency[tokens] = frequencies
         self.start[tokens] = np.cumsum(frequencies) - frequencies
-        self.token = np.repeat(tokens, frequencies)
+        self.token = np.repeat(tokens, frequencies).astype(np.int32)
 
 
 @cache
@@ -99,7 +99,7 @@ def decode(n: int, words: np.ndarray, states: np.ndarray, places: np.ndarray, ta
     """The ids of a block; its parts between checkpoints are decoded side by side."""
     bits, mask = np.uint64(SCALE_BITS), np.uint64((1 << SCALE_BITS) - 1)
     parts, part = len(places), CHECKPOINT_STEPS * LANES
-    out = np.zeros((parts, CHECKPOINT_STEPS, LANES), np.int64)
+    out = np.zeros((parts, CHECKPOINT_STEPS, LANES), np.int32)
     state, place = states.copy(), places.copy()
     lane = np.arange(LANES)
     sizes = np.minimum(part, n - part * np.arange(parts))
@@ -119,8 +119,7 @@ def decode(n: int, words: np.ndarray, states: np.ndarray, places: np.ndarray, ta
             x[live - 1, done] = state[live - 1, done]
         out[:live, step] = token
         taken = low.sum(1)
-        rank = np.cumsum(low, axis=1) - 1
-        at = (place[:live, None] + rank)[low]
+        at = np.arange(int(taken.sum())) + np.repeat(place[:live] - (np.cumsum(taken) - taken), taken)
         x[low] = (x[low] << WORD_BITS) | words[at]
         place[:live] += taken
         state[:live] = x

@@ -41,19 +41,12 @@ class _Pieces(Remembered):
         if plain := PLAIN.fullmatch(piece):
             word, marks = plain.groups()
             return self[word] + self.first[marks] if marks else self.word(self.prefix + word)
+        if piece[:1] == "\n" and (rest := piece[1:]) and not rest[0].isspace() and not rest[-1].isspace():
+            return self.line_end + self.first[rest]  # a lone line end is a token of its own
         if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise _Irregular
-        if "\n" in piece and (ids := self.lines(piece)) is not None:
-            return ids
         return self.encode(self.prefix + piece)
 
-    def lines(self, piece: str) -> bytes | None:
-        """A piece with lone line ends inside: they are tokens of their own, and so is what they part."""
-        parts = piece.split("\n")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return None
-        return self.line_end.join([self[parts[0]], *map(self.first.__getitem__, parts[1:])])
-
 
 class TextIds:
     """Ids of a text, equal to encoding it in one call.
@@ -98,7 +91,7 @@ class TextIds:
         if not text:
             return b""
         try:
-            return self._join(text.split(" "))
+            return self._join(text.replace("\n", " \n").split(" "))
         except _Irregular:
             return b"".join(self._careful(i, piece) for i, piece in enumerate(INNER_SPACE.split(text)))
 
