@@ -19,9 +19,11 @@ from pyspark.sql.types import StructType
 from ..session import shared_dir
 
 # Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 # Longer words are computed each time, so that the memory of a cache is bounded.
 CACHE_WORD_CHARS = 64
+# Rows of a batch that a Python worker holds.
+BATCH_ROWS = 1_000
 # A ranked group is dealt to chunks of about this many rows.
 RANK_CHUNK_ROWS = 20_000
 
@@ -58,6 +60,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
                 archive.write(source, source.relative_to(package.parent))
         context.addPyFile(str(path))
         context._tracewright_sent = str(path)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
