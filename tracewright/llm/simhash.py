@@ -96,8 +96,8 @@ def _block_anchors(fps: np.ndarray, block: tuple[int, int]) -> tuple[np.ndarray,
     return row, words[row] ^ diff[at], beyond[at]
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, home): each fingerprint's anchors in the three pairs of blocks.
+def anchors(fps: np.ndarray, threshold: int = PAIR_THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, home): each fingerprint's anchors in the three pairs of blocks, home anchors alone for a threshold of 0.
 
     An anchor of a pair is an anchor of either block. Every fingerprint has one home anchor per pair, within
     the radius of both blocks, and is replicated to all anchors within radius plus threshold, the threshold
@@ -108,30 +108,30 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
         (r1, a1, b1), (r2, a2, b2) = by_block[i], by_block[j]
         first = np.searchsorted(r2, np.arange(len(fps) + 1))
-        for spent in range(PAIR_THRESHOLD + 1):
+        for spent in range(threshold + 1):
             left = b1 == spent
             r, a, n = r1[left], a1[left], (first[1:] - first[:-1])[r1[left]]
             row = np.repeat(r, n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[r], n)
-            near = b2[at] + spent <= PAIR_THRESHOLD
+            near = b2[at] + spent <= threshold
             rows.append(row[near])
             keys.append((np.int64(k) << 48) | (np.repeat(a, n)[near] << 24) | a2[at[near]])
             homes.append((b2[at[near]] == 0) & (spent == 0))
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
-def anchor_rows(distinct: DataFrame) -> DataFrame:
-    """(key, fp, home) for each distinct ``fp``; the number of rows per fingerprint does not depend on the data's size."""
-    schema = arrow_types("key long, fp long, home boolean")
+def anchor_rows(distinct: DataFrame, threshold: int) -> DataFrame:
+    """(key, fp) for each distinct ``fp``; the number of rows per fingerprint does not depend on the data's size."""
+    schema = arrow_types("key long, fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 fps = batch.column(0).slice(at, 2_000).to_numpy(zero_copy_only=False)
-                row, key, home = anchors(fps.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(home)], schema=schema)
+                row, key, _ = anchors(fps.view(np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], schema=schema)
 
-    return map_arrow(distinct.select("fp"), run, "key long, fp long, home boolean")
+    return map_arrow(distinct.select("fp"), run, "key long, fp long")
 
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -143,11 +143,11 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     if threshold > THRESHOLD:
         raise ValueError(f"the blocks are laid out for a threshold of {THRESHOLD} at most")
-    rows = anchor_rows(distinct)
-    home = rows.filter("home").select("key", F.col("fp").alias("a"))
-    guests = rows.select("key", F.col("fp").alias("b"))
+    home = anchor_rows(distinct, 0).withColumnRenamed("fp", "a")
+    guests = anchor_rows(distinct, PAIR_THRESHOLD).withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(guests, "key").filter(near).select("a", "b")
+    # neither side is small, whatever its estimate; a sorted merge spills, and hot anchors are split at run time
+    return home.hint("merge").join(guests, "key").filter(near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
