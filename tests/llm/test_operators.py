@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tracewright.llm.common import smallest_reachable
 from tracewright.llm import decontaminate, line_dedup, packing, quality_rules, rans_store, sharding, simhash, tokens, url_lists
 
 WORDS = [f"w{c}{d}ord".replace("w", "Mi" if c in "aeiou" else "to") for c in "abcdefghijkl" for d in "mnopqrstuv"]
@@ -121,6 +122,12 @@ def test_anchors_stay_within_radius_and_threshold():
         assert max(0, d1 - 3) + max(0, d2 - 3) <= (0 if h else 2)
 
 
+@pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(90 - i, 89 - i) for i in range(30)] + [(200, 100), (100, 150), (7, 7)]])
+def test_contraction(spark, edges):
+    got = {r["node"]: r["root"] for r in smallest_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == plain_components({n for a, b in edges if a != b for n in (a, b)}, [e for e in edges if e[0] != e[1]])
+
+
 def test_one_of_each_group_stays(docs, rows):
     kept = [r["doc_id"] for r in simhash.representatives(docs).collect()]
     components = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 
 # Distinct words that a Python worker remembers before it starts afresh.
 CACHE_WORDS = 350_000
@@ -101,6 +101,40 @@ def gapless_rank(df: DataFrame, key: str, order: list[str], name: str) -> DataFr
     return joined.withColumn(name, (F.col("_inside") - 1 + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
+def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root): the smallest node that each node of ``edges`` (a, b) reaches, by contraction.
+
+    A round hooks every node to its smallest neighbour, flattens the trees by pointer jumping, and keeps the edges that
+    still join two trees, so a dense group is down to one node after a round. A hub costs no hot task: minima are combined
+    before the shuffle, and joins have one row per node on one side. Every step is written to the shared folder.
+    """
+    edges, roots = cut_lineage(edges.filter("a <> b").select("a", "b")), None
+    for _ in range(max_rounds):
+        both = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))
+        parent = edges.select(F.explode(both).alias("e")).groupBy("e.node").agg(F.min("e.to").alias("to"))
+        parent = cut_lineage(parent.select("node", F.least("node", "to").alias("up")))
+        for _ in range(max_rounds):
+            above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            parent = cut_lineage(
+                parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+            )
+            if parent.filter("moved").limit(1).count() == 0:
+                break
+            parent = parent.select("node", "up")
+        tree = parent.select("node", "up")
+        if roots is None:
+            roots = tree.select("node", F.col("up").alias("root"))
+        else:
+            above = tree.select(F.col("node").alias("root"), "up")
+            roots = cut_lineage(roots.join(above, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        first = edges.join(tree.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").select("x", "b")
+        moved = first.join(tree.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").filter("x <> y")
+        edges = cut_lineage(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if edges.limit(1).count() == 0:
+            return roots
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
 class Remembered(dict):
     """Values of words, made once and remembered in two generations, so that frequent words are not forgotten."""
 

@@ -13,9 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
 from ..session import cut_lineage
-from .common import arrow_types, map_arrow
+from .common import arrow_types, map_arrow, smallest_reachable
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -161,9 +160,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distinct = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     spread = distinct.repartition(distinct.sparkSession.sparkContext.defaultParallelism * 4, "fp")
     edges = cut_lineage(links(spread).distinct())
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    classes = connected_components(ends, edges).withColumnRenamed("node", "fp")
-    named = distinct.join(classes, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    classes = smallest_reachable(edges).withColumnRenamed("node", "fp")
+    named = distinct.join(classes, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
     by_fp = named.join(smallest, "class").select("fp", "component_id")
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
