@@ -104,6 +104,15 @@ def test_manifests(spark, tmp_path):
     assert (cells.a, cells.s, cells.k) == ("[1,2]", '{"x":1}', "k")
 
 
+def test_folder_named_like_the_root(spark, tmp_path):
+    path = tmp_path / "data" / "logs" / "optc" / "task_lm" / "logs" / "edge_a.log"
+    path.parent.mkdir(parents=True)
+    path.write_text("x\ny\n")
+    rel = "optc/task_lm/logs/edge_a.log"
+    assert [(r.rel_path, r.dataset, r.task) for r in L.scan_files(spark, str(tmp_path / "data" / "logs")).collect()] == [(rel, "optc", "lm")]
+    assert {r.rel_path for r in L.scan_lines(spark, str(tmp_path / "data" / "logs") + "/").collect()} == {rel}
+
+
 def test_trials(spark, tmp_path):
     def put(trial, rel, value):
         path = tmp_path / trial / rel
@@ -117,8 +126,11 @@ def test_trials(spark, tmp_path):
     put("t2", "result.json", {"exception_info": {"exception_type": "AgentTimeoutError"}})
     put("t3", "result.json", {"exception_info": {"exception_type": "Other"}})
     put("t4", "result.json", {})
+    for trial, body in (("t5", "{}"), ("t6", "{broken")):
+        put(trial, "result.json", {"exception_info": {}})
+        put(trial, "verifier/reward.json", body)
     rows = {r.trial_name: r for r in TR.read_trials(spark, str(tmp_path)).collect()}
-    assert {k: r.termination for k, r in rows.items()} == {"T1": "graded", "t2": "policy_timeout", "t3": "infrastructure_error", "t4": "unknown"}
+    assert {k: r.termination for k, r in rows.items()} == {"T1": "graded", "t2": "policy_timeout", "t3": "infrastructure_error", "t4": "unknown", "t5": "unknown", "t6": "unknown"}
     assert (rows["T1"].reward.reward, rows["T1"].diagnostics.tp, rows["T1"].output.bytes, rows["T1"].gaps) == (1.0, 2, 2, [])
     assert rows["T1"].output.sha256 == hashlib.sha256(b"[]").hexdigest() and len(rows["t4"].gaps) == 2 and rows["t4"].output is None
 

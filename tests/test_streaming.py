@@ -1,7 +1,7 @@
 import pytest
 
 from tracewright.operators.selection import early_stop
-from tracewright.streaming.early_stop import early_stop_alerts, stop_step
+from tracewright.streaming.early_stop import early_stop_alerts
 from tracewright.streaming.log_stream import hit_counts, indicator_hits
 from tracewright.streaming.spend import cap_breaches, running_spend
 
@@ -19,22 +19,16 @@ def write(spark, rows, schema, path, parts=1):
 
 
 def test_early_stop_with_late_steps(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [("a", i, d, 0.1, 0.9, 0.0) for i, d in enumerate([0.5, 0.6, 0.6, 0.605, 0.6, 0.6, 0.9])] + [("b", i, 0.1 * i, 0.1, 0.9, 0.0) for i in range(6)]
+    rows = [("a", i, d, 0.1, 0.9, 0.0) for i, d in enumerate([0.5, 0.6, 0.6, 0.605, 0.6, 0.6, 0.9])] + [("b", i, 0.1 * i, 0.1, 0.9, 0.0) for i in range(6)] + [("no base", i, 0.1, 0.1, 0.9, 0.0) for i in range(1, 7)]
     late = [rows[2], *rows[7:9]]
     early = [r for r in rows if r not in late]
     write(spark, early, EVALS, tmp_path / "in")
     write(spark, late, EVALS, tmp_path / "in")
     stream = spark.readStream.schema(EVALS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r.arm: r.stop_step for r in run(spark, early_stop_alerts(stream), "alerts", "append")}
+    got = {r.arm: r.stop_step for r in run(spark, early_stop_alerts(stream), "alerts", "complete")}
     batch = {r.arm: r.stop_step for r in early_stop(spark.createDataFrame(rows, EVALS)).collect()}
     assert batch["a"] == 5 and batch["b"] is None
-    assert got.get("a") == 5 and "b" not in got
-
-
-def test_stop_step_needs_the_base():
-    assert stop_step([(1, (0.1, 0.1, 0.9))] * 5) is None
-    assert stop_step([(i, (0.1, 0.1, 0.9)) for i in range(5)]) == 4
+    assert got.get("a") == 5 and set(got) == {"a"}
 
 
 def test_spend(spark, tmp_path):

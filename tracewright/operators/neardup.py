@@ -11,39 +11,35 @@ from .components import connected_components
 def line_shingles(files: DataFrame, k: int = 3) -> DataFrame:
     """Distinct runs of ``k`` lines of each distinct content: (sha256, shingle).
 
-    ``files``: sha256, text. Runs are cut and hashed inside the row, so texts are never exchanged;
-    copies share their rows and are combined before the exchange.
+    ``files``: sha256, text. A content of fewer lines is one run of all of them. Runs are cut and hashed inside the row, so
+    texts are never exchanged; copies share their rows and are combined before the exchange.
     """
     lines = F.split("text", "\n")
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(lines) - (k - 1), F.lit(1))),
         lambda i: F.unhex(F.md5(F.array_join(F.slice(lines, i, k), "\n"))),
     )
-    long_enough = files.filter(F.size(lines) >= k)
-    return long_enough.select("sha256", F.explode(F.array_distinct(runs)).alias("shingle")).distinct()
+    return files.select("sha256", F.explode(F.array_distinct(runs)).alias("shingle")).distinct()
 
 
-def near_duplicate_pairs(files: DataFrame, k: int = 3, min_shared: int = 2, boilerplate: int = 10) -> DataFrame:
-    """Pairs of contents that share at least ``min_shared`` runs which are not boilerplate.
+def near_duplicate_links(files: DataFrame, k: int = 3, boilerplate: DataFrame | None = None) -> DataFrame:
+    """(a, b, n_shared): contents linked to the smallest content they share a run with, and by how many runs.
 
-    A run found in more than ``boilerplate`` contents is boilerplate by definition and links nothing.
-    It is dropped before anything is collected, so a run lists at most ``boilerplate`` contents and
-    its pairs are bounded by a constant.
+    The holders of a run form a star around the smallest of them, so links are as many as runs, however many contents hold
+    one, and join the same contents as all pairs would. ``boilerplate`` (shingle) lists runs that link nothing.
     """
     shingles = line_shingles(files, k)
-    common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    telling = common.filter(F.col("df").between(2, boilerplate)).select("shingle")
-    holders = shingles.join(telling, "shingle").groupBy("shingle").agg(F.array_sort(F.collect_list("sha256")).alias("_h"))
-    first = holders.select("_h", F.posexplode("_h").alias("_i", "a"))
-    rest = F.slice("_h", F.col("_i") + 2, F.lit(boilerplate))
-    pairs = first.select("a", F.explode(rest).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).filter(F.col("n_shared") >= min_shared)
+    if boilerplate is not None:
+        shingles = shingles.join(boilerplate.select("shingle").distinct(), "shingle", "left_anti")
+    first = shingles.groupBy("shingle").agg(F.min("sha256").alias("a"))
+    star = shingles.join(first, "shingle").filter("a <> sha256")
+    return star.groupBy("a", F.col("sha256").alias("b")).agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-def families(files: DataFrame, k: int = 3, min_shared: int = 2, boilerplate: int = 10) -> DataFrame:
+def families(files: DataFrame, k: int = 3, boilerplate: DataFrame | None = None) -> DataFrame:
     """Family of each file: exact and near duplicates, transitively. ``files``: rel_path, sha256, text."""
     nodes = files.select(F.col("sha256").alias("node")).distinct()
-    found = connected_components(nodes, near_duplicate_pairs(files, k, min_shared, boilerplate))
+    found = connected_components(nodes, near_duplicate_links(files, k, boilerplate))
     return files.select("rel_path", "sha256").join(found.withColumnRenamed("node", "sha256"), "sha256").select(
         "rel_path", "sha256", F.col("component").alias("family")
     )

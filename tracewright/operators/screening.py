@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,35 +11,15 @@ from ..lookups import EXCLUDE_TERMS, FORBIDDEN_PATTERNS, REVIEW_TERMS
 from .scale import compute_once
 
 
-def literal_parts(pattern: str) -> list[str]:
-    """Literals of which a match must hold one: the longest plain run of each alternative.
+def matched_terms(text: Column, patterns: Sequence[str]) -> Column:
+    """Sorted array of the patterns that occur.
 
-    Empty when an alternative has no plain run, or the pattern is too rich to tell.
+    One alternation of all patterns is tested first, and the single ones only on texts that it finds. Patterns are literal
+    arguments, so each is compiled once per task.
     """
-    head = re.sub(r"\(.*", "", pattern) if "(" in pattern else pattern
-    if "(" in pattern and "|" in pattern.replace(pattern[pattern.index("("): pattern.rindex(")") + 1], ""):
-        return []
-    found = []
-    for alternative in head.split("|"):
-        plain = re.sub(r"\\[a-zA-Z]|\\.|.[?*+]|\{.*?\}|\[.*?\]|[.^$]", "\0", alternative)
-        run = max(plain.split("\0"), key=len)
-        if not run:
-            return []
-        found.append(run)
-    return found
-
-
-def _occurs(text: Column, pattern: str) -> Column:
-    """Pattern test behind a literal test, which is far cheaper on long texts that rarely match."""
-    parts = literal_parts(pattern)
-    if not parts:
-        return text.rlike(pattern)
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts]) & text.rlike(pattern)
-
-
-def matched_terms(text: Column, patterns: Sequence[str]) -> Column:
-    """Sorted array of the patterns that occur. Literal patterns, so each is compiled once per task."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(_occurs(text, p), F.lit(p)) for p in patterns])))
+    some = text.rlike("|".join(f"(?:{p})" for p in patterns))
+    found = F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(p)) for p in patterns])))
+    return F.when(some, found).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def keyword_screen(pool: DataFrame, exclude: Sequence[str] = EXCLUDE_TERMS, review: Sequence[str] = REVIEW_TERMS) -> DataFrame:

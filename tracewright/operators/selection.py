@@ -45,7 +45,7 @@ def select_step(evaluations: DataFrame) -> DataFrame:
     )
 
 
-def _fold(steps: Column) -> Column:
+def fold_steps(steps: Column) -> Column:
     """Walk the evaluations of an arm in step order: last accepted best, misses in a row, stop step."""
     start = F.struct(
         F.lit(None).cast("double").alias("best"), F.lit(0).alias("misses"), F.lit(None).cast("long").alias("stop")
@@ -70,5 +70,5 @@ def early_stop(evaluations: DataFrame) -> DataFrame:
     """
     rows = eligible_steps(evaluations)
     ordered = F.array_sort(F.collect_list(F.struct("step", "D", "eligible")))
-    folded = rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n_evaluations"), _fold(ordered).alias("_s"))
+    folded = rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n_evaluations"), fold_steps(ordered).alias("_s"))
     return folded.select("arm", "n_evaluations", F.col("_s.stop").isNotNull().alias("stopped"), F.col("_s.stop").alias("stop_step"))

@@ -84,6 +84,12 @@ def window_slices(lines: DataFrame, files: DataFrame, sizes: dict[str, int] = WI
     return rows.groupBy("rel_path", "window_index").agg(text.alias("slice"))
 
 
+def whole_slices(files: DataFrame) -> DataFrame:
+    """Slices of classification units, which are whole files held as one text: the text, newline-terminated."""
+    whole = F.when(F.endswith("text", F.lit("\n")), F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    return files.filter("task = 'classification' and text <> ''").select("rel_path", F.lit(0).cast("long").alias("window_index"), whole.alias("slice"))
+
+
 def text_slices(files: DataFrame, sizes: dict[str, int] = WINDOW_LINES) -> DataFrame:
     """``window_slices`` for files held as one text: cut inside the row, without an exchange."""
     rows = files.filter("task <> 'classification' and text <> ''").select(
@@ -94,7 +100,8 @@ def text_slices(files: DataFrame, sizes: dict[str, int] = WINDOW_LINES) -> DataF
     rows = rows.withColumn("window_index", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     start = (F.col("window_index") * F.col("_size") + 1).cast("int")
     part = F.slice("_lines", start, F.col("_size"))
-    return rows.select("rel_path", "window_index", F.concat(F.array_join(part, "\n"), F.lit("\n")).alias("slice"))
+    cut = rows.select("rel_path", "window_index", F.concat(F.array_join(part, "\n"), F.lit("\n")).alias("slice"))
+    return cut.unionByName(whole_slices(files))
 
 
 def shifted_windows(units: DataFrame, evidence: DataFrame, files: DataFrame, schema_version: str,

@@ -125,7 +125,7 @@ _add("duplicate_units", *_DOC_WINDOWS, select="SELECT unit_id, count(*) AS n_uni
 _add(
     "slice_hash", *_DOC_WINDOWS,
     select="""SELECT rel_path, window_index, sha256(array_to_string(string_split(text, chr(10))[start_line:end_line], chr(10)) || chr(10)) AS sha256
-      FROM doc_windows WHERE task <> 'classification'""",
+      FROM doc_windows""",
 )
 ORACLES["slice_hash_text"] = ORACLES["slice_hash"]
 _UNITS = _chain("units")
@@ -386,7 +386,7 @@ _add(
 )
 _add(
     "missing_strata", TRIALS,
-    """left_over AS (SELECT * FROM tunits WHERE unit_id NOT IN (SELECT l_orderkey::varchar FROM lineitem) AND (label <> 'positive' OR task = 'lm') AND label <> 'quarantined')""",
+    """left_over AS (SELECT * FROM tunits WHERE unit_id NOT IN (SELECT l_orderkey::varchar FROM lineitem) AND label <> 'quarantined')""",
     select=f"""SELECT task, cls FROM (SELECT unnest({_tasks}) AS task), (SELECT unnest(['positive', 'negative']) AS cls)
       EXCEPT SELECT task, CASE WHEN label IN ('positive', 'attack') THEN 'positive' ELSE 'negative' END FROM left_over""",
 )
@@ -450,9 +450,8 @@ _add(
 
 NEAR = """
 contents AS (SELECT sha256(text) AS sha256, string_split(any_value(text), chr(10)) AS ls FROM documents GROUP BY 1),
-sh AS (SELECT DISTINCT sha256, md5(array_to_string(ls[i:i + 2], chr(10))) AS shingle FROM (SELECT *, unnest(range(1, len(ls) - 1)) AS i FROM contents WHERE len(ls) >= 3)),
-telling AS (SELECT shingle FROM sh GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10),
-near AS (SELECT x.sha256 AS a, y.sha256 AS b, count(*) AS n_shared FROM telling JOIN sh x USING (shingle) JOIN sh y USING (shingle) WHERE x.sha256 < y.sha256 GROUP BY ALL HAVING count(*) >= 2),
+sh AS (SELECT DISTINCT sha256, md5(array_to_string(ls[i:i + 2], chr(10))) AS shingle FROM (SELECT *, unnest(range(1, greatest(len(ls) - 1, 2))) AS i FROM contents)),
+near AS (SELECT a, sha256 AS b, count(*) AS n_shared FROM sh JOIN (SELECT shingle, min(sha256) AS a FROM sh GROUP BY 1) USING (shingle) WHERE a <> sha256 GROUP BY ALL),
 near2 AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 nreach(node, root) AS (SELECT sha256, sha256 FROM contents UNION SELECT n.b, r.root FROM nreach r JOIN near2 n ON n.a = r.node),
 fam AS (SELECT 'doc/' || doc_id AS rel_path, root AS family FROM documents JOIN (SELECT node, min(root) AS root FROM nreach GROUP BY 1) ON node = sha256(text))

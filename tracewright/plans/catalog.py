@@ -32,9 +32,9 @@ from .chain import LogChain
 
 LADDER = [(0.5, 0.1, 0.4), (0.5, 0.15, 0.35), (0.5, 0.2, 0.3)]
 SPLIT_SEED = 20261003
-N_CANDIDATES = 500
+N_CANDIDATES = 4_000
 N_DRAWS = 5_000
-N_BOOTSTRAP = 2_000
+N_BOOTSTRAP = 10_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -269,7 +269,8 @@ def duplicate_units(spark, sf):
 
 @query
 def slice_hash(spark, sf):
-    slices = W.window_slices(B.doc_lines(spark, sf), B.doc_files(spark, sf), B.DOC_SIZES)
+    files = B.doc_files(spark, sf)
+    slices = W.window_slices(B.doc_lines(spark, sf), files, B.DOC_SIZES).unionByName(W.whole_slices(files))
     return slices.select("rel_path", "window_index", F.sha2("slice", 256).alias("sha256"))
 
 
@@ -391,7 +392,8 @@ def line_count_errors(spark, sf):
     chain = LogChain(spark, sf)
     slices = W.window_slices(chain.lines, chain.files, B.LOG_SIZES)
     counted = slices.select("rel_path", "window_index", (F.size(F.split("slice", "\n")) - 1).cast("long").alias("n_found"))
-    units = chain.units.filter("task <> 'classification'")
+    whole = chain.files.filter("task = 'classification'").select("rel_path", F.lit(0).cast("long").alias("window_index"), F.col("lines").cast("long").alias("n_found"))
+    units, counted = chain.units, counted.unionByName(whole)
     found = units.select("unit_id", "rel_path", "window_index").join(counted, ["rel_path", "window_index"])
     return V.line_count_errors(found, units).agg(F.count(F.lit(1)).alias("n_errors"))
 
@@ -570,7 +572,7 @@ def missing_strata(spark, sf):
     """Strata of the units that have no trial at all."""
     units = B.trial_units(spark, sf)
     tried = B.trials(spark, sf).select(F.substring_index("task_name", "/", -1).alias("unit_id")).distinct()
-    return SA.missing_strata(units.join(tried, "unit_id", "left_anti").filter("label <> 'positive' or task = 'lm'"))
+    return SA.missing_strata(units.join(tried, "unit_id", "left_anti"))
 
 
 # --- screening ----------------------------------------------------------------------------------
@@ -671,7 +673,7 @@ def bootstrap_ci(spark, sf):
 
 @query
 def near_dups(spark, sf):
-    return ND.near_duplicate_pairs(B.doc_files(spark, sf))
+    return ND.near_duplicate_links(B.doc_files(spark, sf))
 
 
 @query

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..operators.scale import chunked_row_number
 
 
-def _below(path: Column, root: str) -> Column:
-    """Path relative to ``root``."""
-    name = root.rstrip("/").split("/")[-1]
-    return F.regexp_replace(path, "^.*/" + name + "/", "")
+def _below(spark: SparkSession, path: Column, root: str) -> Column:
+    """Path relative to ``root``, cut by the length of the resolved root."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/")
+    bare = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(bare, len(top) + 2, 1 << 30)
 
 
 def _decoded(path: Column) -> Column:
@@ -26,7 +28,7 @@ def scan_files(spark: SparkSession, root: str, listing: DataFrame | None = None)
     File sources skip empty files: a ``listing`` (rel_path) of the tree adds them.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(root)
-    rel = found.select(_below(F.col("path"), root).alias("rel_path"), F.sha2("content", 256).alias("sha256"), "length")
+    rel = found.select(_below(spark, F.col("path"), root).alias("rel_path"), F.sha2("content", 256).alias("sha256"), "length")
     if listing is not None:
         rel = listing.select("rel_path").join(rel, "rel_path", "left")
     parts = F.split("rel_path", "/")
@@ -48,7 +50,7 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
     )
     rows = text.select(
-        _below(_decoded(F.col("_metadata.file_path")), root).alias("rel_path"),
+        _below(spark, _decoded(F.col("_metadata.file_path")), root).alias("rel_path"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"),
         F.col("value").alias("line"),
     )
@@ -70,7 +72,7 @@ def split_text_lines(texts: DataFrame, *keep: str) -> DataFrame:
 def artifact_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(rel_path, sha256) of every file below ``root``."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    return found.select(_below(F.col("path"), root).alias("rel_path"), F.sha2("content", 256).alias("sha256"))
+    return found.select(_below(spark, F.col("path"), root).alias("rel_path"), F.sha2("content", 256).alias("sha256"))
 
 
 def expected_artifacts(expected: DataFrame, hashes: DataFrame) -> DataFrame:

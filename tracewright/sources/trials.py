@@ -26,12 +26,13 @@ def _whole(spark: SparkSession, root: str, name: str, depth: int) -> DataFrame:
 
 
 def termination_class(reward: Column, exception: Column) -> Column:
+    """``reward``: whether one was given. An exception without type and message is none."""
     kind = exception["exception_type"]
     return (
-        F.when(reward.isNotNull(), "graded")
+        F.when(reward, "graded")
         .when(kind == "AgentTimeoutError", "policy_timeout")
         .when(kind == "ContextLengthExceededError", "context_exhausted")
-        .when(exception.isNotNull(), "infrastructure_error")
+        .when(F.coalesce(kind, exception["exception_message"]).isNotNull(), "infrastructure_error")
         .otherwise("unknown")
     )
 
@@ -45,7 +46,9 @@ def read_trials(spark: SparkSession, root: str) -> DataFrame:
         "trial_dir", F.from_json(F.col("content").cast("string"), DIAGNOSTICS).alias("diagnostics")
     )
     reward = _whole(spark, root, "reward.json", 2).select(
-        "trial_dir", F.from_json(F.col("content").cast("string"), "reward double").alias("reward")
+        "trial_dir", F.from_json(F.col("content").cast("string"), "reward double").alias("reward"),
+        # an empty or broken file is no reward, though it parses to a struct of nulls
+        (F.size(F.from_json(F.col("content").cast("string"), "map<string, string>")) > 0).alias("_rewarded"),
     )
     output = _whole(spark, root, "findings.json", 3).select(
         "trial_dir", F.struct(F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).alias("output")
@@ -68,7 +71,7 @@ def read_trials(spark: SparkSession, root: str) -> DataFrame:
         ).alias("tokens"),
         F.col("r.agent_result.metadata.all_messages").alias("messages"), "output", "reward", "diagnostics",
         "r.verifier_result", F.col("r.exception_info").alias("exception"),
-        termination_class(F.col("reward"), F.col("r.exception_info")).alias("termination"), gaps.alias("gaps"),
+        termination_class(F.coalesce("_rewarded", F.lit(False)), F.col("r.exception_info")).alias("termination"), gaps.alias("gaps"),
     )
 
 
@@ -76,7 +79,7 @@ def read_evaluations(spark: SparkSession, root: str, split: str = "dev") -> Data
     """Evaluation files ``<arm>-<split>-step<NNNN>.json``: arm, step, D, rates and the mean recall over tasks."""
     per_task = "map<string, struct<ordinary_recall double>>"
     schema = f"D double, false_alert_rate double, validity double, per_task {per_task}"
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    name = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/"), -1)
     pattern = rf"^(.*)-{split}-step(\d+)\.json$"
     rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", f"*-{split}-step*.json").json(root)
     recalls = F.filter(F.map_values("per_task"), lambda m: m["ordinary_recall"].isNotNull())

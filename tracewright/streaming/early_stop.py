@@ -1,65 +1,28 @@
-"""Evaluations as a stream: one alert per arm when it stops improving."""
+"""Evaluations as a stream: the arms that stopped improving."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..lookups import FALSE_ALERT_SLACK, MIN_IMPROVEMENT, PATIENCE, VALIDITY_SLACK
+from pyspark.sql import functions as F
 
-OUTPUT = "arm string, stop_step bigint, n_evaluations bigint"
+from ..lookups import FALSE_ALERT_SLACK, VALIDITY_SLACK
+from ..operators.selection import fold_steps
 
 
-class EarlyStop(StatefulProcessor):
-    """Keeps the evaluations of an arm by step, so a late step is replayed in its place.
+def early_stop_alerts(evaluations: DataFrame) -> DataFrame:
+    """(arm, stop_step, n_evaluations) of a stream (arm, step, D, false_alert_rate, validity), in update or complete mode.
 
-    State per arm is one row per step, bounded by the iteration cap. The alert is sent once.
+    The state of an arm is its list of evaluations, bounded by the iteration cap; a late step takes its place in the order.
+    An arm without its base evaluation at step 0 has no eligible step and is not reported.
     """
+    each = F.struct("step", "D", "false_alert_rate", "validity")
+    arms = evaluations.groupBy("arm").agg(F.array_sort(F.collect_list(each)).alias("_steps"))
+    base = F.get(F.filter("_steps", lambda x: x["step"] == 0), F.lit(0))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.steps = handle.getMapState("steps", "step bigint", "D double, false_alert_rate double, validity double")
-        self.sent = handle.getValueState("sent", "stop_step bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                values = tuple(None if pd.isna(v) else float(v) for v in (r.D, r.false_alert_rate, r.validity))
-                self.steps.updateValue((int(r.step),), values)
-        if self.sent.exists():
-            return
-        history = sorted((k[0], tuple(v)) for k, v in self.steps.iterator())
-        stop = stop_step(history)
-        if stop is not None:
-            self.sent.update((stop,))
-            yield pd.DataFrame({"arm": [key[0]], "stop_step": [stop], "n_evaluations": [len(history)]})
-
-    def close(self) -> None:
-        pass
+    def judged(x):
+        held = (x["false_alert_rate"] <= base["false_alert_rate"] + FALSE_ALERT_SLACK) & (x["validity"] >= base["validity"] - VALIDITY_SLACK)
+        return F.struct(x["step"].alias("step"), x["D"].alias("D"), F.coalesce(held & x["D"].isNotNull(), F.lit(False)).alias("eligible"))
 
-
-def stop_step(history: list[tuple[int, tuple]]) -> int | None:
-    """Step at which the arm stops; needs the base evaluation at step 0."""
-    base = dict(history).get(0)
-    if base is None:
-        return None
-    best, misses = None, 0
-    for step, (d, alerts, valid) in history:
-        known = None not in (d, alerts, valid, base[1], base[2])
-        ok = known and alerts <= base[1] + FALSE_ALERT_SLACK and valid >= base[2] - VALIDITY_SLACK
-        if ok and (best is None or d >= best + MIN_IMPROVEMENT):
-            best, misses = d, 0
-        else:
-            misses += 1
-        if misses >= PATIENCE:
-            return step
-    return None
-
-
-def early_stop_alerts(evaluations: DataFrame) -> DataFrame:
-    """Alert rows of a stream of evaluations (arm, step, D, false_alert_rate, validity)."""
-    return evaluations.groupBy("arm").transformWithStateInPandas(
-        statefulProcessor=EarlyStop(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-    )
+    stop = fold_steps(F.transform("_steps", judged))["stop"]
+    found = arms.select("arm", F.when(base.isNotNull(), stop).alias("stop_step"), F.size("_steps").cast("long").alias("n_evaluations"))
+    return found.filter("stop_step is not null")
