@@ -9,6 +9,8 @@ from ..session import cut_lineage
 
 MAX_RATIO = 0.1
 MIN_PAGES = 10
+# Parts that the pages of a site are dealt to where they meet its boilerplate, so that a hot site is not one task's.
+SITE_PARTS = 32
 # Elements whose content is not text, and those that begin and end a line.
 HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->"
 BREAKS = r"(?i)</?(p|div|li|ul|ol|h[1-6]|br|nav|article|section|table|tr|td|th|header|footer|title|head|body|html|aside|main)\b[^>]*>"
@@ -55,7 +57,9 @@ def drop_boilerplate(docs: DataFrame, site: str, text: str = "text", max_ratio:
     keep = F.filter(lines, lambda line: ~F.array_contains(F.col("_lines"), F.xxhash64(line)) | (F.trim(line) == ""))
     found = boilerplate(docs, site, text, max_ratio, min_pages)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*rest).join(found, docs[site] == found["_site"], "left")
+    parts = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SITE_PARTS - 1))))
+    dealt = docs.select(*rest, F.pmod(F.xxhash64(text), F.lit(SITE_PARTS)).cast("int").alias("_of"))
+    joined = dealt.join(parts, (F.col(site) == F.col("_site")) & (F.col("_of") == F.col("_part")), "left")
     kept = joined.withColumn("_kept", F.when(F.col("_lines").isNotNull(), keep))
     columns = [F.when(F.col("_kept").isNull(), F.col(c)).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text else F.col(c) for c in rest]
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
