@@ -114,6 +114,18 @@ def test_annotation_edges(spark):
     assert {(e.a, e.b) for e in got if e.strength == "note"} == notes and notes
 
 
+def test_linear_edges_have_the_components_of_all_edges(spark):
+    rows, files = files_fixture(spark)
+    anns = [(r[3], r[4], r[9], [r[11], r[12][:16]]) for r in rows[::3]]
+    annotations = spark.createDataFrame(anns, "dataset string, task string, scenario string, timestamps array<string>")
+    roots, sizes = [], []
+    for linear in (False, True):
+        edges = [(e.a, e.b) for e in ED.build_edges(files, annotations, linear).filter("strength = 'strong'").collect()]
+        roots.append(union_find([r[1] for r in rows], edges))
+        sizes.append(len(edges))
+    assert roots[0] == roots[1] and sizes[0] > sizes[1]
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
 def test_components(spark, shape):
     n = 300

@@ -3,6 +3,7 @@ import pytest
 from tracewright.operators.selection import early_stop
 from tracewright.streaming.early_stop import early_stop_alerts
 from tracewright.streaming.log_stream import hit_counts, indicator_hits
+from tracewright.streaming.sinks import drain
 from tracewright.streaming.spend import cap_breaches, running_spend
 
 EVALS = "arm string, step int, D double, false_alert_rate double, validity double, positive_recall double"
@@ -36,10 +37,10 @@ def test_spend(spark, tmp_path):
     schema = "phase string, ts string, event_id int, seconds double, rate_per_hour double"
     df = spark.createDataFrame(usage, schema).selectExpr("phase", "cast(ts as timestamp_ntz) ts", "event_id", "seconds", "rate_per_hour")
     got = [(r.phase, r.event_id, r.usd, r.cap) for r in sorted(cap_breaches(df).collect())]
-    assert got == [("other", 9, 2000.0, 1500.0), ("pilot", 2, 300.0, 250.0)]
+    assert got == [("other", 9, 2000.0, 1500.0), ("pilot", 2, 300.0, 250.0), ("total", 9, 2100.0, 1500.0)]
     df.write.parquet(str(tmp_path / "u"))
     rows = run(spark, running_spend(spark.readStream.schema(df.schema).parquet(str(tmp_path / "u"))), "spend", "complete")
-    assert {r.phase: (r.usd, r.over) for r in rows} == {"pilot": (500.0, True), "other": (2000.0, True)}
+    assert {r.phase: (r.usd, r.over) for r in rows} == {"pilot": (500.0, True), "other": (2000.0, True), "total": (2500.0, True)}
 
 
 @pytest.fixture
@@ -55,7 +56,13 @@ def test_log_stream(spark, lines):
 
 
 def test_windowed_hits(spark, lines):
-    counts = run(spark, hit_counts(indicator_hits(lines)), "counts", "complete")
-    assert {(str(r.window_start)[11:16], r.technique): r.n_hits for r in counts} == {
-        ("00:00", "Scheduled Task/Job"): 2, ("00:00", "Create Account"): 1, ("05:00", "Valid Accounts"): 1,
+    counts = drain(hit_counts(indicator_hits(lines)), "append").collect()
+    assert {(str(r.window_start)[11:16], r.technique): r.n_hits for r in counts} == {  # the window of 05:00 is still open
+        ("00:00", "Scheduled Task/Job"): 2, ("00:00", "Create Account"): 1,
     }
+
+
+def test_no_batch_gives_an_empty_table(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("rel_path string, representation string, line string").parquet(str(tmp_path / "none"))
+    assert drain(hit_counts(indicator_hits(stream)), "append").count() == 0

@@ -125,31 +125,41 @@ def overlap_links(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int
     return _edges(linked, F.col("_from.rel_path"), F.col("rel_path"), "window_overlap_same_host", "strong", evidence)
 
 
-def view_name_edges(files: DataFrame) -> DataFrame:
-    """Classification views named after another scenario."""
+def view_name_edges(files: DataFrame, linear: bool = False) -> DataFrame:
+    """Classification views named after another scenario.
+
+    ``linear=True`` links a view to the first file of the key only; ``same_key_edges`` links that one to the others.
+    """
     views = files.filter("task = 'classification'").select(
         F.col("rel_path").alias("_view"), F.col("scenario").alias("_scenario"),
         N.viewed_scenario_key(F.col("dataset"), F.col("scenario")).alias("scenario_key"),
     ).filter("scenario_key is not null")
-    joined = views.join(files.select("rel_path", "scenario_key"), "scenario_key")
+    named = files.select("rel_path", "scenario_key")
+    if linear:
+        first = F.min(F.struct("ordinal", "rel_path")).alias("_first")
+        named = files.groupBy("scenario_key").agg(first).select("_first.rel_path", "scenario_key")
+    joined = views.join(named, "scenario_key")
     evidence = F.concat(F.col("_scenario"), F.lit(" -> "), F.col("scenario_key"))
     return _edges(joined, F.col("_view"), F.col("rel_path"), "classification_view_name", "strong", evidence)
 
 
-def annotation_time_edges(files: DataFrame, annotations: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def annotation_time_edges(
+    files: DataFrame, annotations: DataFrame, bucket_seconds: int = 86_400, linear: bool = False
+) -> DataFrame:
     """Annotation times that fall into the window of a file of another scenario.
 
     ``annotations``: dataset, task, scenario, timestamps. Times are points, so each meets a window in
-    exactly one bucket. With home files the hit must be on the OS and host of the first of them, and
-    every home file is linked; without, a ``note`` edge is written. Hits are reduced to one row per
-    (scenario, file) before they are multiplied by the home files.
+    exactly one bucket. With home files the hit must be on the OS and host of the first of them, which are
+    part of the join key, and every home file is linked; without, a ``note`` edge is written. Hits are reduced
+    to one row per (scenario, file) before they meet the home files. ``linear=True`` links the first home file
+    to each hit and the first hit to each home file: the components of the whole product.
     """
     scope = ["dataset", "task", "scenario"]
     stamps = (
         annotations.select(*scope, F.explode("timestamps").alias("stamp")).distinct()
         .withColumn("_t", _seconds(T.parse_annotation_time(F.col("stamp"))))
     )
-    home = files.groupBy(*scope).agg(F.min(F.struct("ordinal", "os", "host")).alias("_home"))
+    home = files.groupBy(*scope).agg(F.min(F.struct("ordinal", "os", "host", "rel_path")).alias("_home"))
     stamps = stamps.join(home, scope, "left")
     width = F.lit(bucket_seconds)
     windows = _intervals(files).select(
@@ -157,22 +167,30 @@ def annotation_time_edges(files: DataFrame, annotations: DataFrame, bucket_secon
         F.col("scenario").alias("_scenario"), F.col("os").alias("_os"), F.col("host").alias("_host"), "_s", "_e",
         F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))).alias("_bucket"),
     )
-    hits = stamps.withColumn("_bucket", F.floor(F.col("_t") / width)).join(windows, ["dataset", "_bucket"]).filter(
-        F.col("_t").between(F.col("_s"), F.col("_e"))
-        & (F.col("_scenario") != F.col("scenario"))
-        & (F.col("_home").isNull() | ((F.col("_os") == F.col("_home.os")) & F.col("_host").eqNullSafe(F.col("_home.host"))))
-    )
-    hits = hits.groupBy(*scope, "_file", "_name").agg(
-        F.min("stamp").alias("stamp"), F.bool_or(F.col("_home").isNull()).alias("_homeless")
+    stamps = stamps.withColumn("_bucket", F.floor(F.col("_t") / width)).withColumnRenamed("dataset", "_dataset")
+    reaches = (
+        (F.col("_dataset") == F.col("dataset")) & (stamps["_bucket"] == windows["_bucket"])
+        & F.col("_t").between(F.col("_s"), F.col("_e")) & (F.col("_scenario") != F.col("scenario"))
     )
+    same_place = (F.col("_os") == F.col("_home.os")) & F.col("_host").eqNullSafe(F.col("_home.host"))
+    placed = stamps.filter("_home is not null").join(windows, reaches & same_place)
+    homeless = stamps.filter("_home is null").join(windows, reaches)
+    once = lambda hits, *more: hits.groupBy(*scope, "_file", "_name", *more).agg(F.min("stamp").alias("stamp"))
     subject = F.concat_ws("/", "dataset", "scenario")
     inside = F.concat(F.col("stamp"), F.lit(" inside "), F.col("_name"))
-    placed = hits.filter("not _homeless").join(files.select(*scope, "rel_path"), scope)
+    hits = once(placed, F.col("_home.rel_path").alias("_first"))
+    members = files.select(*scope, "rel_path")
+    if linear:
+        hit = F.min(F.struct("_file", "_name", "stamp")).alias("_hit")
+        others = hits.groupBy(*scope, "_first").agg(hit).join(members, scope).filter("rel_path <> _first")
+        placed = hits.withColumnRenamed("_first", "rel_path").unionByName(others.select(*scope, "_hit.*", "rel_path"))
+    else:
+        placed = hits.join(members, scope)
     strong = _edges(
         placed, F.col("rel_path"), F.col("_file"), "annotation_time_inside_window", "strong",
         F.concat(subject, F.lit(" ts "), inside),
     )
-    notes = hits.filter("_homeless").select(
+    notes = once(homeless).select(
         F.col("_file").alias("a"), F.concat(F.lit("annotation:"), subject).alias("b"),
         F.lit("annotation_without_file_inside_window").alias("rule"), F.lit("note").alias("strength"),
         inside.alias("evidence"),
@@ -213,11 +231,11 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def build_edges(files: DataFrame, annotations: DataFrame, linear: bool = False) -> DataFrame:
-    """All rules. ``linear=True`` replaces overlap pairs by the links that suffice for grouping."""
+    """All rules. ``linear=True`` replaces pairs and products by the links that suffice for grouping."""
     overlap = overlap_links(files) if linear else overlap_edges(files)
     parts = [
-        same_key_edges(files), identical_content_edges(files), overlap, view_name_edges(files),
-        annotation_time_edges(files, annotations), campaign_day_links(files),
+        same_key_edges(files), identical_content_edges(files), overlap, view_name_edges(files, linear),
+        annotation_time_edges(files, annotations, linear=linear), campaign_day_links(files),
     ]
     edges = parts[0]
     for part in parts[1:]:

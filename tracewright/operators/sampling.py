@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..lookups import TASKS
+from ..session import cut_lineage
 from .scale import chunked_row_number, hash_bucket
 
 BRANCH = ["task", "cls", "kind"]
@@ -35,7 +36,7 @@ def cell_probabilities(tree: DataFrame) -> DataFrame:
     tasks = classes.groupBy("task").agg(F.count(F.lit(1)).alias("n_classes"))
     total = tasks.agg(F.count(F.lit(1)).alias("n_tasks"))
     branches = kinds.join(classes, ["task", "cls"]).join(tasks, "task").join(total, F.lit(True))
-    rows = cells.join(groups, [*BRANCH, "group_id"]).join(F.broadcast(branches), BRANCH)
+    rows = cells.join(groups, [*BRANCH, "group_id"]).join(branches, BRANCH)
     share = F.lit(1.0)
     for level in ("n_tasks", "n_classes", "n_kinds", "n_groups", "n_views", "n_units"):
         share = share / F.col(level)
@@ -62,17 +63,18 @@ def draw_units(units: DataFrame, n_draws: int, seed: int) -> DataFrame:
 
     A draw walks down the tree: one hash uniform per level picks child ``floor(u * n) + 1``, which
     is looked up by an equi-join on (parent, child number). Children of open levels are numbered in
-    hash buckets. No global sort and no cumulative weights.
+    hash buckets. No global sort and no cumulative weights. The tree and its cells are written once,
+    since every level reads them.
     """
-    tree = sampling_tree(units)
-    cells = cell_probabilities(tree)
+    tree = cut_lineage(sampling_tree(units).select("unit_id", "label", *CELL))
+    cells = cut_lineage(cell_probabilities(tree))
     by_name = lambda name: uniform(F.lit("rank"), F.col(name))
     groups = cells.groupBy(*BRANCH, "group_id").agg(F.max("n_views").alias("n_views"), F.max("n_groups").alias("n_groups"))
     groups = groups.withColumn("_h", by_name("group_id"))
     groups = chunked_row_number(groups, BRANCH, ["_h", "group_id"], hash_bucket(F.col("_h")), "group_no").drop("_h")
     in_group = Window.partitionBy(*BRANCH, "group_id").orderBy("representation")
     views = cells.withColumn("view_no", F.row_number().over(in_group))
-    members = tree.select("unit_id", "label", *CELL).withColumn("_h", by_name("unit_id"))
+    members = tree.withColumn("_h", by_name("unit_id"))
     members = chunked_row_number(members, CELL, ["_h", "unit_id"], hash_bucket(F.col("_h")), "unit_no").drop("_h")
 
     # the closed levels: a handful of rows, one per (task, class, kind)
@@ -81,18 +83,21 @@ def draw_units(units: DataFrame, n_draws: int, seed: int) -> DataFrame:
     kinds = kinds.withColumn("task_no", F.dense_rank().over(order)).withColumn(
         "class_no", F.dense_rank().over(Window.partitionBy("task").orderBy(F.desc("cls")))
     ).withColumn("kind_no", F.row_number().over(Window.partitionBy("task", "cls").orderBy("kind")))
-    kinds = kinds.withColumn("n_kinds", F.max("kind_no").over(Window.partitionBy("task", "cls"))).withColumn(
+    kinds = cut_lineage(kinds.withColumn("n_kinds", F.max("kind_no").over(Window.partitionBy("task", "cls"))).withColumn(
         "n_classes", F.max("class_no").over(Window.partitionBy("task"))
-    ).withColumn("n_tasks", F.max("task_no").over(Window.partitionBy(F.lit(1))))
+    ))
+    n_tasks = kinds.select(F.max("task_no")).scalar()
 
     pick = lambda level, n: (F.floor(uniform(F.lit(seed), F.col("draw_index"), F.lit(level)) * n) + 1).cast("long")
     draws = units.sparkSession.range(n_draws).withColumnRenamed("id", "draw_index")
-    top = F.broadcast(kinds)
-    drawn = draws.join(
-        top,
-        (F.col("task_no") == pick("task", F.col("n_tasks")))
-        & (F.col("class_no") == pick("class", F.col("n_classes")))
-        & (F.col("kind_no") == pick("kind", F.col("n_kinds"))),
+    drawn = draws.withColumn("task_no", pick("task", n_tasks)).join(
+        kinds.select("task", "task_no", "n_classes").distinct(), "task_no"
+    )
+    drawn = drawn.withColumn("class_no", pick("class", F.col("n_classes"))).join(
+        kinds.select("task", "cls", "class_no", "n_kinds").distinct(), ["task", "class_no"]
+    )
+    drawn = drawn.withColumn("kind_no", pick("kind", F.col("n_kinds"))).join(
+        kinds.select(*BRANCH, "kind_no", "n_groups"), ["task", "cls", "kind_no"]
     ).select("draw_index", *BRANCH, "n_groups")
     drawn = drawn.withColumn("group_no", pick("group", F.col("n_groups"))).drop("n_groups")
     drawn = drawn.join(groups.drop("n_groups"), [*BRANCH, "group_no"])

@@ -26,14 +26,12 @@ def paired_bootstrap(groups: DataFrame, n_draws: int = 10_000, seed: int = 0, le
 
     ``groups``: grp, value_a, value_b (null where the arm has no denominator). Both arms share the
     draws. A group enters draw ``b`` with a Poisson(1) weight from the hash of (seed, b, group): no
-    draw needs to pick groups by position, and all sums of a block of draws are formed where it is. Draws
-    in which an arm has no group are counted, not dropped silently. Groups are spread by blocks of
-    draws, since they may come from a single partition.
+    draw needs to pick groups by position. Groups are spread once, and a task sums each draw over its own
+    groups, so ``n_draws`` rows leave a task whatever the number of groups. Draws in which an arm has no
+    group are counted, not dropped silently.
     """
-    last, block = F.lit(n_draws - 1), 100
-    rows = groups.withColumn("_block", F.explode(F.sequence(F.lit(0), last, F.lit(block)))).repartition("_block")
-    each = F.sequence(F.col("_block"), F.least(F.col("_block") + (block - 1), last))
-    rows = rows.withColumn("draw", F.explode(each))
+    spread = groups.repartition(groups.sparkSession.sparkContext.defaultParallelism, "grp")
+    rows = spread.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     rows = rows.withColumn("w", poisson_weight(uniform(F.lit(seed), F.col("draw"), F.col("grp"))))
     has = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("w")).otherwise(0))
     total = lambda c: F.sum(F.col(c) * F.col("w"))

@@ -74,8 +74,8 @@ _add("duplicate_contents", V.DOCS, select="SELECT sha256, count(*) AS n_files FR
 for _name, _view in (("edges_same_key", "e_key"), ("edges_identical", "e_same"), ("edges_view_name", "e_view"), ("edges_point_in_window", "e_ann"), ("edges_campaign_day", "e_day")):
     _add(_name, V.DOCS, V.EDGES, select=f"SELECT a, b, rule, strength, evidence FROM {_view}")
 _add("edges_overlap", V.DOCS, V.EDGES, select="SELECT a, b, rule, strength, evidence FROM e_overlap")
-_add("edges_dedup", V.DOCS, V.EDGES, select="SELECT a, b, rule, strength, evidence FROM all_edges")
-_add("edge_histogram", V.DOCS, V.EDGES, select="SELECT rule, strength, count(*) AS n_edges FROM all_edges GROUP BY ALL")
+_add("edges_dedup", V.DOCS, V.EDGES, select="SELECT a, b, rule, strength, evidence FROM linear_edges")
+_add("edge_histogram", V.DOCS, V.EDGES, select="SELECT rule, strength, count(*) AS n_edges FROM linear_edges GROUP BY ALL")
 
 _GROUPED = (V.DOCS, V.EDGES, V.components("'strong'"))
 _add("components", *_GROUPED, select="SELECT rel_path, group_id FROM mapping")
@@ -315,15 +315,16 @@ _add(
       coalesce(b.step > 0 AND b.D - e.D >= 0.10::double AND coalesce(b.r, 0) > coalesce(e.r, 0), false) AS manipulation_check_passed
       FROM ev e LEFT JOIN best b USING (arm) WHERE e.step = 0""",
 )
-_add(
-    "early_stop", EVALS,
-    """ord AS (SELECT *, d_ok AND f_ok AND v_ok AS ok, row_number() OVER (PARTITION BY arm ORDER BY step) AS place FROM el),
+WALK = """ord AS (SELECT *, d_ok AND f_ok AND v_ok AS ok, row_number() OVER (PARTITION BY arm ORDER BY step) AS place FROM el),
       walk(arm, place, step, best, misses) AS (
         SELECT arm, 0::bigint, -1::bigint, NULL::double, 0 FROM ev WHERE step = 0
         UNION ALL
         SELECT o.arm, o.place, o.step::bigint, CASE WHEN o.ok AND (w.best IS NULL OR o.D >= w.best + 0.01::double) THEN o.D ELSE w.best END,
           CASE WHEN o.ok AND (w.best IS NULL OR o.D >= w.best + 0.01::double) THEN 0 ELSE w.misses + 1 END
-        FROM walk w JOIN ord o ON o.arm = w.arm AND o.place = w.place + 1)""",
+        FROM walk w JOIN ord o ON o.arm = w.arm AND o.place = w.place + 1)"""
+_add(
+    "early_stop", EVALS,
+    WALK,
     select="""SELECT arm, max(place) AS n_evaluations, coalesce(bool_or(misses >= 4), false) AS stopped, min(step) FILTER (misses >= 4) AS stop_step FROM walk GROUP BY arm""",
 )
 
@@ -464,8 +465,9 @@ _add("family_representatives", NEAR, select="SELECT family, min(rel_path) AS rel
 
 _add(
     "cap_breaches",
-    """usage AS (SELECT event_type AS phase, event_id, ts, sum(value * 60 / 3600 * 18.36::double) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS usd,
-        CASE event_type WHEN 'click' THEN 40.0::double WHEN 'view' THEN 60.0::double WHEN 'error' THEN 1e9::double ELSE 80.0::double END AS cap FROM events)""",
+    """booked AS (SELECT unnest([event_type, 'total']) AS phase, event_id, ts, value FROM events),
+      usage AS (SELECT phase, event_id, ts, sum(value * 60 / 3600 * 18.36::double) OVER (PARTITION BY phase ORDER BY ts, event_id) AS usd,
+        CASE phase WHEN 'click' THEN 40.0::double WHEN 'view' THEN 60.0::double WHEN 'error' THEN 1e9::double ELSE 80.0::double END AS cap FROM booked)""",
     select="SELECT phase, arg_min(event_id, (ts, event_id)) AS event_id, round(arg_min(usd, (ts, event_id)), 6) AS usd, any_value(cap) AS cap FROM usage WHERE usd >= cap GROUP BY phase",
 )
 
@@ -475,12 +477,18 @@ _add(
     "stream_hit_counts",
     f"""lines AS (SELECT ts, '(' || {V.second('ts')} || ') [' || event_id || '] --> ' || CASE event_type WHEN 'purchase' THEN 'ssh root' WHEN 'error' THEN 'useradd bob' WHEN 'signup' THEN 'scp' WHEN 'click' THEN 'sudo id'
         ELSE 'cat notes' END AS line FROM events),
-      hits AS (SELECT date_trunc('hour', ts) AS h, technique FROM lines, (SELECT unnest([{', '.join(quote(t) for t in TECHNIQUE_INDICATORS)}]) AS technique)
+      hits AS (SELECT date_trunc('hour', ts) AS h, ts AS t, technique FROM lines, (SELECT unnest([{', '.join(quote(t) for t in TECHNIQUE_INDICATORS)}]) AS technique)
         WHERE {V.indicator('technique', 'line')})""",
-    select=f"SELECT {V.second('h')} AS window_start, technique, count(*) AS n_hits FROM hits GROUP BY ALL",
+    # a window is closed once it ended ten minutes before the last hit
+    select=f"""SELECT {V.second('h')} AS window_start, technique, count(*) AS n_hits FROM hits
+      WHERE h + INTERVAL 1 HOUR <= (SELECT max(date_trunc('second', t)) - INTERVAL 10 MINUTE FROM hits) GROUP BY ALL""",
 )
 _add(
     "stream_spend",
-    "spent AS (SELECT event_type AS phase, sum(value * 60 / 3600 * 18.36::double) AS usd FROM events GROUP BY 1)",
+    "spent AS (SELECT unnest([event_type, 'total']) AS phase, sum(value * 60 / 3600 * 18.36::double) AS usd FROM events GROUP BY 1)",
     select="SELECT phase, round(usd, 6) AS usd, usd >= 1500.0 AS over FROM spent",
 )
+_add(
+    "stream_early_stop", EVALS, WALK,
+    select="SELECT * FROM (SELECT arm, max(place) AS n_evaluations, min(step) FILTER (misses >= 4)::int AS stop_step FROM walk GROUP BY arm) WHERE stop_step IS NOT NULL",
+)

@@ -112,6 +112,25 @@ e_ann AS (
   UNION ALL
   SELECT file, 'annotation:' || dataset || '/' || scenario, 'annotation_without_file_inside_window', 'note', min(stamp || ' inside ' || filename)
   FROM ann_hits WHERE homeless GROUP BY ALL),
+l_overlap AS (
+  SELECT least(p.rel_path, f.rel_path) a, greatest(p.rel_path, f.rel_path) b, 'window_overlap_same_host' AS rule, 'strong' AS strength,
+    p.window_start || '..' || p.window_end || ' overlaps ' || f.window_start || '..' || f.window_end AS evidence
+  FROM (SELECT *, max((ended, rel_path)) OVER (PARTITION BY dataset, os, host ORDER BY started, rel_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM doc_files) f JOIN doc_files p ON p.rel_path = f.reach[2] WHERE f.reach[1] >= f.started),
+firsts AS (SELECT scenario_key, arg_min(rel_path, ordinal) AS rel_path FROM doc_files GROUP BY 1),
+l_view AS (
+  SELECT e.* FROM e_view e JOIN firsts f ON f.scenario_key = split_part(e.evidence, ' -> ', 2) AND f.rel_path IN (e.a, e.b)),
+home_first AS (SELECT dataset, task, scenario, arg_min(rel_path, ordinal) AS hub FROM doc_files GROUP BY ALL),
+ann_links AS (
+  SELECT x.*, hub AS other FROM ann_hits x JOIN home_first USING (dataset, task, scenario)
+  UNION ALL
+  SELECT x.*, f.rel_path FROM (SELECT * FROM ann_hits QUALIFY row_number() OVER (PARTITION BY dataset, task, scenario ORDER BY file) = 1) x
+  JOIN home_first h USING (dataset, task, scenario) JOIN doc_files f USING (dataset, task, scenario) WHERE f.rel_path <> h.hub),
+l_ann AS (
+  SELECT least(other, file) a, greatest(other, file) b, 'annotation_time_inside_window' AS rule, 'strong' AS strength,
+    dataset || '/' || scenario || ' ts ' || stamp || ' inside ' || filename AS evidence FROM ann_links WHERE other <> file
+  UNION ALL
+  SELECT * FROM e_ann WHERE strength = 'note'),
 day_files AS (
   SELECT *, substr(window_start, 1, 10) AS day, first_value(rel_path) OVER (PARTITION BY substr(window_start, 1, 10), host ORDER BY ordinal) AS hub,
     first_value(rel_path) OVER (PARTITION BY substr(window_start, 1, 10) ORDER BY ordinal) AS top,
@@ -127,7 +146,11 @@ e_day AS (
 all_edges AS (
   SELECT a, b, rule, strength, min(evidence) AS evidence FROM (
     SELECT * FROM e_key UNION ALL SELECT * FROM e_same UNION ALL SELECT * FROM e_overlap UNION ALL SELECT * FROM e_view
-    UNION ALL SELECT * FROM e_ann UNION ALL SELECT * FROM e_day) GROUP BY a, b, rule, strength)
+    UNION ALL SELECT * FROM e_ann UNION ALL SELECT * FROM e_day) GROUP BY a, b, rule, strength),
+linear_edges AS (
+  SELECT a, b, rule, strength, min(evidence) AS evidence FROM (
+    SELECT * FROM e_key UNION ALL SELECT * FROM e_same UNION ALL SELECT * FROM l_overlap UNION ALL SELECT * FROM l_view
+    UNION ALL SELECT * FROM l_ann UNION ALL SELECT * FROM e_day) GROUP BY a, b, rule, strength)
 """
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,8 @@ from ..operators import splits as SP
 from ..operators import uncertainty as U
 from ..operators import validation as V
 from ..operators import windows as W
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
+from ..streaming import early_stop as ES
 from ..streaming import log_stream, sinks, spend
 from . import bindings as B
 from .chain import LogChain
@@ -154,18 +156,18 @@ def _inventory(spark, sf) -> DataFrame:
     return cut_lineage(B.doc_files(spark, sf).drop("text"))
 
 
-def _edges(files, linear=False):
+def _edges(files, linear: bool):
     return ED.build_edges(files, B.doc_annotations(files), linear)
 
 
 @query
 def edges_dedup(spark, sf):
-    return _edges(_inventory(spark, sf))
+    return _edges(_inventory(spark, sf), linear=True)
 
 
 @query
 def edge_histogram(spark, sf):
-    return ED.rule_histogram(_edges(_inventory(spark, sf)))
+    return ED.rule_histogram(_edges(_inventory(spark, sf), linear=True))
 
 
 def _grouped(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -704,9 +706,9 @@ def cap_breaches(spark, sf):
 
 @query
 def stream_hit_counts(spark, sf):
-    """Technique hits per hour, from the events read as a stream."""
+    """Technique hits of each closed hour, from the events read as a stream."""
     hits = log_stream.indicator_hits(B.streamed_lines(B.event_stream(spark, sf)))
-    out = sinks.drain(log_stream.hit_counts(hits))
+    out = sinks.drain(log_stream.hit_counts(hits), "append")
     return out.select(F.substring(_text("window_start"), 1, 19).alias("window_start"), "technique", "n_hits")
 
 
@@ -717,3 +719,13 @@ def stream_spend(spark, sf):
         F.col("event_type").alias("phase"), (F.col("value") * 60).alias("seconds"), F.lit(18.36).alias("rate_per_hour")
     )
     return sinks.drain(spend.running_spend(usage)).select("phase", _round("usd", 6), "over")
+
+
+@query
+def stream_early_stop(spark, sf):
+    """Arms that stopped improving, from their evaluations written out and read back as a stream."""
+    stored = f"{shared_dir(spark).rstrip('/')}/tracewright-evaluations-{uuid.uuid4().hex}"
+    evaluations = B.evaluations(spark, sf)
+    evaluations.write.parquet(stored)
+    stream = spark.readStream.schema(evaluations.schema).parquet(stored)
+    return sinks.drain(ES.early_stop_alerts(stream))

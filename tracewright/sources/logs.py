@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import chunked_row_number
+from ..session import cut_lineage
 
 
 def _below(spark: SparkSession, path: Column, root: str) -> Column:
@@ -42,9 +42,10 @@ def scan_files(spark: SparkSession, root: str, listing: DataFrame | None = None)
 def scan_lines(spark: SparkSession, root: str) -> DataFrame:
     """Numbered lines of all ``*.log`` files: rel_path, dataset, task, line_no, line.
 
-    The text source splits large files into blocks. Lines are numbered inside their block and shifted
-    by the line counts of earlier blocks, so one file may be read by any number of tasks. Lines end
-    at ``\\n`` only; a final newline starts no further line.
+    The text source splits large files into blocks, which tasks read in any order. The lines of a block have
+    consecutive ids, so a line's number is its id, less the first id of its block, plus the lines of earlier
+    blocks. Only the table of blocks is written and joined; texts stay where they are read as long as that table is
+    below the broadcast threshold. Lines end at ``\\n`` only; a final newline starts no further line.
     """
     text = (
         spark.read.option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
@@ -54,7 +55,11 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"),
         F.col("value").alias("line"),
     )
-    numbered = chunked_row_number(rows, ["rel_path"], ["_order"], F.col("_block"), "line_no")
+    blocks = rows.groupBy("rel_path", "_block").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("rel_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift")
+    numbered = rows.join(cut_lineage(blocks.select("rel_path", "_block", shift)), ["rel_path", "_block"])
+    numbered = numbered.withColumn("line_no", F.col("_order") + F.col("_shift"))
     parts = F.split("rel_path", "/")
     return numbered.select(
         "rel_path", F.get(parts, F.lit(0)).alias("dataset"),

@@ -23,7 +23,10 @@ def indicator_hits(lines: DataFrame) -> DataFrame:
 
 
 def hit_counts(hits: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Hits per technique and event-time window. Run in a UTC session: watermarks need ``TIMESTAMP``."""
+    """Hits per technique and event-time window, in append mode: a window comes out once it is ``delay`` old.
+
+    Windows leave the state as they come out. Run in a UTC session: watermarks need ``TIMESTAMP``.
+    """
     timed = hits.filter("ts is not null").withColumn("event_time", F.col("ts").cast("timestamp"))
     return timed.withWatermark("event_time", delay).groupBy(F.window("event_time", window), "technique").agg(
         F.count(F.lit(1)).alias("n_hits")

@@ -12,18 +12,19 @@ from ..session import shared_dir
 def drain(stream: DataFrame, output_mode: str = "complete") -> DataFrame:
     """Process all available input and return the result table.
 
-    Each batch is written by the executors to the shared checkpoint folder; in complete mode it
-    replaces the one before it.
+    Each batch is written by the executors to the shared checkpoint folder, under its number, so that a batch
+    that is run again replaces itself; in complete mode it replaces the one before it. Without a batch the table is empty.
     """
     base = f"{shared_dir(stream.sparkSession).rstrip('/')}/tracewright-stream-{uuid.uuid4().hex}"
-    mode = "overwrite" if output_mode == "complete" else "append"
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{base}/table/none")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode(mode).parquet(f"{base}/table")
+    def write(batch: DataFrame, number: int) -> None:
+        place = "all" if output_mode == "complete" else f"batch-{number}"
+        batch.write.mode("overwrite").parquet(f"{base}/table/{place}")
 
     query = (
         stream.writeStream.foreachBatch(write).outputMode(output_mode)
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/table")
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/table")

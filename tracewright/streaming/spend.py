@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..lookups import PHASE_CAPS_USD, TOTAL_CAP_USD
 
 
+# The phase under which the usage of all phases is summed.
+TOTAL = "total"
+
+
 def cost(seconds: Column, rate_per_hour: Column) -> Column:
     return seconds / 3600 * rate_per_hour
 
@@ -17,30 +21,39 @@ def phase_cap(phase: Column, caps: dict[str, float] = PHASE_CAPS_USD, total: flo
     return F.coalesce(known, F.lit(total))
 
 
+def with_total(usage: DataFrame) -> DataFrame:
+    """Every usage under its phase and under TOTAL, whose cap is that of all phases together."""
+    return usage.withColumn("phase", F.explode(F.array("phase", F.lit(TOTAL))))
+
+
 def running_spend(usage: DataFrame) -> DataFrame:
-    """Stream: spend so far per phase, with ``over`` set once its cap is reached (update or complete mode).
+    """Stream: spend so far per phase and over all, with ``over`` set once a cap is reached (update or complete mode).
 
-    ``usage``: phase, seconds, rate_per_hour. State is one sum per phase.
+    ``usage``: phase, seconds, rate_per_hour. State is one sum per phase, and one for all.
     """
-    spent = usage.groupBy("phase").agg(F.sum(cost(F.col("seconds"), F.col("rate_per_hour"))).alias("usd"))
+    spent = with_total(usage).groupBy("phase").agg(F.sum(cost(F.col("seconds"), F.col("rate_per_hour"))).alias("usd"))
     return spent.withColumn("over", F.col("usd") >= phase_cap(F.col("phase")))
 
 
 def cap_breaches(usage: DataFrame, caps: dict[str, float] = PHASE_CAPS_USD, total: float = TOTAL_CAP_USD) -> DataFrame:
-    """Batch: per phase the first usage at which its cap is reached: (phase, ts, usd, cap).
+    """Batch: per phase, and for all, the first usage at which its cap is reached: (phase, ts, event_id, usd, cap).
 
-    Usage is summed per (phase, second) first; the running sum is over seconds, and only the second
-    in which the cap falls is read in full, so no phase is sorted in one task. ``usage``: phase, ts,
-    event_id, seconds, rate_per_hour.
+    Usage is summed per (phase, second) first. Running sums go over the hours of a phase and over the seconds of an
+    hour, and only the second in which the cap falls is read in full, so no phase is sorted in one task. ``usage``:
+    phase, ts, event_id, seconds, rate_per_hour.
     """
-    rows = usage.withColumn("usd", cost(F.col("seconds"), F.col("rate_per_hour"))).withColumn(
+    rows = with_total(usage).withColumn("usd", cost(F.col("seconds"), F.col("rate_per_hour"))).withColumn(
         "_second", F.substring(F.col("ts").cast("string"), 1, 19)
     )
-    hours = rows.groupBy("phase", "_second").agg(F.sum("usd").alias("_usd"))
-    before = Window.partitionBy("phase").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.withColumn("_before", F.coalesce(F.sum("_usd").over(before), F.lit(0.0)))
-    hours = hours.withColumn("cap", phase_cap(F.col("phase"), caps, total))
-    crossing = hours.filter((F.col("_before") < F.col("cap")) & (F.col("_before") + F.col("_usd") >= F.col("cap")))
+    seconds = rows.groupBy("phase", "_second").agg(F.sum("usd").alias("_usd")).withColumn("_hour", F.substring("_second", 1, 13))
+    hours = seconds.groupBy("phase", "_hour").agg(F.sum("_usd").alias("_usd"))
+    before = Window.partitionBy("phase").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("phase", "_hour", F.coalesce(F.sum("_usd").over(before), F.lit(0.0)).alias("_carry"))
+    within = Window.partitionBy("phase", "_hour").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
+    seconds = seconds.join(hours, ["phase", "_hour"])
+    seconds = seconds.withColumn("_before", F.col("_carry") + F.coalesce(F.sum("_usd").over(within), F.lit(0.0)))
+    seconds = seconds.withColumn("cap", phase_cap(F.col("phase"), caps, total))
+    crossing = seconds.filter((F.col("_before") < F.col("cap")) & (F.col("_before") + F.col("_usd") >= F.col("cap")))
     inside = Window.partitionBy("phase", "_second").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     detail = rows.join(crossing.select("phase", "_second", "_before", "cap"), ["phase", "_second"])
     detail = detail.withColumn("usd", F.col("_before") + F.sum("usd").over(inside)).filter("usd >= cap")
