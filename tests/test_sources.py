@@ -74,7 +74,7 @@ def test_text_lines(spark):
 
 def test_annotations(spark, tmp_path):
     for dataset, task, rows in [
-        ("lab", "lm", [{"lm-scenario1": [{"timestamp": ["2024-01-01 00:00:01"], "external host": ["h1", "h2"], "username": ["a\\\\b"]}, {"timestamp": ["t"], "external host": ["h3"]}]}, {"lm-scenario2": []}]),
+        ("lab", "lm", [{"lm-scenario1": [{"timestamp": ["2024-01-01 00:00:01"], "external host": ["h1", "h2"], "username": ["a\\\\b"], "note": ["n"]}, {"timestamp": ["t"], "external host": ["h3"]}]}, {"lm-scenario2": []}]),
         ("optc", "exfiltration", [{"exfiltration-scenario1": [{"timestamp": ["2024-01-01 00:00"], "exfiltrated data": ["C:\\\\x"]}]}]),
     ]:
         path = tmp_path / dataset / f"groundtruth-{task}.jsonl"
@@ -83,7 +83,7 @@ def test_annotations(spark, tmp_path):
     rows = {(r.dataset, r.task, r.scenario, r.record_index): r for r in A.read_annotations(spark, str(tmp_path)).collect()}
     assert set(rows) == {("lab", "lm", "lm-scenario1", 0), ("lab", "lm", "lm-scenario1", 1), ("optc", "exfiltration", "exfiltration-scenario1", 0)}
     first = rows[("lab", "lm", "lm-scenario1", 0)]
-    assert (first.timestamps, first.entities, set(first.extra)) == (["2024-01-01 00:00:01"], ["h1", "h2"], {"username"})
+    assert (first.timestamps, first.entities, set(first.extra)) == (["2024-01-01 00:00:01"], ["h1", "h2"], {"username", "note"})
     assert rows[("optc", "exfiltration", "exfiltration-scenario1", 0)].entities == ["C:\\x"]
     assert A.annotation_hashes(spark, str(tmp_path)).count() == 2
 
@@ -95,8 +95,11 @@ def test_manifests(spark, tmp_path):
     assert back.first().evidence == "e" and back.first().strength == "strong"
     (tmp_path / "one.jsonl").write_text('{"a":"x","b":"y"}\n\n{"a":"z"}\n')
     assert MF.read_manifest(spark, str(tmp_path / "one.jsonl"), MF.EDGE_SCHEMA).count() == 2
-    files = spark.range(50).selectExpr("'train' split", "'g' group_id", "concat('f', id) rel_path", "'s' sha256", "'lm' task", "'edge' representation", "id lines")
-    parts = MF.nested_split_manifest(files, part_files=10).collect()
+    files = spark.range(50).selectExpr("'train' split", "'g' group_id", "concat('f', id) rel_path", "'s' sha256", "'lm' task", "'edge' representation", "id lines", "if(id = 0, null, concat('h', id % 3)) host", "'k' scenario_key")
+    groups = spark.sql("select 'g' group_id, 'lab' dataset, 'mixed' label, array('linux') os, array('lm') tasks")
+    parts = MF.nested_split_manifest(files, groups, part_files=10).collect()
+    assert {(p.dataset, p.label, tuple(p.os), tuple(p.tasks), tuple(p.scenario_keys)) for p in parts} == {("lab", "mixed", ("linux",), ("lm",), ("k",))}
+    assert {h for p in parts for h in p.hosts} == {"h0", "h1", "h2"}
     assert sum(len(p.files) for p in parts) == 50 and all(p.n_parts == 5 for p in parts) and max(len(p.files) for p in parts) < 30
     MF.write_draws(spark.range(3), spark.range(1), str(tmp_path / "draws"))
     assert spark.read.parquet(str(tmp_path / "draws" / "draws")).count() == 3
@@ -119,7 +122,7 @@ def test_trials(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(value if isinstance(value, str) else json.dumps(value))
 
-    put("t1", "result.json", {"trial_name": "T1", "id": "1", "task_name": "pool/u1", "agent_result": {"n_input_tokens": 5, "rollout_details": [{"x": 1}], "metadata": {"n_episodes": 2, "all_messages": []}}})
+    put("t1", "result.json", {"trial_name": "T1", "id": "1", "task_name": "pool/u1", "agent_setup": {"started_at": "x"}, "agent_result": {"n_input_tokens": 5, "rollout_details": [{"x": 1}], "metadata": {"n_episodes": 2, "all_messages": []}}})
     put("t1", "verifier/reward.json", {"reward": 1.0})
     put("t1", "verifier/diagnostics.json", {"schema_valid": True, "tp": 2, "n_targets": 2})
     put("t1", "artifacts/app/findings.json", "[]")
@@ -129,7 +132,9 @@ def test_trials(spark, tmp_path):
     for trial, body in (("t5", "{}"), ("t6", "{broken")):
         put(trial, "result.json", {"exception_info": {}})
         put(trial, "verifier/reward.json", body)
-    rows = {r.trial_name: r for r in TR.read_trials(spark, str(tmp_path)).collect()}
+    rows = {r.trial_name: r for r in TR.read_trials(spark, str(tmp_path), "dev", "base", 0.5).collect()}
+    assert (rows["T1"].split, rows["T1"].policy, rows["T1"].sampler_probability) == ("dev", "base", 0.5)
+    assert rows["T1"].timing.agent_setup.toPython() == {"started_at": "x"} and rows["T1"].timing.verifier is None
     assert {k: r.termination for k, r in rows.items()} == {"T1": "graded", "t2": "policy_timeout", "t3": "infrastructure_error", "t4": "unknown", "t5": "unknown", "t6": "unknown"}
     assert (rows["T1"].reward.reward, rows["T1"].diagnostics.tp, rows["T1"].output.bytes, rows["T1"].gaps) == (1.0, 2, 2, [])
     assert rows["T1"].output.sha256 == hashlib.sha256(b"[]").hexdigest() and len(rows["t4"].gaps) == 2 and rows["t4"].output is None

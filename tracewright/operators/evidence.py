@@ -160,3 +160,17 @@ def target_summary(targets: DataFrame) -> DataFrame:
     return targets.rollup("status", "dataset", "task").agg(
         F.count(F.lit(1)).alias("n_targets"), F.grouping_id().alias("level")
     ).filter("level in (0, 3)").select("dataset", "task", "status", "n_targets")
+
+
+def unit_targets(units: DataFrame, window_targets: DataFrame, targets: DataFrame, stamps: DataFrame) -> DataFrame:
+    """Ground truth of each investigation unit, one row per target and stamp, with the target's aliases.
+
+    ``target_order`` puts supported targets before ambiguous ones, each sorted by id.
+    """
+    spans = units.filter("task <> 'classification'").select("unit_id", "rel_path", "window_index")
+    rows = window_targets.join(spans, ["rel_path", "window_index"]).join(targets.select("target_id", "aliases"), "target_id")
+    stamped = stamps.select("target_id", F.col("stamp_norm").alias("stamp")).distinct()
+    order = F.concat(F.when(F.col("status") == "supported_positive", "0").otherwise("1"), F.col("target_id"))
+    return rows.join(stamped, "target_id").select(
+        "unit_id", "target_id", order.alias("target_order"), "status", "stamp", "aliases"
+    )

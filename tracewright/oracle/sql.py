@@ -492,3 +492,34 @@ _add(
     "stream_early_stop", EVALS, WALK,
     select="SELECT * FROM (SELECT arm, max(place) AS n_evaluations, min(step) FILTER (misses >= 4)::int AS stop_step FROM walk GROUP BY arm) WHERE stop_step IS NOT NULL",
 )
+
+# --- names, manifests and ground truth ------------------------------------------------------------
+
+_add(
+    "file_names", V.DOCS,
+    select="""SELECT rel_path, representation || '_' || translate(window_start, ' :', 'T-') || '-to-' || translate(window_end, ' :', 'T-') || '_'
+        || coalesce(host || '_', '') || scenario || '.log' AS filename, representation, host, scenario, window_start, window_end, scenario_key,
+      CASE WHEN contains(scenario, 'benign') THEN 'benign' ELSE 'attack' END AS label,
+      CASE WHEN regexp_matches(scenario, '^attack-(linux|windows)-') THEN dataset || '/' || regexp_replace(scenario, '^attack-[a-z]+-([a-z]+)scenario', '\\1-scenario') END AS viewed_key
+      FROM doc_files""",
+)
+_add(
+    "changed_slices", V.DOCS,
+    select="SELECT rel_path AS unit_id FROM doc_files WHERE regexp_matches(text, '[0-9]')",
+)
+_add(
+    "draw_rows", TRIALS, TREE, DRAWS,
+    select=f"""SELECT draw_index, lpad(draw_index::varchar, {len(str(N_DRAWS))}, '0') || '_' || unit_id AS name, unit_id, o_orderpriority AS slice
+      FROM drawn JOIN orders ON o_orderkey::varchar = unit_id""",
+)
+_add(
+    "split_manifest", *_SPLIT,
+    select="""SELECT d.split, group_id, g.dataset, g.label, array_to_string(g.os, ',') AS os, array_to_string(g.tasks, ',') AS tasks, count(*) AS n_files,
+        sum(f.lines)::bigint AS lines, min(f.rel_path) AS first_path, max(f.sha256) AS last_sha256, count(scenario_key) > 0 AS keyed, count(f.host) > 0 AS hosted
+      FROM doc_files f JOIN mapping USING (rel_path) JOIN dealt d USING (group_id) JOIN grp g USING (group_id) GROUP BY ALL""",
+)
+_add(
+    "unit_truth", *_chain("matched"),
+    select="""SELECT DISTINCT unit_id, target_id, target_order, status, stamp, array_to_string(aliases, ',') AS aliases
+      FROM ut JOIN tstamps USING (target_id)""",
+)

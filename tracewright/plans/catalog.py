@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import normalize as NZ
 from ..functions import timestamps as T
 from ..lookups import FINDING_FIELD
@@ -27,6 +28,7 @@ from ..operators import uncertainty as U
 from ..operators import validation as V
 from ..operators import windows as W
 from ..session import cut_lineage, shared_dir
+from ..sources import manifests as MF
 from ..streaming import early_stop as ES
 from ..streaming import log_stream, sinks, spend
 from . import bindings as B
@@ -89,6 +91,23 @@ def entity_norms(spark, sf):
     )
 
 
+@query
+def file_names(spark, sf):
+    """Names written from the attributes of the files, and what is read from them again."""
+    token = lambda c: F.translate(F.replace(c, F.lit(" "), F.lit("T")), ":", "-")
+    files = B.doc_files(spark, sf)
+    written = files.select("rel_path", "dataset", F.concat(
+        F.concat_ws("_", "representation", F.concat(token("window_start"), F.lit("-to-"), token("window_end")), "host", "scenario"), F.lit(".log"),
+    ).alias("filename"))
+    rows = written.withColumn("p", N.parse_file_name(F.col("filename"))).select("rel_path", "dataset", "filename", "p.*")
+    scenario = F.col("scenario")
+    return rows.select(
+        "rel_path", "filename", "representation", "host", "scenario", N.file_name_time(F.col("start_token")).alias("window_start"),
+        N.file_name_time(F.col("end_token")).alias("window_end"), N.scenario_key(F.col("dataset"), F.col("host"), scenario).alias("scenario_key"),
+        N.scenario_label(scenario).alias("label"), N.viewed_scenario_key(F.col("dataset"), scenario).alias("viewed_key"),
+    )
+
+
 # --- inventory ----------------------------------------------------------------------------------
 
 
@@ -228,6 +247,26 @@ def split_assignment(spark, sf):
     return _allocated(spark, sf)[1]
 
 
+@query
+def split_manifest(spark, sf):
+    """The nested manifest written, read back and summed over the parts of each group."""
+    files, mapping = _grouped(spark, sf)
+    groups = cut_lineage(G.group_table(files, mapping))
+    assignment = SP.allocate(groups, LADDER, SPLIT_SEED, N_CANDIDATES)[0]
+    rows = files.join(mapping, "rel_path").join(assignment.select("group_id", "split"), "group_id")
+    path = f"{shared_dir(spark).rstrip('/')}/tracewright-manifest-{uuid.uuid4().hex}"
+    nested = MF.nested_split_manifest(rows, groups, part_files=100)
+    MF.write_manifest(nested, path, "split")
+    entries = MF.read_manifest(spark, path, nested.schema).withColumn("f", F.explode("files"))
+    attributes = ["split", "group_id", "dataset", "label", *[_joined(c).alias(c) for c in ("os", "tasks")]]
+    return entries.select(*attributes, "f", F.size("hosts").alias("h"), F.size("scenario_keys").alias("k")).groupBy(
+        "split", "group_id", "dataset", "label", "os", "tasks"
+    ).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("f.lines").alias("lines"), F.min("f.rel_path").alias("first_path"),
+        F.max("f.sha256").alias("last_sha256"), (F.max("k") > 0).alias("keyed"), (F.max("h") > 0).alias("hosted"),
+    )
+
+
 @query
 def split_margins(spark, sf):
     groups, assignment, _ = _allocated(spark, sf)
@@ -341,6 +380,14 @@ def unplaced_targets(spark, sf):
     return E.unplaced_targets(chain.targets, chain.files).select("target_id", "scenario_key")
 
 
+@query
+def unit_truth(spark, sf):
+    """Ground truth of each investigation unit."""
+    return LogChain(spark, sf).unit_targets.select(
+        "unit_id", "target_id", "target_order", "status", "stamp", _joined("aliases").alias("aliases")
+    )
+
+
 @query
 def window_targets(spark, sf):
     return LogChain(spark, sf).window_targets
@@ -537,6 +584,13 @@ def _draws(spark, sf) -> DataFrame:
     return SA.draw_units(B.trial_units(spark, sf), N_DRAWS, 10_007)
 
 
+@query
+def draw_rows(spark, sf):
+    """One named row per draw, with what the drawn unit shows."""
+    shown = B.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("unit_id"), F.col("o_orderpriority").alias("slice"))
+    return SA.materialise_draws(_draws(spark, sf), shown, N_DRAWS).select("draw_index", "name", "unit_id", "slice")
+
+
 @query
 def draws(spark, sf):
     return _draws(spark, sf).select(
@@ -601,6 +655,15 @@ def leakage_scan(spark, sf):
     return SC.leakage_scan(visible)
 
 
+@query
+def changed_slices(spark, sf):
+    """Files whose text would change if its numbers were masked."""
+    files = B.doc_files(spark, sf)
+    expected = files.select(F.col("rel_path").alias("unit_id"), "sha256")
+    visible = files.select(F.col("rel_path").alias("unit_id"), F.sha2(F.regexp_replace("text", r"\d", "#"), 256).alias("sha256"))
+    return SC.changed_slices(visible, expected)
+
+
 # --- repeated attempts and intervals ------------------------------------------------------------
 
 

@@ -68,34 +68,25 @@ class LogChain:
     def window_targets(self) -> DataFrame:
         return cut_lineage(W.window_targets(self.evidence_status, self.files, B.LOG_SIZES))
 
+    @cached_property
+    def windows(self) -> DataFrame:
+        return W.tumbling_windows(self.files, B.SCHEMA_VERSION, B.LOG_SIZES)
+
     @cached_property
     def units(self) -> DataFrame:
-        windows = W.tumbling_windows(self.files, B.SCHEMA_VERSION, B.LOG_SIZES)
-        units = W.label_windows(windows, self.window_targets)
+        units = W.label_windows(self.windows, self.window_targets)
         return cut_lineage(units.withColumn("group_id", F.concat(F.lit("g:"), F.col("scenario_key"))).withColumn(
             "split", F.expr("case when u div 16 % 10 < 5 then 'train' when u div 16 % 10 < 6 then 'dev' else 'test' end")
         ))
 
     @cached_property
     def unit_targets(self) -> DataFrame:
-        """Targets of each investigation unit with aliases, one row per stamp: what grading needs.
-
-        Supported targets come first, then ambiguous ones, each sorted by id.
-        """
-        spans = self.units.filter("task <> 'classification'").select("unit_id", "rel_path", "window_index")
-        rows = self.window_targets.join(spans, ["rel_path", "window_index"]).join(
-            self.targets.select("target_id", "aliases", "entity_kind"), "target_id"
-        )
-        stamps = self.stamps.select("target_id", F.col("stamp_norm").alias("stamp")).distinct()
-        order = F.concat(F.when(F.col("status") == "supported_positive", "0").otherwise("1"), F.col("target_id"))
-        return rows.join(stamps, "target_id").select(
-            "unit_id", "target_id", order.alias("target_order"), "status", "stamp", "aliases"
-        )
+        return E.unit_targets(self.units, self.window_targets, self.targets, self.stamps)
 
     @cached_property
     def payloads(self) -> DataFrame:
         """Three submissions per unit, written from its events; the third with broken items and texts."""
-        return submissions(self.events, self.units)
+        return submissions(self.events, self.windows)
 
 
 _ITEM = r"""case

@@ -7,38 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import unescape
 from ..lookups import ANNOTATION_FIELD
-from .logs import artifact_hashes
+from .logs import artifact_hashes, decoded
 
-_LIST = "ARRAY<STRING>"
-_FIELDS = ["timestamp", *ANNOTATION_FIELD.values(), "username", "method", "full file path"]
-RECORDS = "MAP<STRING, ARRAY<STRUCT<" + ", ".join(f"`{f}`: {_LIST}" for f in _FIELDS) + ">>>"
+RECORDS = "MAP<STRING, ARRAY<MAP<STRING, ARRAY<STRING>>>>"
 
 
 def read_annotations(spark: SparkSession, root: str) -> DataFrame:
     """All files ``root/<dataset>/groundtruth-<task>.jsonl`` that exist, one row per record.
 
-    dataset, task, scenario, record_index, timestamps, entities, extra.
+    dataset, task, scenario, record_index, timestamps, entities, extra. ``extra`` holds every other key of the record.
     """
     text = spark.read.option("pathGlobFilter", "groundtruth-*.jsonl").option("recursiveFileLookup", "true").text(root)
-    path = F.split(F.col("_metadata.file_path"), "/")
+    path = F.split(decoded(F.col("_metadata.file_path")), "/")
     rows = text.filter(F.trim("value") != "").select(
         F.element_at(path, -2).alias("dataset"),
         F.regexp_extract(F.element_at(path, -1), r"^groundtruth-(.*)\.jsonl$", 1).alias("task"),
         F.explode(F.from_json("value", RECORDS)).alias("scenario", "_records"),
     )
     rows = rows.select("dataset", "task", "scenario", F.posexplode("_records").alias("record_index", "_r"))
-    entities = None
-    for task, field in ANNOTATION_FIELD.items():
-        here, value = F.col("task") == task, F.col(f"_r.`{field}`")
-        entities = F.when(here, value) if entities is None else entities.when(here, value)
-    others = [f for f in ("username", "method", "full file path")]
-    extra = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(f) for f in others]), F.array(*[F.col(f"_r.`{f}`") for f in others])),
-        lambda k, v: v.isNotNull(),
-    )
+    field = F.create_map(*[F.lit(x) for pair in ANNOTATION_FIELD.items() for x in pair])[F.col("task")]
+    extra = F.map_filter("_r", lambda key, _: (key != "timestamp") & ~key.eqNullSafe(field))
     return rows.select(
         "dataset", "task", "scenario", F.col("record_index").cast("long").alias("record_index"),
-        F.col("_r.timestamp").alias("timestamps"), F.transform(entities, unescape).alias("entities"), extra.alias("extra"),
+        F.col("_r")["timestamp"].alias("timestamps"), F.transform(F.col("_r")[field], unescape).alias("entities"),
+        extra.alias("extra"),
     )
 
 

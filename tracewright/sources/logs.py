@@ -16,7 +16,7 @@ def _below(spark: SparkSession, path: Column, root: str) -> Column:
     return F.substring(bare, len(top) + 2, 1 << 30)
 
 
-def _decoded(path: Column) -> Column:
+def decoded(path: Column) -> Column:
     """``_metadata`` gives percent-encoded paths."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
@@ -51,7 +51,7 @@ def scan_lines(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
     )
     rows = text.select(
-        _below(spark, _decoded(F.col("_metadata.file_path")), root).alias("rel_path"),
+        _below(spark, decoded(F.col("_metadata.file_path")), root).alias("rel_path"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"),
         F.col("value").alias("line"),
     )

@@ -28,17 +28,22 @@ def write_manifest(df: DataFrame, path: str, *partition_by: str, fmt: str = "jso
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def nested_split_manifest(files: DataFrame, part_files: int = 1_000) -> DataFrame:
-    """Groups with their files as arrays, in parts: (split, group_id, part, n_parts, files).
+def nested_split_manifest(files: DataFrame, groups: DataFrame, part_files: int = 1_000) -> DataFrame:
+    """Groups with their attributes and files, in parts: one row per (split, group_id, part), of ``n_parts``.
 
-    A group may hold a third of all files, so its array is cut into hashed parts of about
-    ``part_files`` files; together the parts are the whole group.
+    ``files``: split, group_id, rel_path, sha256, task, representation, lines, host, scenario_key. ``groups``: group_id,
+    dataset, label, os, tasks. A group may hold a third of all files, so its array is cut into hashed parts of about
+    ``part_files`` files, each with the hosts and scenario keys of its files; together the parts are the whole group.
     """
     sizes = files.groupBy("split", "group_id").agg(F.ceil(F.count(F.lit(1)) / part_files).alias("n_parts"))
     rows = files.join(sizes, ["split", "group_id"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rel_path"), F.col("n_parts")))
     entry = F.struct("rel_path", "sha256", "task", "representation", "lines")
-    return rows.groupBy("split", "group_id", "part", "n_parts").agg(F.array_sort(F.collect_list(entry)).alias("files"))
+    parts = rows.groupBy("split", "group_id", "part", "n_parts").agg(
+        F.array_sort(F.collect_set("host")).alias("hosts"), F.array_sort(F.collect_set("scenario_key")).alias("scenario_keys"),
+        F.array_sort(F.collect_list(entry)).alias("files"),
+    )
+    return parts.join(groups.select("group_id", "dataset", "label", "os", "tasks"), "group_id")
 
 
 def write_draws(draws: DataFrame, meta: DataFrame, path: str) -> None:

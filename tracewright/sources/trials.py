@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Version of the trial record that this module writes.
+RECORD_VERSION = "trial-1"
+TIMING = ("started_at", "finished_at", "environment_setup", "agent_setup", "agent_execution", "verifier")
 RESULT = (
     "trial_name string, id string, task_name string, task_checksum string, started_at string, finished_at string, "
+    "environment_setup variant, agent_setup variant, agent_execution variant, verifier variant, "
     "config variant, agent_info variant, verifier_result variant, "
     "agent_result struct<n_input_tokens bigint, n_output_tokens bigint, rollout_details variant, "
     "metadata struct<n_episodes bigint, summarization_count bigint, all_messages variant>>, "
@@ -37,8 +41,13 @@ def termination_class(reward: Column, exception: Column) -> Column:
     )
 
 
-def read_trials(spark: SparkSession, root: str) -> DataFrame:
-    """Trial records: result, diagnostics, reward and output of each trial folder; missing parts are null."""
+def read_trials(
+    spark: SparkSession, root: str, split: str | None = None, policy: str | None = None, sampler_probability: float | None = None
+) -> DataFrame:
+    """Trial records: result, diagnostics, reward and output of each trial folder; missing parts are null.
+
+    ``split``, ``policy`` and ``sampler_probability`` describe the job that the trials come from.
+    """
     result = _whole(spark, root, "result.json", 1).select(
         "trial_dir", F.from_json(F.col("content").cast("string"), RESULT).alias("r")
     )
@@ -63,7 +72,9 @@ def read_trials(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(
         "trial_dir", F.coalesce("r.trial_name", F.element_at(F.split("trial_dir", "/"), -1)).alias("trial_name"),
         F.col("r.id").alias("trial_id"), "r.task_name", "r.task_checksum", "r.config", "r.agent_info",
-        F.struct("r.started_at", "r.finished_at").alias("timing"),
+        F.lit(split).cast("string").alias("split"), F.lit(policy).cast("string").alias("policy"),
+        F.lit(sampler_probability).cast("double").alias("sampler_probability"), F.lit(RECORD_VERSION).alias("record_version"),
+        F.struct(*[f"r.{part}" for part in TIMING]).alias("timing"),
         F.struct(
             F.col("r.agent_result.n_input_tokens").alias("n_input"), F.col("r.agent_result.n_output_tokens").alias("n_output"),
             "r.agent_result.metadata.n_episodes", "r.agent_result.metadata.summarization_count",
