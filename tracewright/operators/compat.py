@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as E
 from ..functions import timestamps as T
 from ..lookups import HIGH, MEDIUM
+from ..session import cut_lineage
 
 SCOPE = ["dataset", "task", "scenario"]
 ATTEMPT = [*SCOPE, "attempt_id"]
@@ -48,10 +49,11 @@ def compat_counts(scenarios: DataFrame, chunks: DataFrame, findings: DataFrame,
     hit = F.when(F.col("task") == "lm", F.col("entity") == F.col("g_entity")).otherwise(
         F.contains(F.lower(T.ws_trim(F.col("entity"))), needle)
     )
-    hits = attack.join(pairs, same & hit, "left_semi")
-    missed = attack.join(pairs, same & hit, "left_anti").unionByName(timed.filter("label = 'benign'"))
-    fp = missed.groupBy(*ATTEMPT).agg(F.count(F.lit(1)).alias("fp"))
+    # one join finds the hits; whatever is timed and no hit is a false alarm
+    hits = cut_lineage(attack.join(pairs, same & hit, "left_semi"))
     tp = hits.groupBy(*ATTEMPT).agg(F.count(F.lit(1)).alias("tp_hits"))
+    seen = timed.filter("label in ('attack', 'benign')").groupBy(*ATTEMPT).agg(F.count(F.lit(1)).alias("_timed"))
+    fp = seen.join(tp, ATTEMPT, "left").select(*ATTEMPT, (F.col("_timed") - F.coalesce("tp_hits", F.lit(0))).alias("fp"))
     found = hits.select(*ATTEMPT, F.col("entity").alias("g_entity")).distinct()
     unique = found.groupBy(*ATTEMPT).agg(F.count(F.lit(1)).alias("found_hosts"))
 
