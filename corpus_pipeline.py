@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text."""
     configure(spark)
-    rest = line_dedup.drop_boilerplate(docs, "source")
+    rest = line_dedup.drop_boilerplate(docs, "source", "text", line_dedup.CORPUS_RATIO, line_dedup.CORPUS_PAGES)
     return rest.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
