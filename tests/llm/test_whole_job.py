@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from pyspark.sql import functions as F
+from tracewright.llm import decontaminate, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,3 +17,32 @@ def test_lines_of_small_sources_go(spark):
     got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert Counter(r["source"] for r in got if r["text"].startswith("Head")) == {"rare": 5}
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def words_of(seed, n):
+    return " ".join(f"t{seed}q{i}" for i in range(n))
+
+
+def test_a_repeated_id_loses_no_group(spark):
+    a, b, c = words_of(1, 60), words_of(2, 60), words_of(3, 60)
+    rows = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (3, b, "en", "s", 0), (7, a, "en", "s", 0)]
+    rows += [(8, c, "en", "s", 0), (8, words_of(4, 60), "en", "s", 0), (8, c, "en", "s", 0), (None, c, "en", "s", 0)]
+    rows += [(None, words_of(5, 60), "en", "s", 0)] * 3 + [(None, words_of(6, 60), "en", "s", 0)]
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    assert got == Counter([(5, a), (3, b), (8, c), (8, words_of(4, 60)), (None, words_of(5, 60)), (None, words_of(6, 60))])
+
+
+def test_rules_judge_rows(spark):
+    good, bad = words_of(1, 60), "few words"
+    rows = [(None, good, "en", "s", 0), (None, bad, "en", "s", 0), (1, good, "en", "s", 0), (1, bad, "en", "s", 0), (2, None, "en", "s", 0), (3, good, None, "s", 0)]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = Counter((r["doc_id"], r["text"]) for r in quality_rules.keep_good(spark.createDataFrame(rows, DOCS), labels).collect())
+    assert got == Counter([(None, good), (1, good), (3, good)])
+
+
+def test_leaks_go_by_row(spark):
+    item = "the old farmer walks over the long bridge to a small market and buys seven red apples"
+    rows = [(None, f"x {item} y", "en", "s", 0), (None, "clean text", "en", "s", 0), (1, item, "en", "s", 0), (1, "other clean text", "en", "s", 0), (2, None, "en", "s", 0)]
+    benchmark = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in decontaminate.without_leaks(spark.createDataFrame(rows, DOCS), benchmark).collect())
+    assert got == Counter([(None, "clean text"), (1, "other clean text"), (2, None)])

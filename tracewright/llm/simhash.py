@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -47,15 +47,20 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
-    schema = arrow_types("doc_id long, fp long")
+    """(doc_id, fp, key): the fingerprint of every whole text as a signed long, and a hash that tells texts of one doc_id apart."""
+    schema = arrow_types("doc_id long, fp long, key long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], schema=schema)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key())
+    return map_arrow(columns, run, "doc_id long, fp long, key long")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _checks(words: np.ndarray) -> np.ndarray:
@@ -149,13 +154,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return home.hint("merge").join(guests, "key").filter(near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document, the component by its smallest doc_id.
-
-    Fingerprints are computed once and written; copies are folded to one row before anything is replicated.
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows of a doc_id each come
-    back. A null doc_id takes part and never names a component unless no other id is in it. An empty table gives no row.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, key, class, component_id): ``near_duplicates`` with the text's key and the component's smallest fingerprint."""
     found = cut_lineage(fingerprints(docs))
     distinct = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     spread = distinct.repartition(distinct.sparkSession.sparkContext.defaultParallelism * 4, "fp")
@@ -163,20 +163,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = smallest_reachable(edges).withColumnRenamed("node", "fp")
     named = distinct.join(classes, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "class").select("fp", "component_id")
-    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(smallest, "class").select("fp", "class", "component_id")
+    return found.join(by_fp, "fp").select("doc_id", "fp", "key", "class", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): one row per document, the component by its smallest doc_id.
+
+    Fingerprints are computed once and written; copies are folded to one row before anything is replicated.
+    Null and empty texts have fingerprint zero and link like any other. Repeated rows of a doc_id each come
+    back. A null doc_id takes part and never names a component unless no other id is in it. An empty table gives no row.
+    """
+    return grouped(docs).select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component: one of each group stays.
+def representatives(docs: DataFrame, keep_unnamed: bool = True) -> DataFrame:
+    """One row of each component: that of the smallest doc_id, and of its texts the one with the smallest key.
 
-    Of rows that repeat a doc_id one stays; only those rows are shuffled. Rows without a doc_id can't be told apart
-    and all stay.
+    A row is known by its doc_id and text, so unlike texts of one doc_id go with their own groups. Rows without a doc_id
+    come last in their component; with ``keep_unnamed`` one of them stays beside the one that has an id.
     """
-    classes = near_duplicates(docs)
-    repeats = classes.groupBy("doc_id").agg(F.min("component_id").alias("_class"), F.count(F.lit(1)).alias("_rows"))
-    keep = cut_lineage(repeats.filter("doc_id = _class").select(F.col("doc_id").alias("_keep"), "_rows"))
-    stay = docs.join(keep, F.col("doc_id") == F.col("_keep")).select(docs["*"], "_rows")
-    once = stay.filter("_rows = 1").drop("_rows")
-    more = stay.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
+    return stay(docs, grouped(docs), keep_unnamed)
+
+
+def stay(docs: DataFrame, classes: DataFrame, keep_unnamed: bool) -> DataFrame:
+    """The rows of ``docs`` that stand for their class in ``classes`` (doc_id, key, class)."""
+    unnamed = F.col("doc_id").isNull()
+    first = F.min(F.struct(unnamed.alias("unnamed"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("first")
+    per = ["class", unnamed.alias("_unnamed")] if keep_unnamed else ["class"]
+    chosen = classes.groupBy(*per).agg(first).select(F.col("first.id").alias("_keep"), F.col("first.key").alias("_key"))
+    chosen = cut_lineage(chosen)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (text_key() == F.col("_key"))
+    # whole rows are ranked only where a row is repeated, which the ids and keys alone tell
+    repeats = classes.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_rows")).withColumnsRenamed({"doc_id": "_id", "key": "_text"})
+    chosen = cut_lineage(chosen.join(repeats, F.col("_keep").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))).select("_keep", "_key", "_rows"))
+    held = docs.join(chosen, same)
+    once = held.filter("_rows = 1").select(*docs.columns)
+    more = held.filter("_rows > 1").dropDuplicates(["_keep", "_key"]).select(*docs.columns)
+    return once.unionByName(more)
