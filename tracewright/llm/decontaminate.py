@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -143,21 +143,24 @@ def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> D
         templates, bits = Templates(), shared.value
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                doc_id, text = doc_id.as_py(), text.as_py()
+            for doc_id, text, key in zip(*batch.columns, strict=True):
+                doc_id, text, key = doc_id.as_py(), text.as_py(), key.as_py()
                 words, hashes, kind, first, stop = templates.tokens(text)
-                key = None  # tells rows of one doc_id apart
                 for length in lengths:
                     at, found = templates.windows(hashes, kind, length)
                     slot = found >> np.uint64(64 - FILTER_BITS)
                     may = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
                     for i in np.flatnonzero(may):
                         a, h = int(at[i]), int(found[i : i + 1].view(np.int64)[0])
-                        key = xxhash.xxh64_intdigest(text.encode()) >> 1 if key is None else key
                         out.append((key, doc_id, length, a, h, templates.slots(words, kind, first, stop, a, length)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, ROWS)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key()), run, ROWS)
+
+
+def text_key() -> Column:
+    """Tells rows of one doc_id, or of none, apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -167,6 +170,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     value of an item's slot stands for one value throughout (and, for names, no two for the same). Null and empty texts
     leak nothing. Rows that repeat a doc_id are looked at each and give one row per item. A null doc_id is reported as null.
     """
+    return sound_runs(docs, benchmark).groupBy("doc_id", "item_id").agg(
+        F.max("found").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots")
+    )
+
+
+def sound_runs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_key, doc_id, item_id, shift, found, n_item_windows, n_slots): the runs that make leaks."""
     items = cut_lineage(item_windows(benchmark))
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # WINDOW of them at most
     found = document_windows(docs, _filter_bits(items), lengths)
@@ -189,13 +199,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     checked = runs.join(forward, same(forward), "left").select(*[runs[c] for c in run], "found", "n_item_windows", "_many", "n_slots")
     checked = checked.join(names, [checked[c].eqNullSafe(names[c]) for c in run], "left").select(*[checked[c] for c in checked.columns], "_merged")
     enough = F.col("found") >= F.least(F.lit(MIN_RUN - WINDOW + 1), F.col("n_item_windows"))
-    sound = checked.filter(enough & (F.coalesce("_many", F.lit(1)) == 1) & (F.coalesce("_merged", F.lit(1)) == 1))
-    return sound.groupBy("doc_id", "item_id").agg(
-        F.max("found").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots")
-    )
+    return checked.filter(enough & (F.coalesce("_many", F.lit(1)) == 1) & (F.coalesce("_merged", F.lit(1)) == 1))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; of a repeated doc_id all rows go if one does."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaky"), "left_anti")
+    """The documents that hold no benchmark item, each row by its own text, whether it has a doc_id or shares one."""
+    bad = sound_runs(docs, benchmark).select(F.col("doc_id").alias("_leaky"), F.col("doc_key").alias("_key")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaky")) & (text_key() == F.col("_key")), "left_anti")

@@ -35,7 +35,7 @@ FAILURE = 0.05
 MAX_STRATA = 2_000
 MEASURES = (
     "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " n_lines long, n_same_words long, n_capitals long, n_exclamations long"
+    " n_lines long, n_same_words long, n_capitals long, n_exclamations long, row_key long"
 )
 
 
@@ -68,11 +68,16 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The counts of every whole text, with its stratum ('' for null)."""
+    """The counts of every whole text, with its stratum ('' for null) and its row_key."""
     columns = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col(stratum).cast("string"), F.lit("")), F.col("text").cast("string")
+        F.col("doc_id").cast("long"), F.coalesce(F.col(stratum).cast("string"), F.lit("")), F.col("text").cast("string"), row_key(stratum)
     )
-    return map_rows(columns, MEASURES, lambda doc_id, stratum, text: [(doc_id, stratum, *measure(text))])
+    return map_rows(columns, MEASURES, lambda doc_id, stratum, text, key: [(doc_id, stratum, *measure(text), key)])
+
+
+def row_key(stratum: str) -> F.Column:
+    """Hash of what a verdict depends on, so that rows of one doc_id, or of none, are told apart."""
+    return F.xxhash64(F.coalesce(F.col(stratum).cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def base_failed() -> F.Column:
@@ -135,25 +140,29 @@ def certify(measured: DataFrame, labels: DataFrame, risk: float = MAX_FALSE_REJE
     return measured.sparkSession.createDataFrame(out, schema)
 
 
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """``judge`` with the row_key and the failed rules as an array."""
+    measured = cut_lineage(measures(docs, stratum))
+    cutoffs = certify(measured, labels)
+    fails = F.array_compact(F.array(*[F.when(F.expr(rate) > F.col(f"max_{rule}"), rule) for rule, rate in RULES.items()]))
+    marked = measured.join(F.broadcast(cutoffs), "stratum")  # a row per stratum, bounded by MAX_STRATA
+    found = marked.withColumn("failed_rules", fails).withColumn("base_failed", base_failed())
+    return found.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``kept`` and the rules it fails (``failed_rules``).
 
     Null and empty texts have no words and fail the base. A null stratum is a stratum of its own. Repeated rows are
     judged alike. An empty table gives no row.
     """
-    measured = cut_lineage(measures(docs, stratum))
-    cutoffs = certify(measured, labels)
-    fails = F.array_compact(F.array(*[F.when(F.expr(rate) > F.col(f"max_{rule}"), rule) for rule, rate in RULES.items()]))
-    marked = measured.join(F.broadcast(cutoffs), "stratum")  # a row per stratum, bounded by MAX_STRATA
-    judged = marked.withColumn("failed_rules", fails).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).select(
+    return judged(docs, labels, stratum).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Rows without a doc_id are dropped: no verdict can be told theirs."""
-    verdicts = judge(docs, labels, stratum).groupBy("doc_id").agg(F.max("kept").alias("_kept"))
-    ids = verdicts.filter("_kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    """The rows of ``docs`` that the rules keep, each by its own verdict, whether it has a doc_id or shares one."""
+    kept = judged(docs, labels, stratum).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (row_key(stratum) == F.col("_key")), "left_semi")
