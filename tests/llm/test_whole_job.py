@@ -46,3 +46,28 @@ def test_leaks_go_by_row(spark):
     benchmark = spark.createDataFrame([(9, item)], "item_id long, text string")
     got = Counter((r["doc_id"], r["text"]) for r in decontaminate.without_leaks(spark.createDataFrame(rows, DOCS), benchmark).collect())
     assert got == Counter([(None, "clean text"), (1, "other clean text"), (2, None)])
+
+
+def leaked(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return sorted((r["doc_id"], r["item_id"]) for r in found)
+
+
+def test_short_items_are_found_after_any_word(spark):
+    items = [
+        "Which planet is closest to the sun in our system?", "Name the tallest tree of them all", "In which sea do all rivers of this land end?",
+        "Anna Lind walks home from the old market with bread", "Anna Lind has a dog and Anna Lind has no cat",
+    ]
+    heads = ["Q1) ", "A heading line\n", "Then they asked ", "He said (see Exercise 12) ", "Ask Bo ", "They met in Rome “done.” "]
+    texts = [head + item + " and so on" for head in heads for item in items] + ["Then they asked Which planet is farthest from the sun in our system?"]
+    assert leaked(spark, texts, items) == [(i, i % len(items)) for i in range(len(heads) * len(items))]
+
+
+def test_items_of_few_literals_match_by_value(spark):
+    items = ["What is 17 + 25?", "3 5 8 13 21 34 55 89 144 233", "Ana Bea Cleo 5 kg 7 kg 9 kg", "two words", "12 cm", "What are 4 and 8 and 9 and 3 and 5"]
+    texts = ["So: What is 17 + 25? Tell me", "x 3 5 8 13 21 34 55 89 144 233 y", "We saw. Ana Bea Cleo 5 kg 7 kg 9 kg", "What is 18 + 25?", "x 3 5 8 13 21 34 55 89 144 234 y",
+             "two words", "12 cm", "Ask What is 17 + 25 now"]
+    assert leaked(spark, texts, items) == [(0, 0), (1, 1), (2, 2), (7, 0)]
+    left = decontaminate.items_left_out(spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r["item_id"], r["n_tokens"]) for r in left) == [(3, 2), (4, 1)]
