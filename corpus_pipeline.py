@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of copies whose fingerprints are linked; the README states what near copies that leaves."""
     configure(spark)
     return simhash.representatives(docs, keep_unnamed=False)
 
