@@ -3,7 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
-from tracewright.llm import decontaminate, quality_rules
+import numpy as np
+
+from tracewright.llm import decontaminate, quality_rules, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +73,15 @@ def test_items_of_few_literals_match_by_value(spark):
     assert leaked(spark, texts, items) == [(0, 0), (1, 1), (2, 2), (7, 0)]
     left = decontaminate.items_left_out(spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
     assert sorted((r["item_id"], r["n_tokens"]) for r in left) == [(3, 2), (4, 1)]
+
+
+def test_thresholds_use_all_labels_left(spark):
+    rows = [(i, False, "en" if i % 2 else "de", 0.9 - 0.4 * (i % 2) if i % 4 < 2 else 0.1) for i in range(4000)]
+    rows += [(5000, False, "fr", 0.3), (5001, False, "fr", 0.1)] + [(6000 + i, True, "en", 0.95) for i in range(50)]
+    scored = spark.createDataFrame(rows, "doc_id long, held_out boolean, lang string, score double")
+    labels = spark.createDataFrame([(r[0], int(r[3] > 0.2 and not r[1])) for r in rows], "doc_id long, toxic int")
+    cuts = toxicity.thresholds(scored, labels, [0, 1, 2])
+    assert set(cuts) == {"", "de", "en"} and 0.1 < cuts["en"] <= 0.5 < cuts["de"] + 0.3  # too few texts in fr
+    counts = np.zeros((2, 2 * toxicity.BIN_EDGE + 1), int)
+    counts[0, 100], counts[1, 200] = 5, 5
+    assert abs(toxicity.calibrate(counts) - 1 / (1 + np.exp((480 - 150.5) / 16))) < 1e-12

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import Remembered, arrow_types, held_out, map_arrow, word_list
 from .training import training_sample
 
@@ -23,10 +24,12 @@ MIN_STEPS = 12_000
 RATE = 0.1
 MIN_TEXTS = 3  # words seen in fewer texts of the sample have the embedding zero, as unknown words have
 PIECE_WORDS = 1 << 16  # a long text is convolved in pieces of this many words; pooling joins them
-FOLD = 0  # the fifth of the sample that sets the thresholds and is not learnt from
+FOLD = 0  # the fifth of the sample that is not learnt from
+BINS, BIN_EDGE = 16, 480  # thresholds come from counts per sixteenth of a logit, up to 30
+MIN_OWN = 30  # texts of either class that a language needs for a threshold of its own
 CUT = 0.7
 MARKS = ".,!?;:*#$%&|\"'()[]<>-"
-SCORED = "doc_id long, held_out boolean, score double, predicted int, threshold double, flagged boolean"
+SCORED = "doc_id long, held_out boolean, lang string, score double"
 
 
 def _buckets(word: bytes) -> bytes:
@@ -149,48 +152,61 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 0) -> Net:
     return net
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1; halfway to the next score below it, CUT if one class is missing."""
-    if len(set(y.tolist())) < 2:
+def calibrate(counts: np.ndarray) -> float:
+    """The threshold with the best F1, by the clean and toxic texts per bin; halfway to the next bin below it, CUT if one class is missing."""
+    if not counts.sum(1).all():
         return CUT
-    order = np.argsort(-scores, kind="stable")
-    s, hit = scores[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    last = np.append(s[1:] < s[:-1], True)  # ties are cut together
-    best = int(np.argmax(np.where(last, f1, -1)))
-    return float((s[best] + (s[best + 1] if best + 1 < len(s) else 0.0)) / 2)
+    used = np.flatnonzero(counts.sum(0))[::-1]
+    hit, all_ = np.cumsum(counts[1, used]), np.cumsum(counts[:, used].sum(0))
+    best = int(np.argmax(2 * hit / (all_ + hit[-1])))
+    edge = (used[best] + (used[best + 1] + 1 if best + 1 < len(used) else used[best])) / 2
+    return float(1 / (1 + np.exp(-(edge - BIN_EDGE) / BINS)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 2_500) -> tuple[bytes, dict[str, float]]:
-    """The net's parts as bytes (their size is fixed) and a threshold per language ('' for all).
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 2_500) -> tuple[bytes, list[int]]:
+    """The net's parts as bytes (their size is fixed) and the doc_ids it learnt from: four fifths of the bounded training sample."""
+    sample = training_sample(docs, labels, "toxic", max_per_class).filter(F.col("part") != FOLD)
 
-    One task learns from four fifths of the bounded training sample and sets the thresholds on the other fifth.
-    """
-    sample = training_sample(docs, labels, "toxic", max_per_class)
+    arrow = arrow_types("net binary, ids array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows, y, lang, part = Words(), [], [], [], []
+        words, rows, y, ids = Words(), [], [], []
         for batch in batches:
-            for text, of, label, fold in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+            for doc_id, text, label in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 rows.append(words(text))
-                lang.append(of or "")
                 y.append(label)
-                part.append(fold)
-        learnt = [i for i, p in enumerate(part) if p != FOLD]
-        net = train([rows[i] for i in learnt], [y[i] for i in learnt])
-        rest = [i for i, p in enumerate(part) if p == FOLD]
-        scores = 1 / (1 + np.exp(-np.array([net.logit(rows[i]) for i in rest])))
-        truth, of = np.array([y[i] for i in rest], np.int64), np.array([lang[i] for i in rest])
-        both = [k for k in sorted(set(of.tolist())) if k and len(set(truth[of == k].tolist())) == 2]
-        cuts = {"": calibrate(scores, truth)} | {k: calibrate(scores[of == k], truth[of == k]) for k in both}
-        yield pa.RecordBatch.from_pylist([{"net": b"" if k else net.blob(), "lang": k, "cut": v} for k, v in cuts.items()])
-
-    found = map_arrow(sample, run, "net binary, lang string, cut double").collect()
+                ids.append(doc_id)
+        if rows:
+            yield pa.RecordBatch.from_pylist([{"net": train(rows, y).blob(), "ids": ids}], schema=arrow)
+
+    found = map_arrow(sample, run, "net binary, ids array<long>").collect()
     if not found:  # no label to learn from: every text scores one half
         none = Net()
         none.out[:] = 0
-        return none.blob(), {"": CUT}
-    return next(bytes(r["net"]) for r in found if not r["lang"]), {r["lang"]: r["cut"] for r in found}
+        return none.blob(), []
+    return bytes(found[0]["net"]), list(found[0]["ids"])
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, learnt: list[int]) -> dict[str, float]:
+    """A threshold per language with MIN_OWN texts of either class, and '' for all the others.
+
+    They come from all labelled rows that are neither held out nor learnt from. Counts per language, bin and class reach
+    the driver.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
+        F.max("toxic").cast("int").alias("y")
+    )
+    used = F.broadcast(scored.sparkSession.createDataFrame([(i,) for i in learnt], "_id long"))  # bounded by the sample
+    known = known.join(used, "_id", "left_anti")
+    at = F.floor(F.ln(F.col("score") / (1 - F.col("score"))) * BINS)
+    bins = scored.filter(~F.col("held_out")).join(known, F.col("doc_id") == F.col("_id")).groupBy(
+        "lang", "y", F.greatest(F.lit(-BIN_EDGE), F.least(F.lit(BIN_EDGE), at)).cast("int").alias("bin")
+    ).count()
+    counts: dict[str, np.ndarray] = {}
+    for r in bins.collect():
+        counts.setdefault(r["lang"], np.zeros((2, 2 * BIN_EDGE + 1), np.int64))[r["y"], r["bin"] + BIN_EDGE] += r["count"]
+    every = sum(counts.values(), np.zeros((2, 2 * BIN_EDGE + 1), np.int64))
+    return {"": calibrate(every)} | {k: calibrate(n) for k, n in counts.items() if k and n.sum(1).min() >= MIN_OWN}
 
 
 def load(blob: bytes) -> Net:
@@ -201,11 +217,8 @@ def load(blob: bytes) -> Net:
     return net
 
 
-def score(docs: DataFrame, blob: bytes, cuts: dict[str, float]) -> DataFrame:
-    """The score of every whole text; ``flagged`` holds it against its language's threshold, ``predicted`` against CUT.
-
-    The language picks the threshold and is no input of the score. Null and empty texts get the score of no word at all.
-    """
+def score(docs: DataFrame, blob: bytes) -> DataFrame:
+    """(doc_id, held_out, lang, score) of every whole text; null and empty texts get the score of no word at all."""
     shared = docs.sparkSession.sparkContext.broadcast(blob)
     arrow = arrow_types(SCORED)
 
@@ -213,10 +226,7 @@ def score(docs: DataFrame, blob: bytes, cuts: dict[str, float]) -> DataFrame:
         words, net = Words(), load(shared.value)
         for batch in batches:
             p = 1 / (1 + np.exp(-np.clip(np.array([net.logit(words(t.as_py())) for t in batch.column(1)], np.float64), -30, 30)))
-            cut = np.array([cuts.get(k, cuts[""]) for k in batch.column(3).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(p), pa.array((p >= CUT).astype(np.int32)), pa.array(cut), pa.array(p >= cut)], schema=arrow
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(p)], schema=arrow)
 
     columns = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id").cast("long")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
@@ -225,5 +235,15 @@ def score(docs: DataFrame, blob: bytes, cuts: dict[str, float]) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled rows not held out and score every row. Repeated rows score alike; an empty table gives none."""
-    return score(docs, *fit(docs, labels))
+    """Fit on the labelled rows not held out and score every row; ``flagged`` holds the score against its language's threshold,
+    ``predicted`` against CUT. The language picks the threshold and is no input of the score. Repeated rows score alike; an
+    empty table gives none.
+    """
+    blob, learnt = fit(docs, labels)
+    scored = cut_lineage(score(docs, blob))
+    cuts = thresholds(scored, labels, learnt)
+    own = F.broadcast(docs.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut double"))  # a row per language
+    found = scored.join(own, "lang", "left").withColumn("threshold", F.coalesce("cut", F.lit(cuts[""])))
+    return found.select(
+        "doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged")
+    )
