@@ -3,9 +3,11 @@
 from collections import Counter
 
 import corpus_pipeline
+from datetime import date
+
 import numpy as np
 
-from tracewright.llm import decontaminate, quality_rules, toxicity
+from tracewright.llm import decontaminate, quality_rules, toxicity, url_lists
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,3 +87,13 @@ def test_thresholds_use_all_labels_left(spark):
     counts = np.zeros((2, 2 * toxicity.BIN_EDGE + 1), int)
     counts[0, 100], counts[1, 200] = 5, 5
     assert abs(toxicity.calibrate(counts) - 1 / (1 + np.exp((480 - 150.5) / 16))) < 1e-12
+
+
+def test_lists_name_deep_hosts_and_paths(spark):
+    host = ".".join("abcdefghijkl") + ".org"
+    urls = [f"http://{host}/one/two//three.html?q=/x", f"https://{host}/", "http://b.org/one/", "http://b.org/onetwo"]
+    keys = [".".join("bcdefghijkl") + ".org", f"{host}/one/two", "k.l.org/one", "l.org/one/two//three.html", "b.org/one", "b.org/on"]
+    entries = spark.createDataFrame([("L", "block", k, "add", date(2024, 1, 1)) for k in keys], "list string, kind string, key string, action string, day date")
+    asked = spark.createDataFrame([(i, u, date(2024, 2, 1)) for i, u in enumerate(urls)], "id long, url string, fetched_on date")
+    got = {r["id"]: (r["n_entries"], r["matched_key"]) for r in url_lists.evaluate(asked, entries).collect()}
+    assert got == {0: (4, keys[1]), 1: (1, keys[0]), 2: (1, "b.org/one"), 3: (0, None)}

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .line_dedup import host_of
 
-# A dotted host gives at most this many parent domains; deeper ones are looked up by their last labels.
-MAX_LABELS = 8
-
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, key, from_day, to_day): when each key was on each list; ``to_day`` is null while it still is.
@@ -25,17 +22,16 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def url_keys(url: Column) -> Column:
-    """What lists can name of a URL: its host, the parent domains of two labels or more, and the host with its first folder."""
+    """What lists can name of a URL: its host and the parent domains of two labels or more, alone and with every path prefix."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    parents = F.transform(
-        F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(MAX_LABELS)))),
-        lambda k: F.array_join(F.slice(labels, -k, k), "."),
-    )
+    parents = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(labels))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     usable = F.when(F.size(labels) >= 2, parents).otherwise(F.array(host))
-    folder = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)", 1)
-    named = F.when(folder != "", F.array(F.concat(host, folder))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(usable, F.array(host), named))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(path))), lambda n: (F.substr(path, n, F.lit(1)) != "/") & F.substr(path, n + 1, F.lit(1)).isin("/", ""))
+    prefixes = F.when(path != "", F.transform(ends, lambda n: F.substr(path, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+    names = F.array_distinct(F.concat(usable, F.array(host)))
+    return F.array_distinct(F.concat(names, F.flatten(F.transform(names, lambda d: F.transform(prefixes, lambda p: F.concat(d, p))))))
 
 
 def _month(day: Column) -> Column:
@@ -47,8 +43,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     The entry in force with the longest key decides; of equally long ones an allowing entry, then the smaller key and list.
     ``verdict`` is 'allow', 'block', or 'none' for captures that no list names, that have no host or no fetch day. Captures
-    are folded to distinct (keys, day) before they meet the lists, so a hot host costs one row per folder and day; intervals
-    are cut by month, so a key with many entries meets a day with those of its month only.
+    are folded to distinct (keys, day), and these to distinct (key, day) before they meet the lists, so a hot host meets them
+    once per day; intervals are cut by month, so a key with many entries meets a day with those of its month only.
     """
     tagged = captures.withColumns({"host": host_of(F.col("url")), "_keys": url_keys(F.col("url"))}).withColumn("_sig", F.array_join("_keys", " "))
     asked = tagged.filter("host is not null and fetched_on is not null").select("_sig", "_keys", F.col("fetched_on").alias("_day")).distinct()
@@ -58,9 +54,11 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     by_month = spans.filter("from_day <= _last").select("list", "kind", F.col("key").alias("_key"), "from_day", "to_day", F.explode(months).alias("_month"))
     probes = asked.select("_sig", "_day", _month(F.col("_day")).alias("_of"), F.explode("_keys").alias("_probe"))
     active = (F.col("from_day") <= F.col("_day")) & (F.col("to_day").isNull() | (F.col("_day") < F.col("to_day")))
-    met = probes.join(by_month, (F.col("_probe") == F.col("_key")) & (F.col("_of") == F.col("_month")) & active)
+    single = probes.select("_probe", "_day", "_of").distinct()
+    met = single.join(by_month, (F.col("_probe") == F.col("_key")) & (F.col("_of") == F.col("_month")) & active)
     rank = F.struct((-F.length("_key")).alias("a"), F.col("kind").alias("kind"), F.col("_key").alias("key"), F.col("list").alias("list"))
-    decided = met.groupBy("_sig", "_day").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    by_key = met.groupBy("_probe", "_day").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    decided = probes.join(by_key, ["_probe", "_day"]).groupBy("_sig", "_day").agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n"))
     joined = tagged.join(decided.withColumnRenamed("_sig", "_s"), (F.col("_sig") == F.col("_s")) & (F.col("fetched_on") == F.col("_day")), "left")
     return joined.select(
         *captures.columns, "host", F.coalesce("_n", F.lit(0)).alias("n_entries"), F.coalesce("_best.kind", F.lit("none")).alias("verdict"),
