@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_classifier, quality_rules, rans_store, sharding, simhash, toxicity, url_lists
+from . import alignment, chat_tree, decontaminate, line_dedup, packing, quality_classifier, quality_rules, rans_store, sharding, simhash
+from . import toxicity, url_lists, whitening
 
 SHARDS = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +94,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+@query
+def op13_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)]
+    columns = ["conv_id", "turn", "role", "text"]
+    planted = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select(*columns).unionByName(planted)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat_tree.read_back(chat_tree.build_tree(conversations, path), path)
+
+
 HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '')"
 
 ORACLES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -108,3 +109,39 @@ class TextIds:
 def text_ids(path: str, width: int = 4) -> TextIds:
     """One per worker process, vocabulary and number of bytes of an id."""
     return TextIds(path, width)
+
+
+class ByteLevel:
+    """A byte-level vocabulary file as a table of token bytes and an encoder of whole texts, special tokens as plain text.
+
+    Merges of such a vocabulary are ranked as their ids are, so the encoder needs nothing but the table; a file whose merges are
+    ranked in another order is refused.
+    """
+
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        vocabulary, merges = described["model"]["vocab"], described["model"]["merges"]
+        special = {t["content"] for t in described.get("added_tokens", [])}
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        if merged != sorted(merged):
+            raise ValueError(f"{path}: ids don't follow the merges")
+        byte_of = {c: b for b, c in BYTE_CHARS.items()}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        self.encoding = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = self.encoding.encode_ordinary
+        self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes[i] = token
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+
+@cache
+def byte_level(path: str) -> ByteLevel:
+    """One per worker process and vocabulary."""
+    return ByteLevel(path)
