@@ -8,6 +8,7 @@ from tracewright.operators import inventory as I
 from tracewright.operators import screening as SC
 from tracewright.sources import annotations as A
 from tracewright.sources import logs as L
+from tracewright.sources import logtree as LT
 from tracewright.sources import manifests as MF
 from tracewright.sources import trials as TR
 
@@ -167,3 +168,70 @@ def test_line_counts_are_infrastructure(spark):
     units = spark.createDataFrame([("u", 3), ("v", 2)], "unit_id string, n_lines long")
     slices = spark.createDataFrame([("u", 3), ("v", 1)], "unit_id string, n_found long")
     assert [(r.unit_id, r.n_found) for r in line_count_errors(slices, units).select("unit_id", F.col("n_found")).collect()] == [("v", 1)]
+
+
+def tree_digest(data, block):
+    parts = [hashlib.sha256(data[i : i + block]).hexdigest() for i in range(0, max(len(data), 1), block)]
+    return parts[0] if len(parts) == 1 else hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [997, 20_000, 1 << 20])
+def test_one_read(spark, tree, block):
+    root, texts = tree
+    files, lines = LT.scan_tree(spark, root, blockBytes=block, taskBytes=8 * block)
+    found = {r.rel_path: r for r in files.collect()}
+    assert set(found) == set(texts)  # the empty file too, without a listing
+    got = {}
+    for r in lines.collect():
+        assert r.line_bytes == len(r.line.encode())
+        got.setdefault(r.rel_path, {})[r.line_no] = r.line
+    for rel, text in texts.items():
+        data, want = text.encode(), text.split("\n")
+        want = want[:-1] if want[-1] == "" else want
+        assert (found[rel].bytes, found[rel].lines, found[rel].sha256) == (len(data), len(want), tree_digest(data, block))
+        assert got.get(rel, {}) == {i + 1: line for i, line in enumerate(want)}
+    assert (found[f"optc/task_lm/raw/{RAW}"].dataset, found[f"optc/task_lm/raw/{RAW}"].task, found[f"optc/task_lm/raw/{RAW}"].filename) == ("optc", "lm", RAW)
+
+
+def test_one_read_gives_file_records(spark, tree):
+    root, _ = tree
+    files, lines = LT.scan_tree(spark, root)
+    listing = spark.createDataFrame([(k,) for k in tree[1]], "rel_path string")
+    key = lambda r: r["rel_path"]
+    one = sorted((r.asDict() for r in I.file_records(files.drop("lines"), lines).collect()), key=key)
+    two = sorted((r.asDict() for r in I.file_records(L.scan_files(spark, root, listing), L.scan_lines(spark, root)).collect()), key=key)
+    assert one == two
+
+
+def test_lines_on_block_borders(spark, tmp_path):
+    place = tmp_path / "d" / "task_t" / "edge"
+    place.mkdir(parents=True)
+    for i, data in enumerate([b"abc\ndef\n", b"abcd\nef", b"\n\n\n\n", b"abcdefghijklmnop", b"abc\n\nx\xff\xc3\n", b"\nabcdefghij\n"]):
+        (place / f"{i}.log").write_bytes(data)
+        for block in (1, 2, 4, 5):
+            _, lines = LT.scan_tree(spark, str(tmp_path), blockBytes=block, maxLineBytes=12)
+            got = [(r.line, r.line_bytes) for r in lines.filter(f"rel_path like '%/{i}.log'").orderBy("line_no").collect()]
+            want = data.split(b"\n")[:-1] if data.endswith(b"\n") else data.split(b"\n")
+            assert got == [(None if len(w) > 12 else w.decode("utf-8", "replace"), len(w)) for w in want]
+
+
+def test_file_of_three_gigabytes(spark, tmp_path):
+    place = tmp_path / "lab" / "task_lm" / "raw" / "big.log"
+    place.parent.mkdir(parents=True)
+    with place.open("wb") as out:  # sparse: two lines, a hole of 3 GiB, two lines
+        out.write(b"first\nsecond\n")
+        out.seek(3 << 30)
+        out.write(b"\nlast but one\nlast")
+    files, lines = LT.scan_tree(spark, str(tmp_path))
+    record = files.collect()[0]
+    assert (record.bytes, record.lines) == ((3 << 30) + 18, 5) and len(record.sha256) == 64
+    got = [(r.line_no, r.line, r.line_bytes) for r in lines.orderBy("line_no").collect()]
+    assert got == [(1, "first", 5), (2, "second", 6), (3, None, (3 << 30) - 13), (4, "last but one", 12), (5, "last", 4)]
+
+
+def test_written_tree(spark, tmp_path):
+    rows = [("a/task_b/c/1.log", "x\ny"), ("a/task_b/c/2.log", None), ("z/task_b/c/1.log", "é\n")]
+    LT.write_tree(spark.createDataFrame(rows, "rel_path string, text string"), str(tmp_path / "t"))
+    files, lines = LT.scan_tree(spark, str(tmp_path / "t"))
+    assert sorted((r.rel_path, r.bytes, r.lines) for r in files.collect()) == [("a/task_b/c/1.log", 3, 2), ("a/task_b/c/2.log", 0, 0), ("z/task_b/c/1.log", 3, 1)]
+    assert sorted((r.rel_path[0], r.line_no, r.line) for r in lines.collect()) == [("a", 1, "x"), ("a", 2, "y"), ("z", 1, "é")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from ..lookups import EXCLUDE_TERMS, FORBIDDEN_PATTERNS, REVIEW_TERMS, TASKS, TECHNIQUE_INDICATORS
 from ..operators.uncertainty import POISSON_STEPS
+from ..plans.bindings import TREE_BLOCK
 from ..plans.catalog import LADDER, N_BOOTSTRAP, N_CANDIDATES, N_DRAWS, SPLIT_SEED
 from . import grading as G
 from . import views as V
@@ -488,11 +489,45 @@ _add(
     "spent AS (SELECT unnest([event_type, 'total']) AS phase, sum(value * 60 / 3600 * 18.36::double) AS usd FROM events GROUP BY 1)",
     select="SELECT phase, round(usd, 6) AS usd, usd >= 1500.0 AS over FROM spent",
 )
+_add(
+    "stream_cap_breaches",
+    """booked AS (SELECT unnest([event_type, 'total']) AS phase, event_id, ts, value FROM events),
+      usage AS (SELECT phase, event_id, ts, sum(value * 60 / 3600 * 18.36::double) OVER (PARTITION BY phase ORDER BY ts, event_id) AS usd,
+        CASE phase WHEN 'click' THEN 40.0::double WHEN 'view' THEN 60.0::double WHEN 'error' THEN 1e9::double ELSE 80.0::double END AS cap FROM booked)""",
+    # the watermark passes usage that is a day old
+    select="""SELECT phase, event_id, usd, cap FROM (SELECT phase, arg_min(event_id, (ts, event_id)) AS event_id, round(arg_min(usd, (ts, event_id)), 6) AS usd,
+      any_value(cap) AS cap, min(ts) AS ts FROM usage WHERE usd >= cap GROUP BY phase) WHERE ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+)
 _add(
     "stream_early_stop", EVALS, WALK,
     select="SELECT * FROM (SELECT arm, max(place) AS n_evaluations, min(step) FILTER (misses >= 4)::int AS stop_step FROM walk GROUP BY arm) WHERE stop_step IS NOT NULL",
 )
 
+# --- scanned trees ------------------------------------------------------------------------------
+
+TREE_FILES = f"""
+placed AS (
+  SELECT *, dataset || '/task_' || task || '/' || representation || '/' || name AS place, encode(text) AS raw FROM (
+    SELECT *, representation || '_' || translate(window_start, ' :', 'T-') || '-to-' || translate(window_end, ' :', 'T-') || '_'
+      || coalesce(host || '_', '') || scenario || '.log' AS name FROM doc_files)),
+parts AS (SELECT place, raw, unnest(range(greatest((octet_length(raw) + {TREE_BLOCK - 1}) // {TREE_BLOCK}, 1))) AS k FROM placed),
+digests AS (
+  SELECT place, count(*) AS n, min(digest) AS one, sha256(string_agg(digest, '' ORDER BY k)) AS many
+  FROM (SELECT place, k, sha256(raw[k * {TREE_BLOCK} + 1 : (k + 1) * {TREE_BLOCK}]) AS digest FROM parts) GROUP BY place)
+"""
+_add(
+    "scanned_files", V.DOCS, TREE_FILES,
+    select="""SELECT place AS rel_path, dataset, task, name AS filename, representation, host, scenario, scenario_key,
+      CASE WHEN contains(scenario, 'benign') THEN 'benign' ELSE 'attack' END AS label, CASE WHEN dataset = 'optc' THEN 'windows' ELSE 'linux' END AS os,
+      window_start, window_end, CASE WHEN n = 1 THEN one ELSE many END AS sha256, octet_length(raw) AS bytes, lines, lines AS parse_failures, 0 AS nonmonotonic
+      FROM placed JOIN digests USING (place)""",
+)
+_add(
+    "scanned_lines", V.DOCS, TREE_FILES,
+    """cut AS (SELECT place, lines, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM placed)""",
+    select="SELECT place AS rel_path, line_no, line, strlen(line) AS line_bytes FROM cut WHERE line_no <= lines",
+)
+
 # --- names, manifests and ground truth ------------------------------------------------------------
 
 _add(

@@ -7,7 +7,7 @@ rule to every row; no row is left out to make a query cheaper.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.inventory import timed_lines
@@ -17,6 +17,8 @@ from ..sources.logs import split_text_lines
 DOC_SIZES = {"edge": 4, "raw": 10}
 LOG_SIZES = {"edge": 20, "raw": 30}
 SCHEMA_VERSION = "v1"
+# Bytes of a block in which documents are hashed as files.
+TREE_BLOCK = 4_096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,19 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_name() -> Column:
+    """The name of a file, written from its attributes."""
+    token = lambda c: F.translate(F.replace(c, F.lit(" "), F.lit("T")), ":", "-")
+    span = F.concat(token("window_start"), F.lit("-to-"), token("window_end"))
+    return F.concat(F.concat_ws("_", "representation", span, "host", "scenario"), F.lit(".log"))
+
+
+def doc_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place in a log tree and text of every document."""
+    place = F.concat_ws("/", "dataset", F.concat(F.lit("task_"), F.col("task")), "representation", file_name())
+    return doc_files(spark, sf_dir).select(place.alias("rel_path"), "text")
+
+
 def doc_annotations(files: DataFrame) -> DataFrame:
     """An annotation with two times for every toxic document; low-quality ones name a scenario without file."""
     return files.filter("toxic = 1").selectExpr(

@@ -28,6 +28,7 @@ from ..operators import uncertainty as U
 from ..operators import validation as V
 from ..operators import windows as W
 from ..session import cut_lineage, shared_dir
+from ..sources import logtree as LT
 from ..sources import manifests as MF
 from ..streaming import early_stop as ES
 from ..streaming import log_stream, sinks, spend
@@ -94,11 +95,7 @@ def entity_norms(spark, sf):
 @query
 def file_names(spark, sf):
     """Names written from the attributes of the files, and what is read from them again."""
-    token = lambda c: F.translate(F.replace(c, F.lit(" "), F.lit("T")), ":", "-")
-    files = B.doc_files(spark, sf)
-    written = files.select("rel_path", "dataset", F.concat(
-        F.concat_ws("_", "representation", F.concat(token("window_start"), F.lit("-to-"), token("window_end")), "host", "scenario"), F.lit(".log"),
-    ).alias("filename"))
+    written = B.doc_files(spark, sf).select("rel_path", "dataset", B.file_name().alias("filename"))
     rows = written.withColumn("p", N.parse_file_name(F.col("filename"))).select("rel_path", "dataset", "filename", "p.*")
     scenario = F.col("scenario")
     return rows.select(
@@ -136,6 +133,29 @@ def duplicate_contents(spark, sf):
     return I.duplicate_contents(B.doc_files(spark, sf))
 
 
+def _scanned(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Files and lines of the documents written out as a log tree and scanned in blocks."""
+    root = f"{shared_dir(spark).rstrip('/')}/tracewright-tree-{uuid.uuid4().hex}"
+    LT.write_tree(B.doc_tree(spark, sf), root)
+    return LT.scan_tree(spark, root, blockBytes=B.TREE_BLOCK)
+
+
+@query
+def scanned_files(spark, sf):
+    """The inventory record of every file of the tree."""
+    files, lines = _scanned(spark, sf)
+    out = I.file_records(files.drop("lines"), lines)
+    return out.select(
+        "rel_path", "dataset", "task", "filename", "representation", "host", "scenario", "scenario_key", "label", "os", "window_start",
+        "window_end", "sha256", "bytes", "lines", "parse_failures", "nonmonotonic",
+    )
+
+
+@query
+def scanned_lines(spark, sf):
+    return _scanned(spark, sf)[1].select("rel_path", "line_no", "line", "line_bytes")
+
+
 # --- provenance ---------------------------------------------------------------------------------
 
 
@@ -784,11 +804,30 @@ def stream_spend(spark, sf):
     return sinks.drain(spend.running_spend(usage)).select("phase", _round("usd", 6), "over")
 
 
+def _arriving(spark, rows: DataFrame, part: str, n_parts: int) -> DataFrame:
+    """All ``rows`` as a stream of ``n_parts`` batches: a row comes in the batch that ``part`` names."""
+    stored = f"{shared_dir(spark).rstrip('/')}/tracewright-arriving-{uuid.uuid4().hex}"
+    rows = cut_lineage(rows.withColumn("_part", F.expr(part)))
+    for k in range(n_parts):
+        rows.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(stored)
+    schema = rows.drop("_part").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(stored)
+
+
 @query
 def stream_early_stop(spark, sf):
-    """Arms that stopped improving, from their evaluations written out and read back as a stream."""
-    stored = f"{shared_dir(spark).rstrip('/')}/tracewright-evaluations-{uuid.uuid4().hex}"
-    evaluations = B.evaluations(spark, sf)
-    evaluations.write.parquet(stored)
-    stream = spark.readStream.schema(evaluations.schema).parquet(stored)
-    return sinks.drain(ES.early_stop_alerts(stream))
+    """Arms that stopped improving, from evaluations that come in five batches, some steps a batch late."""
+    stream = _arriving(spark, B.evaluations(spark, sf), "least(greatest((step + 36) div 24, 0) + if(step % 13 = 5, 1, 0), 4)", 5)
+    return sinks.drain(ES.early_stop_alerts(stream), "update", latest_by="arm").select("arm", "stop_step", "n_evaluations")
+
+
+@query
+def stream_cap_breaches(spark, sf):
+    """The usage at which each cap falls, from events that come in four batches, a seventh of them half a day late."""
+    usage = B.table(spark, sf, "events").select(
+        F.col("event_type").alias("phase"), "ts", "event_id", (F.col("value") * 60).alias("seconds"), F.lit(18.36).alias("rate_per_hour")
+    )
+    part = "least((day(ts + if(event_id % 7 = 0, interval 12 hours, interval 0 hours)) - 1) div 8, 3)"
+    stream = _arriving(spark, usage, part, 4)
+    events = spend.breach_events(stream, {"click": 40.0, "view": 60.0, "error": 1e9}, 80.0, "1 day")
+    return sinks.drain(events, "append").select("phase", "event_id", _round("usd", 6), "cap")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def send_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; the driver serves the archive."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if not package.is_dir() or getattr(context, "_tracewright_package", None):
+        return
+    path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._tracewright_package = str(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 

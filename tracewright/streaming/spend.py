@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lookups import PHASE_CAPS_USD, TOTAL_CAP_USD
+from .state import keyed_state
 
 
 # The phase under which the usage of all phases is summed.
@@ -59,3 +65,72 @@ def cap_breaches(usage: DataFrame, caps: dict[str, float] = PHASE_CAPS_USD, tota
     detail = detail.withColumn("usd", F.col("_before") + F.sum("usd").over(inside)).filter("usd >= cap")
     first = F.min(F.struct("ts", "event_id", "usd", "cap")).alias("f")
     return detail.groupBy("phase").agg(first).select("phase", "f.ts", "f.event_id", "f.usd", "f.cap")
+
+
+BREACH = "phase string, ts timestamp, event_id long, usd double, cap double"
+
+
+class Breach(StatefulProcessor):
+    """One sum per phase, and the usage that the watermark has not passed yet; after the breach, one flag.
+
+    Usage waits in a map keyed by second and microsecond, so that it is booked in event-time order whatever order it comes in.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.booked = handle.getValueState("booked", "usd double, breached boolean")
+        self.waiting = handle.getMapState("waiting", "us long, event_id long", "usd double, times long, cap double")
+
+    def _state(self) -> tuple[float, bool]:
+        return tuple(self.booked.get()) if self.booked.exists() else (0.0, False)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self._state()[1]:
+            return
+        for row in rows:
+            place = (row.us, row.event_id)
+            before = self.waiting.getValue(place) if self.waiting.containsKey(place) else (0.0, 0, row.cap)
+            self.waiting.updateValue(place, (before[0] + row.usd, before[1] + 1, row.cap))
+        yield from self._book(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._book(key, timerValues.getCurrentWatermarkInMs())
+
+    def _book(self, key, watermark_ms: int) -> Iterator[Row]:
+        """Book what the watermark has passed, in order, up to the cap, and come again when it passes the next usage."""
+        spent, breached = self._state()
+        if breached:
+            return
+        places = sorted(tuple(place) for place in self.waiting.keys())
+        n_passed = bisect_right(places, (watermark_ms * 1000, float("inf")))
+        for place in places[:n_passed]:
+            usd, _, cap = self.waiting.getValue(place)
+            spent += usd
+            if spent >= cap:
+                self.waiting.clear()
+                self.booked.update((spent, True))
+                yield Row(phase=key[0], ts=datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=place[0]), event_id=place[1], usd=spent, cap=cap)
+                return
+            self.waiting.removeKey(place)
+        self.booked.update((spent, False))
+        if n_passed < len(places):
+            self.handle.registerTimer(places[n_passed][0] // 1000 + 1)
+
+
+def breach_events(usage: DataFrame, caps: dict[str, float] = PHASE_CAPS_USD, total: float = TOTAL_CAP_USD, delay: str = "1 day") -> DataFrame:
+    """Stream, append mode: the usage at which the cap of a phase, or of all phases together, falls, each once.
+
+    ``usage``: phase, ts, event_id, seconds, rate_per_hour. Usage is booked in the order of (ts, event_id) once the watermark, ``delay``
+    behind the latest usage, has passed it; what comes later than that is left out by the watermark. The rows equal
+    ``cap_breaches`` as far as the watermark has come, and an event is not repeated after a restart. Usage of one
+    moment and number is summed. Run in a UTC session. A phase is one key: its usage, six numbers a row, passes through one
+    task until its cap has fallen, and after that is dropped on arrival.
+    """
+    keyed_state(usage.sparkSession, __name__)
+    rows = with_total(usage.withColumn("event_time", F.col("ts").cast("timestamp"))).select(
+        "phase", "event_time", F.unix_micros("event_time").alias("us"), F.col("event_id").cast("long").alias("event_id"),
+        cost(F.col("seconds"), F.col("rate_per_hour")).alias("usd"), phase_cap(F.col("phase"), caps, total).alias("cap"),
+    )
+    return rows.withWatermark("event_time", delay).groupBy("phase").transformWithState(
+        statefulProcessor=Breach(), outputStructType=BREACH, outputMode="Append", timeMode="EventTime"
+    )
