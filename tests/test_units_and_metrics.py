@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -218,3 +219,51 @@ def test_near_duplicates_and_families(spark):
     assert sorted(map(len, groups.values())) == [1, 1, 2, 4, 50] and {"a", "b", "c", "copy"} in groups.values() and {"short", "short copy"} in groups.values()
     listed = ND.line_shingles(df.filter("rel_path like 'many%'")).groupBy("shingle").count().filter("count > 1")
     assert len({r.family for r in ND.families(df, boilerplate=listed).filter("rel_path like 'many%'").collect()}) == 50
+
+
+@pytest.mark.parametrize("unit,k", [("word", 5), ("line", 3)])
+def test_similar_contents(spark, unit, k):
+    """All pairs of 0.8 and more are found, copies are one content, and a run that all files hold links none."""
+    rng = random.Random(k)
+    end = "\n" if unit == "line" else " "
+    common = [f"common {i}" for i in range(9)]
+    texts = []
+    for g in range(30):
+        base = [f"log {g} {rng.randrange(9)}" for _ in range(60)]
+        for c in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(60)] = f"changed {rng.randrange(10**9)}"
+            texts.append(end.join(common + copy))
+    texts += [end.join(common), "", " \n ", "one", "one", "a b"] + [end.join(common + [f"only {i}"] * 4) for i in range(5)] + texts[:4]
+    rows = [(f"f{i}", hashlib.sha256(t.encode()).hexdigest(), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "rel_path string, sha256 string, text string").repartition(6)
+
+    pieces = lambda t: t.split("\n") if unit == "line" else t.split()
+    runs = {s: {tuple(pieces(t)[i : i + k]) for i in range(max(1, len(pieces(t)) - k + 1))} if t.strip() else set() for _, s, t in rows}
+    held = Counter(r for v in runs.values() for r in v)
+    runs = {s: {r for r in v if held[r] < 10 or held[r] <= 0.05 * len(runs)} for s, v in runs.items()}
+    content = {}
+    for s in sorted(runs):
+        content.setdefault(frozenset(runs[s]) or s, s)
+    names = sorted(c for v, c in content.items() if isinstance(v, frozenset))
+    want = {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            shared, every = len(runs[a] & runs[b]), len(runs[a] | runs[b])
+            if shared >= 0.8 * every:
+                want[a, b] = (shared, every)
+    members, pairs = ND.similar_contents(ND.run_sets(df, k, unit))
+    assert {r.sha256: r.content for r in members.collect()} == {s: content[frozenset(v) or s] for s, v in runs.items()}
+    found = [((r.a, r.b), (r.n_shared, r.n_all)) for r in pairs.collect()]
+    assert len(found) == len(dict(found)) and set(found) <= set(want.items())
+    assert len(want) > 30 and len(found) >= 0.99 * len(want)
+    family = {r.rel_path: r.family for r in ND.similar_families(df, k=k, unit=unit).collect()}
+    assert len(family) == len(rows)
+    groups = {g: {family[f"f{g * 6 + c}"] for c in range(6)} for g in range(30)}
+    assert all(not groups[g] & groups[h] for g in groups for h in groups if g < h)  # what all files share links none
+
+
+def test_similar_contents_of_nothing(spark):
+    none = spark.createDataFrame([], "rel_path string, sha256 string, text string")
+    assert ND.similar_families(none).count() == 0 and ND.similar_contents(ND.run_sets(none))[1].count() == 0

@@ -462,6 +462,29 @@ _add("near_dups", NEAR, select="SELECT a, b, n_shared FROM near")
 _add("families", NEAR, select="SELECT rel_path, family FROM fam")
 _add("family_representatives", NEAR, select="SELECT family, min(rel_path) AS rel_path, count(*) AS n_files FROM fam GROUP BY 1")
 
+SIMILAR = """
+texts AS (SELECT DISTINCT sha256(text) AS sha256, text FROM documents),
+words AS (SELECT sha256, regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+') AS ws FROM texts),
+runs AS (SELECT DISTINCT sha256, md5(array_to_string(ws[i:i + 4], ' ')) AS run FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)),
+plain AS (SELECT * FROM runs WHERE run NOT IN (SELECT run FROM runs GROUP BY run HAVING count(*) >= 10 AND count(*) > 0.05 * (SELECT count(*) FROM texts))),
+sets AS (SELECT sha256, string_agg(run, ',' ORDER BY run) AS all_runs, count(*) AS n FROM plain GROUP BY sha256),
+equal AS (SELECT t.sha256, coalesce(min(t.sha256) OVER (PARTITION BY coalesce(s.all_runs, t.sha256)), t.sha256) AS content, s.n FROM texts t LEFT JOIN sets s USING (sha256)),
+alike AS (
+  SELECT a.sha256 AS a, b.sha256 AS b, count(*) AS n_shared FROM plain a JOIN plain b ON a.run = b.run AND a.sha256 < b.sha256
+  WHERE a.sha256 IN (SELECT content FROM equal) AND b.sha256 IN (SELECT content FROM equal) GROUP BY ALL),
+similar_pairs AS (
+  SELECT l.a, l.b, n_shared, x.n + y.n - n_shared AS n_all, n_shared / (x.n + y.n - n_shared) AS similarity
+  FROM alike l JOIN equal x ON x.sha256 = l.a JOIN equal y ON y.sha256 = l.b WHERE n_shared >= 0.8 * (x.n + y.n - n_shared)),
+sides AS (SELECT a, b FROM similar_pairs UNION SELECT b, a FROM similar_pairs),
+sreach(node, root) AS (SELECT content, content FROM equal UNION SELECT n.b, r.root FROM sreach r JOIN sides n ON n.a = r.node)
+"""
+_add("similar_contents", SIMILAR, select="SELECT a, b, n_shared, n_all, round(similarity, 9) AS similarity FROM similar_pairs")
+_add(
+    "similar_families", SIMILAR,
+    select="""SELECT 'doc/' || doc_id AS rel_path, root AS family FROM documents JOIN equal e ON e.sha256 = sha256(text)
+      JOIN (SELECT node, min(root) AS root FROM sreach GROUP BY 1) ON node = e.content""",
+)
+
 # --- metered usage ------------------------------------------------------------------------------
 
 _add(

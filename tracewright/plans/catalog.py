@@ -771,6 +771,18 @@ def family_representatives(spark, sf):
     return ND.family_representatives(ND.families(B.doc_files(spark, sf)))
 
 
+@query
+def similar_contents(spark, sf):
+    """Pairs of contents whose runs of five words have a similarity of 0.8 or more."""
+    pairs = ND.similar_contents(ND.run_sets(B.doc_files(spark, sf)))[1]
+    return pairs.select("a", "b", "n_shared", "n_all", _round("similarity"))
+
+
+@query
+def similar_families(spark, sf):
+    return ND.similar_families(B.doc_files(spark, sf)).select("rel_path", "family")
+
+
 # --- metered usage ------------------------------------------------------------------------------
 
 
