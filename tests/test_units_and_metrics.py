@@ -267,3 +267,34 @@ def test_similar_contents(spark, unit, k):
 def test_similar_contents_of_nothing(spark):
     none = spark.createDataFrame([], "rel_path string, sha256 string, text string")
     assert ND.similar_families(none).count() == 0 and ND.similar_contents(ND.run_sets(none))[1].count() == 0
+
+
+def test_grouped_bootstrap(spark):
+    """The same draws in numpy, one group at a time; null groups and values; an arm that some draws leave without a group."""
+    rng = random.Random(9)
+    rows = [(f"g{i}", rng.random() if rng.random() < 0.9 else None, rng.random() if i < 3 else None) for i in range(40)] + [(None, 0.5, None)]
+    df = spark.createDataFrame(rows, "grp string, value_a double, value_b double").repartition(5)
+    draws = U.draw_keys(700, 4)
+    diffs, missing = [], 0
+    for b in range(700):
+        sums = {"a": [0.0, 0.0], "b": [0.0, 0.0]}
+        for g, a, v in rows:
+            key = int(hashlib.md5(f"4|{g}".encode() if g else b"4").hexdigest()[:8], 16) >> 1
+            x = (key ^ int(draws[b])) * U.SPREAD[0]
+            x = ((((x >> 31) ^ (x & 0x7FFFFFFF)) * U.SPREAD[1]) >> 31) & 0xFFFFFF
+            w = sum(x >= step for step in U.WEIGHT_STEPS)
+            for arm, value in (("a", a), ("b", v)):
+                if value is not None:
+                    sums[arm][0] += w * value
+                    sums[arm][1] += w
+        if sums["a"][1] and sums["b"][1]:
+            diffs.append(sums["b"][0] / sums["b"][1] - sums["a"][0] / sums["a"][1])
+        else:
+            missing += 1
+    r = U.grouped_bootstrap(df, 700, seed=4).first()
+    low, high = pd.Series(diffs).quantile([0.025, 0.975])
+    assert (r.n_missing, r.n_draws, r.n_groups) == (missing, 700, 41) and missing > 10
+    assert math.isclose(r.low, low, rel_tol=1e-9) and math.isclose(r.high, high, rel_tol=1e-9)
+    weights = U.poisson_weights(U.draw_keys(300, 1), U.draw_keys(300, 2))
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.03
+    assert U.grouped_bootstrap(df.limit(0), 20).first().n_missing == 20

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from ..lookups import EXCLUDE_TERMS, FORBIDDEN_PATTERNS, REVIEW_TERMS, TASKS, TECHNIQUE_INDICATORS
-from ..operators.uncertainty import POISSON_STEPS
+from ..operators.uncertainty import POISSON_STEPS, SPREAD, WEIGHT_STEPS
 from ..plans.bindings import TREE_BLOCK
 from ..plans.catalog import LADDER, N_BOOTSTRAP, N_CANDIDATES, N_DRAWS, SPLIT_SEED
 from . import grading as G
@@ -450,6 +450,22 @@ _add(
       round(count(*) FILTER (diff IS NULL) / {N_BOOTSTRAP}, 9) AS missing_share FROM diffs""",
 )
 
+_mixed = f"xor(kg, kd) * {SPREAD[0]}"
+_stepped = " + ".join(f"(u >= {step})::int" for step in WEIGHT_STEPS)
+_add(
+    "bootstrap_groups", TRIALS,
+    f"""cells AS (SELECT grp, avg(strict) FILTER (rep = 'edge') AS a, avg(strict) FILTER (rep = 'raw') AS b FROM rows GROUP BY ALL),
+      keyed AS (SELECT *, ('0x' || substr(md5('11|' || grp), 1, 8))::ubigint >> 1 AS kg FROM cells),
+      drawn AS (SELECT draw, ('0x' || substr(md5('11|draw|' || draw), 1, 8))::ubigint >> 1 AS kd FROM (SELECT unnest(range({N_BOOTSTRAP})) AS draw)),
+      mixed AS (SELECT draw, a, b, {_mixed} AS x FROM keyed, drawn),
+      weighted AS (SELECT draw, a, b, {_stepped} AS w FROM (
+        SELECT draw, a, b, ((xor(x >> 31, x & 2147483647) * {SPREAD[1]}) >> 31) & 16777215 AS u FROM mixed)),
+      diffs AS (SELECT draw, sum(b * w) / nullif(sum(w) FILTER (b IS NOT NULL), 0) - sum(a * w) / nullif(sum(w) FILTER (a IS NOT NULL), 0) AS diff FROM weighted GROUP BY draw)""",
+    select=f"""SELECT (SELECT round(avg(b) - avg(a), 9) FROM cells) AS observed, (SELECT count(*) FROM cells) AS n_groups, round(quantile_cont(diff, 0.025), 9) AS low,
+      round(quantile_cont(diff, 0.975), 9) AS high, count(*) FILTER (diff IS NULL) AS n_missing, count(*) AS n_draws,
+      round(count(*) FILTER (diff IS NULL) / {N_BOOTSTRAP}, 9) AS missing_share FROM diffs""",
+)
+
 NEAR = """
 contents AS (SELECT sha256(text) AS sha256, string_split(any_value(text), chr(10)) AS ls FROM documents GROUP BY 1),
 sh AS (SELECT DISTINCT sha256, md5(array_to_string(ls[i:i + 2], chr(10))) AS shingle FROM (SELECT *, unnest(range(1, greatest(len(ls) - 1, 2))) AS i FROM contents)),

@@ -756,6 +756,19 @@ def bootstrap_ci(spark, sf):
     )
 
 
+@query
+def bootstrap_groups(spark, sf):
+    """The same difference, resampling the customers themselves."""
+    means = _rows(spark, sf).groupBy("grp").agg(
+        F.avg(F.when(F.col("rep") == "edge", F.col("strict"))).alias("value_a"),
+        F.avg(F.when(F.col("rep") == "raw", F.col("strict"))).alias("value_b"),
+    )
+    out = U.grouped_bootstrap(cut_lineage(means), N_BOOTSTRAP, seed=11)
+    return out.select(
+        _round("observed"), "n_groups", _round("low"), _round("high"), "n_missing", "n_draws", _round("missing_share")
+    )
+
+
 @query
 def near_dups(spark, sf):
     return ND.near_duplicate_links(B.doc_files(spark, sf))
