@@ -188,3 +188,29 @@ def test_chunked_row_number(spark):
     for k in "abc":
         ordered = sorted(p for key, p in rows if key == k)
         assert {r.pos: r.rn for r in got if r.k == k} == {p: i + 1 for i, p in enumerate(ordered)}
+
+
+def test_dyadic_cover_is_exact_and_small(spark):
+    rng = random.Random(12)
+    spans = [(0, 0), (5, 4), (-7, 9), (-8, -1), (3, 3), (0, 2**38)] + [tuple(sorted((rng.randint(-500, 500), rng.randint(-500, 500)))) for _ in range(200)]
+    spans += [(1_700_000_001, 1_700_000_001 + 10 * 365 * 86_400)]
+    df = spark.createDataFrame(spans, "s long, e long").select("s", "e", scale.dyadic_cover(F.col("s"), F.col("e")).alias("c"))
+    for r in df.collect():
+        blocks = sorted((b.block << b.level, (b.block + 1) << b.level) for b in r.c)
+        assert len(blocks) <= 64
+        if r.s > r.e:
+            assert not blocks
+            continue
+        assert blocks[0][0] == r.s and blocks[-1][1] == r.e + 1
+        assert all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))  # next to one another, without overlap
+
+
+@pytest.mark.parametrize("unit", [1, 60])
+def test_points_in_intervals(spark, unit):
+    rng = random.Random(unit)
+    points = [(i, rng.choice(["a", "b", None]), rng.randint(-900, 900)) for i in range(150)] + [(900, "a", None)]
+    spans = [(i, rng.choice(["a", "b", None]), s, s + rng.choice([0, 1, 7, 300, 2000, -3])) for i in range(80) for s in [rng.randint(-900, 900)]]
+    got = scale.in_interval(
+        spark.createDataFrame(points, "p long, k string, t long"), spark.createDataFrame(spans, "i long, k string, s long, e long"), "t", "s", "e", ["k"], unit
+    ).collect()
+    assert sorted((r.p, r.i) for r in got) == sorted((p, i) for p, k, t in points for i, m, s, e in spans if t is not None and k == m and s <= t <= e)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import timestamps as T
-from .scale import null_safe_join
+from .scale import in_interval, null_safe_join
 
 EDGE_COLUMNS = ["a", "b", "rule", "strength", "evidence"]
 
@@ -55,52 +55,33 @@ def _intervals(files: DataFrame) -> DataFrame:
     )
 
 
-def overlap_edges(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int = 86_400) -> DataFrame:
+def overlap_edges(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int = 1) -> DataFrame:
     """All pairs of files whose windows overlap on one data set, OS and host (null hosts are equal).
 
-    Windows are listed under each time bucket they touch and joined on (data set, OS, host, bucket),
-    so the join is hashed and never compares distant windows. A pair is kept only in the bucket
-    where the later of the two windows starts, hence once. The output is as large as the number of
-    overlapping pairs; grouping uses ``overlap_links`` instead, which is linear.
+    Of two windows that overlap, the later starts inside the earlier, so the join asks for the windows that contain a start, by
+    dyadic blocks: a long window stands under some tens of blocks, and hostless files are spread over theirs. The output is as large
+    as the number of overlapping pairs; grouping uses ``overlap_links`` instead, which is linear.
     """
     place = ["dataset", "os", "host"]
-    base = _intervals(files).select(
-        "rel_path", "ordinal", *place, "scenario_key", "window_start", "window_end",
-        F.col("_s"), (F.col("_e") + F.lit(slack_seconds)).alias("_e"),
-    )
-    width = F.lit(bucket_seconds)
-    bucketed = base.withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width)))
-    )
-    left = bucketed.select([F.col(c).alias(f"l_{c}") for c in bucketed.columns])
-    right = bucketed.select([F.col(c).alias(f"r_{c}") for c in bucketed.columns])
-    same_place = F.lit(True)
-    for c in place:
-        same_place = same_place & F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
-    pairs = left.join(
-        right,
-        same_place
-        & (F.col("l__bucket") == F.col("r__bucket"))
-        & (F.col("l_ordinal") < F.col("r_ordinal"))
-        & (F.col("l__s") <= F.col("r__e"))
-        & (F.col("r__s") <= F.col("l__e"))
-        & (F.col("l_scenario_key") != F.col("r_scenario_key"))
-        & (F.col("l__bucket") == F.floor(F.greatest("l__s", "r__s") / width)),
-    )
-    evidence = F.concat(
-        F.col("l_window_start"), F.lit(".."), F.col("l_window_end"), F.lit(" overlaps "),
-        F.col("r_window_start"), F.lit(".."), F.col("r_window_end"),
-    )
+    base = _intervals(files).select("rel_path", "ordinal", *place, "scenario_key", "window_start", "window_end", "_s", "_e")
+    named = lambda side: base.select(*place, *[F.col(c).alias(f"{side}{c}") for c in base.columns if c not in place])
+    earlier = named("l_").withColumn("l_reach", F.col("l__e") + F.lit(slack_seconds))
+    met = in_interval(named("r_"), earlier, "r__s", "l__s", "l_reach", place, bucket_seconds)
+    once = F.struct("l__s", "l_ordinal") < F.struct("r__s", "r_ordinal")
+    pairs = met.filter(once & (F.col("l_scenario_key") != F.col("r_scenario_key")))
+    span = lambda side: F.concat(F.col(f"{side}_window_start"), F.lit(".."), F.col(f"{side}_window_end"))
+    first = F.col("l_ordinal") < F.col("r_ordinal")
+    evidence = F.concat(F.when(first, span("l")).otherwise(span("r")), F.lit(" overlaps "), F.when(first, span("r")).otherwise(span("l")))
     return _edges(pairs, F.col("l_rel_path"), F.col("r_rel_path"), "window_overlap_same_host", "strong", evidence)
 
 
-def overlap_links(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int = 86_400) -> DataFrame:
+def overlap_links(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int = 60, buckets: int = 1_440) -> DataFrame:
     """At most one overlap edge per file, with the same connected components as ``overlap_edges``.
 
     In start order, a window is linked to the earlier window that ends last, if that one reaches it;
     any other earlier window that reaches it overlaps that one too. The running maximum is taken
-    inside time buckets and carried over from per-bucket maxima, so a hot host is spread over its
-    buckets. Files with one scenario key may be linked here; ``same_key_edges`` links them anyway.
+    inside time buckets, over the buckets of a run of ``buckets``, and over the runs, so a hot host, and all files without one, are
+    spread over their minutes. Files with one scenario key may be linked here; ``same_key_edges`` links them anyway.
     """
     place = ["dataset", "os", "_host"]  # without nulls, so that the join and the window share an exchange
     base = _intervals(files).withColumn("_host", F.coalesce("host", F.lit("")))
@@ -109,12 +90,14 @@ def overlap_links(files: DataFrame, slack_seconds: int = 0, bucket_seconds: int
     )
     base = base.withColumn("_bucket", F.floor(F.col("_s") / F.lit(bucket_seconds)))
     base = base.withColumn("_reach", F.struct("_e", "rel_path", "window_start", "window_end"))
-    earlier = Window.partitionBy(*place).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        base.groupBy(*place, "_bucket").agg(F.max("_reach").alias("_top"))
-        .select(*place, "_bucket", F.max("_top").over(earlier).alias("_carry"))
-    )
-    inside = Window.partitionBy(*place, "_bucket").orderBy("_s", "rel_path").rowsBetween(Window.unboundedPreceding, -1)
+    preceding = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    tops = base.groupBy(*place, "_bucket").agg(F.max("_reach").alias("_top")).withColumn("_run", F.floor(F.col("_bucket") / F.lit(buckets)))
+    runs = tops.groupBy(*place, "_run").agg(F.max("_top").alias("_top"))
+    runs = runs.select(*place, "_run", F.max("_top").over(preceding(*place).orderBy("_run")).alias("_before"))
+    carried = tops.join(runs, [*place, "_run"]).select(
+        *place, "_bucket", F.greatest("_before", F.max("_top").over(preceding(*place, "_run").orderBy("_bucket"))).alias("_carry")
+    )
+    inside = preceding(*place, "_bucket").orderBy("_s", "rel_path")
     joined = base.join(carried, [*place, "_bucket"])
     linked = joined.withColumn("_from", F.greatest(F.col("_carry"), F.max("_reach").over(inside)))
     linked = linked.filter(F.col("_from._e") >= F.col("_s"))
@@ -143,13 +126,11 @@ def view_name_edges(files: DataFrame, linear: bool = False) -> DataFrame:
     return _edges(joined, F.col("_view"), F.col("rel_path"), "classification_view_name", "strong", evidence)
 
 
-def annotation_time_edges(
-    files: DataFrame, annotations: DataFrame, bucket_seconds: int = 86_400, linear: bool = False
-) -> DataFrame:
+def annotation_time_edges(files: DataFrame, annotations: DataFrame, linear: bool = False) -> DataFrame:
     """Annotation times that fall into the window of a file of another scenario.
 
-    ``annotations``: dataset, task, scenario, timestamps. Times are points, so each meets a window in
-    exactly one bucket. With home files the hit must be on the OS and host of the first of them, which are
+    ``annotations``: dataset, task, scenario, timestamps. A time meets a window in exactly one dyadic block of it. With home files
+    the hit must be on the OS and host of the first of them, which are
     part of the join key, and every home file is linked; without, a ``note`` edge is written. Hits are reduced
     to one row per (scenario, file) before they meet the home files. ``linear=True`` links the first home file
     to each hit and the first hit to each home file: the components of the whole product.
@@ -160,21 +141,14 @@ def annotation_time_edges(
         .withColumn("_t", _seconds(T.parse_annotation_time(F.col("stamp"))))
     )
     home = files.groupBy(*scope).agg(F.min(F.struct("ordinal", "os", "host", "rel_path")).alias("_home"))
-    stamps = stamps.join(home, scope, "left")
-    width = F.lit(bucket_seconds)
+    stamps = stamps.join(home, scope, "left").withColumns({"_os": F.col("_home.os"), "_host": F.col("_home.host")})
     windows = _intervals(files).select(
-        F.col("dataset"), F.col("rel_path").alias("_file"), F.col("filename").alias("_name"),
-        F.col("scenario").alias("_scenario"), F.col("os").alias("_os"), F.col("host").alias("_host"), "_s", "_e",
-        F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))).alias("_bucket"),
-    )
-    stamps = stamps.withColumn("_bucket", F.floor(F.col("_t") / width)).withColumnRenamed("dataset", "_dataset")
-    reaches = (
-        (F.col("_dataset") == F.col("dataset")) & (stamps["_bucket"] == windows["_bucket"])
-        & F.col("_t").between(F.col("_s"), F.col("_e")) & (F.col("_scenario") != F.col("scenario"))
+        "dataset", F.col("rel_path").alias("_file"), F.col("filename").alias("_name"), F.col("scenario").alias("_scenario"),
+        F.col("os").alias("_os"), F.col("host").alias("_host"), "_s", "_e",
     )
-    same_place = (F.col("_os") == F.col("_home.os")) & F.col("_host").eqNullSafe(F.col("_home.host"))
-    placed = stamps.filter("_home is not null").join(windows, reaches & same_place)
-    homeless = stamps.filter("_home is null").join(windows, reaches)
+    other = F.col("_scenario") != F.col("scenario")
+    placed = in_interval(stamps.filter("_home is not null"), windows, "_t", "_s", "_e", ["dataset", "_os", "_host"]).filter(other)
+    homeless = in_interval(stamps.filter("_home is null").drop("_os", "_host"), windows, "_t", "_s", "_e", ["dataset"]).filter(other)
     once = lambda hits, *more: hits.groupBy(*scope, "_file", "_name", *more).agg(F.min("stamp").alias("stamp"))
     subject = F.concat_ws("/", "dataset", "scenario")
     inside = F.concat(F.col("stamp"), F.lit(" inside "), F.col("_name"))

@@ -50,6 +50,51 @@ def chunked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.withColumn(name, F.row_number().over(inside) + F.col("_offset")).drop("_chunk", "_offset")
 
 
+# Levels of dyadic blocks: seconds of all years of four digits fit below 2^39.
+DYADIC_LEVELS = 40
+
+
+def dyadic_cover(start: Column, end: Column) -> Column:
+    """Array of (level, block): the fewest aligned blocks of 2^level integers that make up ``start`` to ``end``, both included.
+
+    Two of a level at most, so an interval of ten years of seconds has some tens. A level takes the block at either side that its
+    parent would carry beyond the interval.
+    """
+
+    def level(width: Column, k: Column) -> Column:
+        low = F.floor((start + width - 1 - F.pmod(start + width - 1, width)) / width).cast("long")
+        high = F.floor((end + 1 - F.pmod(end + 1, width)) / width).cast("long")
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        block = lambda c: F.struct(k.cast("int").alias("level"), c.alias("block"))
+        return F.array_compact(F.array(F.when((low < high) & odd(low), block(low)), F.when((low < high) & odd(high), block(high - 1))))
+
+    return F.flatten(F.transform(F.array(*[F.lit(1 << k).cast("long") for k in range(DYADIC_LEVELS)]), level))
+
+
+def in_interval(
+    points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: Sequence[str], unit: int = 1
+) -> DataFrame:
+    """Equi-join of points with the intervals of equal ``keys`` (nulls are equal) that contain them; each pair comes once.
+
+    An interval stands under its few blocks, a point asks for the block of every level that occurs, so the join never meets a pair
+    that does not belong together, and one place with many intervals is spread over their blocks. ``points`` and ``intervals`` share
+    only the names in ``keys``; those of the intervals are dropped. A coarser ``unit`` has fewer levels, and some pairs are met that
+    are then dropped.
+    """
+    units = lambda c: F.floor(F.col(c) / F.lit(unit)).cast("long")
+    held = intervals.filter(F.col(start) <= F.col(end)).withColumn("_block", F.explode(dyadic_cover(units(start), units(end))))
+    levels = held.agg(F.array_sort(F.collect_set("_block.level")).alias("_levels"))  # one row of at most DYADIC_LEVELS numbers
+    asked = points.withColumn("_at", units(at)).join(levels, F.lit(True)).withColumn("_al", F.explode("_levels"))
+    asked = asked.select(*points.columns, "_al", F.expr("shiftright(_at, _al)").alias("_ab"))
+    held = held.select(*[F.col(k).alias(f"_i_{k}") for k in keys], *[c for c in intervals.columns if c not in keys],
+                       F.col("_block.level").alias("_hl"), F.col("_block.block").alias("_hb"))
+    same = (F.col("_al") == F.col("_hl")) & (F.col("_ab") == F.col("_hb"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_i_{k}"))
+    met = asked.join(held, same).filter(F.col(at).between(F.col(start), F.col(end)))
+    return met.drop("_al", "_ab", "_hl", "_hb", *[f"_i_{k}" for k in keys])
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which null keys match, keeping the left key columns once."""
     renamed = right.select(
