@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,8 +19,8 @@ from pyspark.sql.types import StructType
 
 from ..session import cut_lineage, shared_dir
 
-# Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 350_000
+# Bytes of words that all tables of a Python worker remember together, twice over, and what an entry takes besides its text.
+CACHE_BYTES, ENTRY_BYTES = 56 << 20, 130
 # Longer words are computed each time, so that the memory of a cache is bounded.
 CACHE_WORD_CHARS = 64
 # Rows of a batch that a Python worker holds.
@@ -61,7 +62,13 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
         context.addPyFile(str(path))
         context._tracewright_sent = str(path)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    owner = f"{run.__module__}.{run.__qualname__}"
+
+    def claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.claim(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(claimed, schema)
 
 
 def arrow_types(schema: str) -> pa.Schema:
@@ -136,23 +143,52 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 class Remembered(dict):
-    """Values of words, made once and remembered in two generations, so that frequent words are not forgotten."""
+    """Values of words, made once and remembered in two generations, so that frequent words are not forgotten.
+
+    All tables of a worker share one budget and change generations together, and a worker that turns to another operator
+    forgets the tables of the last one.
+    """
+
+    tables: weakref.WeakSet = weakref.WeakSet()
+    held = 0
+    owner: str | None = None
 
     def __init__(self, make: Callable) -> None:
         super().__init__()
         self.make, self.old = make, {}
+        Remembered.tables.add(self)
+
+    def __hash__(self) -> int:
+        return id(self)
+
+    def __eq__(self, other: object) -> bool:
+        return self is other
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
         if len(word) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.old = self.copy()
-                self.clear()
+            Remembered.held += ENTRY_BYTES + len(word) + len(value)
+            if Remembered.held > CACHE_BYTES:
+                for table in Remembered.tables:
+                    table.old = dict(table)
+                    table.clear()
+                Remembered.held = 0
             self[word] = value
         return value
 
+    @classmethod
+    def claim(cls, owner: str) -> None:
+        """The worker begins a partition of ``owner``."""
+        if cls.owner not in (None, owner):
+            for table in cls.tables:
+                table.old = {}
+                table.clear()
+            cls.held = 0
+            pa.default_memory_pool().release_unused()
+        cls.owner = owner
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit values (the finalizer of splitmix64)."""
