@@ -1,3 +1,5 @@
+"""Validation, matching and scoring on a scenario of one night: a ledger is read, packed and sent away."""
+
 import json
 
 import pytest
@@ -7,115 +9,152 @@ from tracewright.operators import compat as C
 from tracewright.operators import matching as M
 from tracewright.operators import validation as V
 
-OK = {"timestamp": "1761248180.689", "external_host": "203.0.113.77", "source_lines": [3], "verdict": "HIGH_SUSPICIOUS"}
-TECH = {"timestamp": "2024-01-01 00:00", "technique": "Boot or Logon Autostart Execution", "source_lines": [1], "verdict": "LOW_SUSPICIOUS"}
-CLS = {"verdict": "LOW_SUSPICIOUS", "source_lines": []}
-
-
-def j(*items):
-    return json.dumps(list(items))
-
-
-PAYLOADS = [
-    ("lm", "[]", None), ("lm", j(OK), None), ("lm", j(dict(reversed(OK.items()))), None), ("persistence", j(TECH), None),
-    ("classification", j(CLS), None), ("lm", j({**OK, "pid": None, "username": None, "method": "ssh", "evidence_for": "x" * 2000}), None),
-    ("lm", j({**OK, "pid": 0, "source_lines": [5, 1, 2]}), None), ("lm", j(*[OK] * 32), None),
-    ("lm", "", "output is empty"), ("lm", None, "output missing"), ("lm", "not json", "invalid JSON"), ("lm", "{}", "top-level"),
-    ("lm", "[NaN]", "invalid JSON"), ("lm", '[{"a":1,"a":2}]', "invalid JSON"), ("lm", "[] x", "invalid JSON"), ("lm", "[],[]", "invalid JSON"),
-    ("lm", "[1e999]", "finding 0 finding is not an object"), ("lm", "[1]", "finding 0 finding is not an object"), ("lm", "[[]]", "finding 0 finding is not"),
-    ("lm", j(*[OK] * 33), "more than 32"), ("lm", "[" + " " * (256 * 1024) + "]", "output exceeds"),
-    ("classification", "[]", "classification requires"), ("classification", j(CLS, CLS), "classification requires"),
-    ("lm", j({k: v for k, v in OK.items() if k != "timestamp"}), "finding 0 finding misses"), ("lm", j({**OK, "x": 1}), "finding 0 finding has unknown"),
-    ("lm", j(OK, {**OK, "verdict": "high_suspicious"}), "finding 1 verdict"), ("lm", j({**OK, "verdict": 1}), "finding 0 verdict"),
-    ("lm", j({**OK, "source_lines": []}), "finding 0 source_lines must reference"), ("lm", j({**OK, "source_lines": [0]}), "finding 0 source line is outside"),
-    ("lm", j({**OK, "source_lines": [6]}), "finding 0 source line is outside"), ("lm", j({**OK, "source_lines": [1, 1]}), "finding 0 source_lines contains dup"),
-    ("lm", j({**OK, "source_lines": ["1"]}), "finding 0 source_lines entries"), ("lm", j({**OK, "source_lines": [True]}), "finding 0 source_lines entries"),
-    ("lm", j({**OK, "source_lines": [1.0]}), "finding 0 source_lines entries"), ("lm", j({**OK, "source_lines": "1"}), "finding 0 source_lines must be a list"),
-    ("lm", j({**OK, "source_lines": None}), "finding 0 source_lines must be a list"), ("lm", j({**OK, "source_lines": list(range(1, 40))}), "finding 0 source_lines exceeds"),
-    ("lm", j({**OK, "pid": "7"}), "finding 0 pid"), ("lm", j({**OK, "pid": -1}), "finding 0 pid"), ("lm", j({**OK, "pid": True}), "finding 0 pid"),
-    ("lm", j({**OK, "method": 3}), "finding 0 method must be"), ("lm", j({**OK, "method": "x" * 2001}), "finding 0 method exceeds"),
-    ("lm", j({**OK, "timestamp": 1761248180.689}), "finding 0 timestamp must be"), ("lm", j({**OK, "timestamp": "yesterday"}), "finding 0 timestamp is not"),
-    ("lm", j({**OK, "external_host": " "}), "finding 0 external_host is empty"), ("lm", j({**OK, "external_host": "a, b"}), "finding 0 external_host must name"),
-    ("lm", j({**OK, "external_host": "a or b"}), "finding 0 external_host must name"), ("lm", j({**OK, "external_host": "-a"}), "finding 0 external_host must be a single"),
-    ("lm", j({**OK, "external_host": None}), "finding 0 external_host must be a string"), ("persistence", j({**TECH, "technique": "a;b"}), "finding 0 technique must name"),
-]
-
+HI, MID, LO = "HIGH_SUSPICIOUS", "MEDIUM_SUSPICIOUS", "LOW_SUSPICIOUS"
+N_LINES = 8
 
-@pytest.fixture(scope="module")
-def checked(spark):
-    rows = [(f"u{i:03d}", 0, task, 5, payload) for i, (task, payload, _) in enumerate(PAYLOADS)]
-    df = spark.createDataFrame(rows, "unit_id string, attempt_id int, task string, n_lines long, payload string")
-    return V.validate_payloads(df)
+# --- validation ------------------------------------------------------------------------------------------------------
 
-
-def test_first_error(checked):
-    got = {r.unit_id: r.first_error for r in checked.collect()}
-    for i, (_, payload, error) in enumerate(PAYLOADS):
-        found = got[f"u{i:03d}"]
-        assert (found is None) if error is None else (found or "").startswith(error), (payload and payload[:80], error, found)
+WHOLE = {  # a sound item of each task
+    "lm": {"verdict": HI, "timestamp": "2023-03-05 05:00:01", "external_host": "nas-7.example", "source_lines": [8, 2]},
+    "persistence": {"verdict": LO, "timestamp": "3/5/2023 4:17:20 AM", "technique": "Browser or Editor Extensions", "source_lines": [4]},
+    "exfiltration": {"verdict": MID, "timestamp": "1678011425.25", "file_path": "D:\\out\\ledger.zip", "source_lines": [7]},
+    "classification": {"verdict": HI, "source_lines": []},
+}
+TOO_LONG = "e" * 2001
+REFUSED = {  # field of an item -> bad values -> how the first error begins
+    "verdict": ([None, 3, "SUSPICIOUS", "High_Suspicious", ""], "verdict"),
+    "pid": (["12", -5, 2.5, False, []], "pid"),
+    "method": ([7, ["scp"], {}], "method must be"),
+    "evidence_against": ([TOO_LONG], "evidence_against exceeds"),
+    "timestamp": (["", "at dawn", "2023-3-5", "5 March 2023"], "timestamp is not"),
+    "external_host": (["nas-7.example, nas-8.example", "nas-7 or nas-8"], "external_host must name"),
+    "colour": (["red", None], "finding has unknown"),
+}
+BAD_LINES = [
+    ("4", "must be a list"), (None, "must be a list"), ({}, "must be a list"), ([], "must reference"), ([N_LINES + 1], "outside"), ([0, 1], "outside"), ([-2], "outside"),
+    ([5, 6, 5], "contains dup"), ([1.5], "entries"), ([False], "entries"), ([[3]], "entries"), (["3"], "entries"), ([1] * 40, "exceeds"),
+]
+TEXTS = [  # task, text, how the first error begins (None: sound)
+    ("lm", "[]", None), ("persistence", " [ ] ", None), ("lm", "", "output is empty"), ("lm", None, "output missing"), ("lm", "ledger", "invalid JSON"),
+    ("lm", '{"findings": []}', "top-level"), ("lm", "null", "top-level"), ("lm", "[] []", "invalid JSON"), ("lm", "[],", "invalid JSON"), ("lm", "[-Infinity]", "invalid JSON"),
+    ("lm", '[{"pid":1,"verdict":"x","pid":1}]', "invalid JSON"), ("lm", '["text"]', "finding 0 finding is not an object"), ("lm", "[null]", "finding 0 finding is not an object"),
+    ("lm", "[" + " " * (1 << 18) + "]", "output exceeds"), ("classification", "[]", "classification requires"),
+]
+
+
+def payload_cases():
+    """(task, payload, error) of every case above."""
+    for task, item in WHOLE.items():
+        yield task, json.dumps([item]), None
+        yield task, json.dumps([dict(sorted(item.items()))]), None
+        for field in item:
+            if field != "verdict" or task != "classification":
+                yield task, json.dumps([{k: v for k, v in item.items() if k != field}]), "finding 0 finding misses"
+    item = WHOLE["lm"]
+    yield "lm", json.dumps([item] * 32), None
+    yield "lm", json.dumps([item] * 33), "more than 32"
+    yield "classification", json.dumps([WHOLE["classification"]] * 2), "classification requires"
+    yield "lm", json.dumps([{**item, "pid": None, "username": None, "method": TOO_LONG[:-1]}, {**item, "pid": 0}]), None
+    for field, (values, error) in REFUSED.items():
+        for value in values:
+            yield "lm", json.dumps([item, item, {**item, field: value}]), f"finding 2 {error}"
+    for value, error in BAD_LINES:
+        yield "lm", json.dumps([{**item, "source_lines": value}]), f"finding 0 source|{error}"
+    for kind, value, error in [("timestamp", 1678011425.25, "must be"), ("external_host", "\t", "is empty"), ("external_host", None, "must be a string"), ("external_host", "_nas", "must be a single")]:
+        yield "lm", json.dumps([{**item, kind: value}]), f"finding 0 {kind} {error}"
+    yield "persistence", json.dumps([{**WHOLE["persistence"], "technique": "Browser; Editor"}]), "finding 0 technique must name"
+    yield from TEXTS
+
+
+def test_first_errors(spark):
+    cases = list(payload_cases())
+    df = spark.createDataFrame([(f"{i:03}", 0, t, N_LINES, p) for i, (t, p, _) in enumerate(cases)], "unit_id string, attempt_id int, task string, n_lines long, payload string")
+    checked = V.validate_payloads(df)
+    for r in checked.collect():
+        task, payload, error = cases[int(r.unit_id)]
+        start, _, part = (error or "").partition("|")
+        sound = r.first_error is None if error is None else (r.first_error or "").startswith(start) and part in r.first_error
+        assert sound and r.schema_valid == (error is None), (task, payload and payload[:90], error, r.first_error)
+    items = [r for r in V.explode_findings(checked).collect() if r.unit_id == "000"]
+    assert [(r.verdict, r.timestamp, r.entity, r.source_lines) for r in items] == [(HI, "2023-03-05 05:00:01", "nas-7.example", [8, 2])]
 
 
 def test_invalid_utf8(spark):
-    df = spark.createDataFrame([("u", 0, "lm", 5)], "unit_id string, attempt_id int, task string, n_lines long")
-    df = df.withColumn("payload", F.expr("cast(x'5BFF5D' as string)"))
-    assert V.validate_payloads(df).first().first_error == "output is not UTF-8"
-
-
-def test_findings(checked):
-    rows = V.explode_findings(checked).filter("unit_id = 'u006'").collect()
-    assert [(r.verdict, r.timestamp, r.entity, r.source_lines) for r in rows] == [("HIGH_SUSPICIOUS", "1761248180.689", "203.0.113.77", [5, 1, 2])]
-
-
-LOG = [
-    "(1761248008.742) [a] sshd", "(1761248180.685) [c] ssh rosa@203.0.113.77", "(1761248180.689) [d] connect 203.0.113.77 22",
-    "(1761248185.61) [f] sshd", "(1761248190.000) [h] connect 10.0.0.9 80",
+    df = spark.createDataFrame([("u", 0, "lm", N_LINES)], "unit_id string, attempt_id int, task string, n_lines long")
+    assert V.validate_payloads(df.withColumn("payload", F.expr("cast(x'5B22C3225D' as string)"))).first().first_error == "output is not UTF-8"
+
+
+# --- matching --------------------------------------------------------------------------------------------------------
+
+LEDGER = [
+    r"(3/5/2023 4:16:58 AM) open C:\vault\ledger.db", r"(3/5/2023 4:17:20 AM) read C:\\vault\\ledger.db", r"(3/5/2023 4:17:41 AM) write D:\out\LEDGER.zip",
+    "(3/5/2023 4:19:00 AM) idle", r"(3/5/2023 4:31:05 AM) read C:\vault\keys.txt", "noise without a time", r"(3/5/2023 4:31:59 AM) send D:\out\ledger.zip",
+    r"(3/5/2023 4:32:00 AM) close C:\vault\ledger.db",
+]
+READ, PACKED, KEYS = r"C:\vault\ledger.db", r"D:\out\ledger.zip", r"C:\vault\keys.txt"
+TARGETS = [  # id, status, stamps to the minute, aliases
+    ("read", "supported_positive", ["2023-03-05 04:16", "2023-03-05 04:17"], [r"C:\Vault\Ledger.DB"]),
+    ("sent", "supported_positive", ["2023-03-05 04:31"], [PACKED, KEYS]),
+    ("shut", "ambiguous", ["2023-03-05 04:32"], [READ]),
 ]
-HI = "HIGH_SUSPICIOUS"
-HIT = (HI, "1761248180.689", "203.0.113.77", [3])
-CASES = {  # label -> findings -> outcomes, strict, dense
-    "exact": ("positive", [HIT], ["tp"], 1.0, 1.0),
-    "same_second": ("positive", [(HI, "1761248180.685", "203.0.113.77", [2])], ["tp"], 1.0, 1.0),
-    "second_line_grounds": ("positive", [(HI, "1761248180.689", "203.0.113.77", [1, 3])], ["tp"], 1.0, 1.0),
-    "wrong_time": ("positive", [(HI, "1761248185.61", "203.0.113.77", [4])], ["ungrounded"], 0.0, 0.0),
-    "wrong_host": ("positive", [(HI, "1761248190.000", "10.0.0.8", [5])], ["ungrounded"], 0.0, 0.0),
-    "ungrounded": ("positive", [(HI, "1761248180.689", "203.0.113.77", [1])], ["ungrounded"], 0.0, 0.0),
-    "redundant": ("positive", [HIT, HIT], ["tp", "redundant"], 1.0, 1.0),
-    "extra_fp": ("positive", [HIT, (HI, "1761248008.742", "sshd", [1])], ["tp", "fp"], 0.0, 0.5),
-    "ambiguous": ("positive", [HIT, (HI, "1761248190.000", "10.0.0.9", [5])], ["tp", "neutral"], 1.0, 1.0),
-    "medium": ("positive", [("MEDIUM_SUSPICIOUS", *HIT[1:])], ["low_confidence"], 0.0, 0.0),
-    "medium_negative": ("benign", [("MEDIUM_SUSPICIOUS", *HIT[1:])], ["low_confidence"], 1.0, 1.0),
-    "high_negative": ("benign", [(HI, "1761248008.742", "sshd", [1])], ["fp"], 0.0, 0.0),
-    "empty_positive": ("positive", [], [], 0.0, 0.0),
-    "empty_negative": ("benign", [], [], 1.0, 1.0),
-    "alias_case": ("positive", [(HI, "1761248180.685", "ROSA@203.0.113.77", [2])], ["tp"], 1.0, 1.0),
+at = lambda minute, path, lines, verdict=HI: (verdict, f"2023-03-05 04:{minute}", path, lines)
+READ_IT, SENT_IT = at(17, READ, [2]), (HI, "3/5/2023 4:31:10 AM", r"d:\OUT\ledger.zip", [7])
+NIGHT = {  # case: label, os, findings, outcomes, strict and dense score; an attack has two supported targets
+    "both targets, other case and time format": ("positive", "windows", [READ_IT, SENT_IT], ["tp", "tp"], 1.0, 1.0),
+    "one of two": ("positive", "windows", [READ_IT], ["tp"], 0.0, 0.5),
+    "two times of one target": ("positive", "windows", [at(16, READ, [1]), READ_IT], ["tp", "redundant"], 0.0, 0.5),
+    "the other alias": ("positive", "windows", [at(31, KEYS, [5]), READ_IT], ["tp", "tp"], 1.0, 1.0),
+    "a line of another minute": ("positive", "windows", [at(17, READ, [8]), SENT_IT], ["ungrounded", "tp"], 0.0, 0.25),
+    "a line without a time": ("positive", "windows", [at(17, READ, [6])], ["ungrounded"], 0.0, 0.0),
+    "a line with another path": ("positive", "windows", [at(17, READ, [3])], ["ungrounded"], 0.0, 0.0),
+    "one line of three is enough": ("positive", "windows", [at(17, READ, [4, 6, 2]), SENT_IT], ["tp", "tp"], 1.0, 1.0),
+    "shown, but no target": ("positive", "windows", [READ_IT, at(17, PACKED, [3]), SENT_IT], ["tp", "fp", "tp"], 0.0, 0.5),
+    "ambiguous between two": ("positive", "windows", [READ_IT, at(32, READ, [8]), SENT_IT], ["tp", "neutral", "tp"], 1.0, 1.0),
+    "low and medium": ("positive", "windows", [at(17, READ, [2], MID), at(31, KEYS, [5], LO)], ["low_confidence"] * 2, 0.0, 0.0),
+    "silent attack": ("positive", "windows", [], [], 0.0, 0.0),
+    "silent night": ("benign", "windows", [], [], 1.0, 1.0),
+    "medium at night": ("benign", "windows", [at(31, KEYS, [5], MID)], ["low_confidence"], 1.0, 1.0),
+    "alarm at night": ("benign", "windows", [at(31, KEYS, [5])], ["fp"], 0.0, 0.0),
+    "case counts on linux": ("positive", "linux", [at(31, KEYS, [5]), at(17, READ.lower(), [2])], ["tp", "ungrounded"], 0.0, 0.25),
 }
+UNITS = "unit_id string, rel_path string, start_line long, representation string, task string, dataset string, os string, label string, n_lines long"
+TRUTH = "unit_id string, target_id string, target_order string, status string, stamp string, aliases array<string>"
+
+
+def graded(spark, units, payloads, targets, log):
+    u, t = spark.createDataFrame(units, UNITS), spark.createDataFrame(targets, TRUTH)
+    lines = spark.createDataFrame([(r[1], i, line) for r in units for i, line in enumerate(log, 1)], "rel_path string, line_no long, line string")
+    p = spark.createDataFrame(payloads, "unit_id string, attempt_id int, task string, n_lines long, payload string")
+    outcomes = {}
+    for r in M.assign_findings(V.explode_findings(V.validate_payloads(p)), u, t, lines).orderBy("finding_index").collect():
+        outcomes.setdefault(r.unit_id, []).append(r.outcome)
+    return outcomes, {r.unit_id: (r.strict_success, r.dense_reward) for r in M.grade(p, u, t, lines).collect()}
 
 
 def test_matching_and_rewards(zoned):
-    spark = zoned
-    units, payloads, targets, lines = [], [], [], []
-    for name, (label, findings, _, _, _) in CASES.items():
-        units.append((name, f"log/{name}", 1, "edge", "lm", "lab", "linux", label, 5))
-        items = [{"verdict": v, "timestamp": t, "external_host": e, "source_lines": s} for v, t, e, s in findings]
-        payloads.append((name, 0, "lm", 5, json.dumps([{**i, "external_host": i["external_host"].replace("ROSA@", "")} if name != "alias_case" else i for i in items])))
+    units, payloads, targets = [], [], []
+    for name, (label, os, findings, *_) in NIGHT.items():
+        units.append((name, f"night/{name}", 1, "edge", "exfiltration", "lab", os, label, len(LEDGER)))
+        items = [{"verdict": v, "timestamp": t, "file_path": e, "source_lines": s} for v, t, e, s in findings]
+        payloads.append((name, 0, "exfiltration", len(LEDGER), json.dumps(items)))
         if label == "positive":
-            targets.append((name, "t0", "0t0", "supported_positive", "2025-10-23 14:36:20", ["203.0.113.77", "Alice@203.0.113.77"]))
-            targets.append((name, "t1", "1t1", "ambiguous", "2025-10-23 14:36:30", ["10.0.0.9"]))
-        lines += [(f"log/{name}", i + 1, line) for i, line in enumerate(LOG)]
-    u = spark.createDataFrame(units, "unit_id string, rel_path string, start_line long, representation string, task string, dataset string, os string, label string, n_lines long")
-    t = spark.createDataFrame(targets, "unit_id string, target_id string, target_order string, status string, stamp string, aliases array<string>")
-    ln = spark.createDataFrame(lines, "rel_path string, line_no long, line string")
-    p = spark.createDataFrame(payloads, "unit_id string, attempt_id int, task string, n_lines long, payload string")
-    p = p.withColumn("payload", F.when(F.col("unit_id") == "alias_case", F.replace("payload", F.lit("ROSA@"), F.lit(""))).otherwise(F.col("payload")))
-    findings = V.explode_findings(V.validate_payloads(p))
-    got = {}
-    for r in M.assign_findings(findings, u, t, ln).orderBy("finding_index").collect():
-        got.setdefault(r.unit_id, []).append(r.outcome)
-    graded = {r.unit_id: r for r in M.grade(p, u, t, ln).collect()}
-    for name, (_, _, outcomes, strict, dense) in CASES.items():
-        assert got.get(name, []) == outcomes, name
-        assert (graded[name].strict_success, graded[name].dense_reward) == (strict, dense), name
+            targets += [(name, i, f"{k}{i}", status, stamp, aliases) for k, (i, status, stamps, aliases) in enumerate(TARGETS) for stamp in stamps]
+    outcomes, scores = graded(zoned, units, payloads, targets, LEDGER)
+    for name, (*_, expected, strict, dense) in NIGHT.items():
+        assert outcomes.get(name, []) == expected and scores[name] == (strict, dense), name
+
+
+@pytest.mark.parametrize("named,outcome", [("Nas-7.EXAMPLE", "tp"), ("nas-7.example.", "tp"), ("10.4.4.4", "ungrounded"), ("nas-7.exam", "fp")])
+def test_host_aliases_in_any_case(spark, named, outcome):
+    """The alias ``NAS-7.Example.`` is the host of the line whatever its case and final dot; an alias that the line lacks is not shown."""
+    log = ["(2023-03-05 04:59:59) login", "(2023-03-05 05:00:01) ssh to nas-7.Example port 22"]
+    unit = ("u", "ssh", 1, "edge", "lm", "lab", "linux", "positive", 2)
+    payload = json.dumps([{"verdict": HI, "timestamp": "2023-03-05 05:00:01", "external_host": named, "source_lines": [2]}])
+    target = ("u", "t", "0t", "supported_positive", "2023-03-05 05:00:01", ["NAS-7.Example.", "10.4.4.4"])
+    assert graded(spark, [unit], [("u", 0, "lm", 2, payload)], [target], log)[0] == {"u": [outcome]}
+
 
+# --- compatibility scores --------------------------------------------------------------------------------------------
 
 SCOPE = "dataset string, task string, scenario string"
 
@@ -131,34 +170,36 @@ def compat(spark, scenario, annotations, chunks, more_defensive=False):
     return C.compat_counts(sc, ch, f, truth, more_defensive)
 
 
-def test_unique_hosts(spark):
-    anns = [(["2019-09-24 11:09:21"], ["202.6.172.98"]), (["2019-09-24 11:09:25"], ["142.20.61.130"]), (["2019-09-24 11:09:27"], ["142.20.61.130"])]
-    found = [(HI, "2019-09-24 11:09:25", "142.20.61.130"), (HI, "2019-09-24 11:09:27", "142.20.61.130"), (HI, "2019-09-24 11:09:21", "9.9.9.9")]
-    r = compat(spark, ("optc", "lm", "s5", "attack", 952, "second"), anns, {"c0": found}).first()
-    assert (r.tp, r.fn, r.fp, r.tn) == (1, 1, 1, 951)
-
-
-def test_substring_and_levels(spark):
-    sc = ("lab", "persistence", "p2", "attack", 188, "minute")
-    anns = [(["2024-11-16 02:13", "2024-11-16 02:15"], ["Create Account", "Modify Authentication Process"])]
-    r = compat(spark, sc, anns, {"c0": [(HI, "1731744780.5", "T1136 create account via useradd")], "c1": []}).first()
-    assert (r.tp, r.fn, r.fp, r.chunks) == (1, 0, 0, 2)
-    medium = {"c0": [("MEDIUM_SUSPICIOUS", "1731744780.5", "Create Account")]}
-    r = compat(spark, sc, anns, medium).first()
-    assert (r.tp, r.fn) == (0, 1)
-    assert compat(spark, sc, anns, medium, more_defensive=True).first().tp == 1
-
-
-def test_benign_classification_and_rates(spark):
-    r = compat(spark, ("lab", "lm", "benign-2", "benign", 1857, "second"), [], {"c0": [(HI, "1733939640.0", "1.2.3.4")], "c1": None}).first()
-    assert (r.fp, r.tn, r.tp) == (1, 1856, 0)
-    quiet = compat(spark, ("lab", "classification", "b", "benign", 1857, "second"), [], {"whole": [(HI, None, None)]})
-    r = quiet.first()
-    assert (r.fp, r.chunks, r.accuracy) == (1, 1, 0.0)
-    loud = compat(spark, ("lab", "classification", "a", "attack", 68, "second"), [], {"whole": [(HI, None, None)]})
-    rates = C.compat_rates(quiet.unionByName(loud)).first()
-    assert (rates.tpr, rates.fpr) == (1.0, 1.0)
-    assert C.compat_rates(quiet).first().tpr is None
+def test_hosts_count_once_on_optc(spark):
+    """Four annotations of three hosts; two are found, one of them twice, and one finding is of no annotated host."""
+    day = lambda k: f"2023-03-05 06:00:{k:02}"
+    truth = [([day(1)], ["10.1.0.1"]), ([day(2)], ["10.1.0.1"]), ([day(3)], ["10.1.0.2"]), ([day(4)], ["10.1.0.3"])]
+    found = [(HI, day(1), "10.1.0.1"), (HI, day(2), "10.1.0.1"), (HI, day(4), "10.1.0.3"), (HI, day(3), "10.9.9.9")]
+    r = compat(spark, ("optc", "lm", "night-1", "attack", 40, "second"), truth, {"c0": found[:1], "c1": found[1:]}).first()
+    assert (r.tp, r.fn, r.fp, r.tn, r.chunks) == (2, 1, 1, 39, 2)
+
+
+def test_names_inside_longer_names(spark):
+    scope = ("lab", "persistence", "night-2", "attack", 55, "minute")
+    truth = [(["2023-03-05 03:00", "2023-03-05 03:30", "2023-03-05 04:17"], ["Scheduled Task/Job"])]
+    hit = (HI, "3/5/2023 4:17:50 AM", "T1053: SCHEDULED TASK/JOB by cron")
+    r = compat(spark, scope, truth, {"a": [hit], "b": [], "c": None}).first()
+    assert (r.tp, r.fn, r.fp, r.chunks) == (1, 0, 0, 3)
+    other = compat(spark, scope, truth, {"a": [(HI, "3/5/2023 4:18:00 AM", "Scheduled Task/Job")]}).first()
+    assert (other.tp, other.fn, other.fp) == (0, 1, 1)
+    unsure = {"a": [(MID, *hit[1:])]}
+    assert [compat(spark, scope, truth, unsure, d).first().tp for d in (False, True)] == [0, 1]
+
+
+def test_benign_files_and_rates(spark):
+    false = [(HI, "2023-03-05 01:00:00", "10.1.1.1"), (HI, "2023-03-05 02:00:00", "10.1.1.2")]
+    r = compat(spark, ("lab", "lm", "benign-night", "benign", 77, "second"), [], {"a": false, "b": None}).first()
+    assert (r.fp, r.tn, r.tp, r.fn) == (2, 75, 0, 0)
+    one = lambda name, label: compat(spark, ("lab", "classification", name, label, 9, "second"), [], {"file": [(HI, None, None)]})
+    calm, raided = one("calm", "benign"), one("raided", "attack")
+    assert (calm.first().accuracy, raided.first().accuracy) == (0.0, 1.0)
+    rates = C.compat_rates(calm.unionByName(raided)).first()
+    assert (rates.tpr, rates.fpr) == (1.0, 1.0) and C.compat_rates(calm).first().tpr is None
 
 
 def test_tuples_and_comparison(spark):
