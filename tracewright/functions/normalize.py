@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..lookups import SUSPICIOUS_HOSTS
+
 from .timestamps import ws_trim
 
 
@@ -52,9 +54,9 @@ def suspicious_host(alias: Column) -> Column:
     multicast = (is_v4 & first.between(224, 239)) | alias.rlike(r"^[fF]{2}[0-9a-fA-F]{2}" + _IPV6_TAIL)
     link_local = (is_v4 & alias.startswith("169.254.")) | alias.rlike(r"^[fF][eE][89abAB][0-9a-fA-F]" + _IPV6_TAIL)
     return (
-        F.when(multicast, "multicast destination annotated as lateral-movement host")
-        .when(link_local, "link-local destination annotated as lateral-movement host")
-        .when(is_v4 & alias.endswith(".255"), "broadcast destination annotated as lateral-movement host")
+        F.when(multicast, SUSPICIOUS_HOSTS["multicast"])
+        .when(link_local, SUSPICIOUS_HOSTS["link_local"])
+        .when(is_v4 & alias.endswith(".255"), SUSPICIOUS_HOSTS["broadcast"])
     )
 
 

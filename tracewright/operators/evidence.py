@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as E
 from ..functions import timestamps as T
-from ..lookups import ENTITY_KIND, PERSISTENCE_TECHNIQUES, PRECISION, TECHNIQUE_INDICATORS
+from ..lookups import TARGET_REASONS, ENTITY_KIND, PERSISTENCE_TECHNIQUES, PRECISION, TECHNIQUE_INDICATORS
 from .scale import chunked_row_number, row_chunk
 
 SCOPE = ["dataset", "task", "scenario"]
@@ -132,19 +132,20 @@ def target_status(targets: DataFrame, files: DataFrame, evidence: DataFrame) ->
     rows = rows.withColumn("_why", F.when(F.col("entity_kind") == "host", E.suspicious_host(first)))
     supported = F.coalesce(F.col("n_evidence"), F.lit(0)) > 0
     unknown = (F.col("entity_kind") == "technique") & first.isNotNull() & ~first.isin(*PERSISTENCE_TECHNIQUES)
+    named = TARGET_REASONS["unknown_technique"]
     cases = [
-        (unknown, "ambiguous", F.concat(F.lit("technique '"), first, F.lit("' not in canonical list"))),
-        (F.size("aliases") == 0, "ambiguous", F.lit("annotation has no concrete entity (placeholder 'no value')")),
+        (unknown, "ambiguous", F.concat(F.lit(named[0]), first, F.lit(named[1]))),
+        (F.size("aliases") == 0, "ambiguous", F.lit(TARGET_REASONS["no_entity"])),
         (F.col("_why").isNotNull(), "ambiguous", F.col("_why")),
-        (F.col("_f").isNull(), "unsupported", F.lit("no scenario file for this annotation in data/input")),
-        (supported, "supported_positive", F.lit("entity and timestamp found in log records")),
+        (F.col("_f").isNull(), "unsupported", F.lit(TARGET_REASONS["no_file"])),
+        (supported, "supported_positive", F.lit(TARGET_REASONS["found"])),
     ]
     status = reason = None
     for condition, value, why in cases:
         status = F.when(condition, value) if status is None else status.when(condition, value)
         reason = F.when(condition, why) if reason is None else reason.when(condition, why)
     return rows.withColumn("status", status.otherwise("unsupported")).withColumn(
-        "reason", reason.otherwise("no record matches annotated time and entity")
+        "reason", reason.otherwise(TARGET_REASONS["not_found"])
     ).withColumn(
         "scenario_key", F.coalesce("_f.scenario_key", F.concat_ws("/", "dataset", "scenario"))
     ).withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0))).drop("_f", "_why")

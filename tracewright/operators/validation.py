@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import classify_format, ws_trim
+from ..lookups import PAYLOAD_ERRORS as ERRORS
 from ..lookups import (
     FINDING_FIELD, HIGH, MAX_FINDINGS, MAX_PAYLOAD_BYTES, MAX_SOURCE_LINES, MAX_STRING, OPTIONAL_KEYS, REQUIRED_KEYS,
     VERDICTS,
@@ -36,22 +37,22 @@ def _string_rules(value: Column, name: str, optional: bool) -> list[tuple[str, C
     if optional:
         wrong = wrong & value.isNotNull() & ~_is(value, "VOID")
     return [
-        (f"{name} must be a string", wrong),
-        (f"{name} exceeds {MAX_STRING} characters", F.length(_text(value)) > MAX_STRING),
+        (ERRORS["string"].format(name), wrong),
+        (ERRORS["long_string"].format(name, MAX_STRING), F.length(_text(value)) > MAX_STRING),
     ]
 
 
 def _source_line_rules(value: Column, n_lines: Column, allow_empty: bool) -> list[tuple[str, Column]]:
     items = F.try_variant_get(value, "$", "array<variant>")
     whole = F.transform(items, lambda x: F.when(_is(x, "BIGINT"), F.try_variant_get(x, "$", "bigint")))
-    rules = [("source_lines must be a list of integers", items.isNull())]
+    rules = [(ERRORS["lines_list"], items.isNull())]
     if not allow_empty:
-        rules.append(("source_lines must reference at least one log line", F.size(items) == 0))
+        rules.append((ERRORS["no_lines"], F.size(items) == 0))
     return rules + [
-        (f"source_lines exceeds {MAX_SOURCE_LINES} entries", F.size(items) > MAX_SOURCE_LINES),
-        ("source_lines entries must be integers", F.exists(whole, lambda x: x.isNull())),
-        ("source line is outside the log", F.exists(whole, lambda x: (x < 1) | (x > n_lines))),
-        ("source_lines contains duplicates", F.size(F.array_distinct(whole)) < F.size(whole)),
+        (ERRORS["many_lines"].format(MAX_SOURCE_LINES), F.size(items) > MAX_SOURCE_LINES),
+        (ERRORS["line_integers"], F.exists(whole, lambda x: x.isNull())),
+        (ERRORS["line_outside"], F.exists(whole, lambda x: (x < 1) | (x > n_lines))),
+        (ERRORS["line_twice"], F.size(F.array_distinct(whole)) < F.size(whole)),
     ]
 
 
@@ -61,10 +62,10 @@ def _item_rules(task: str, item: Column, n_lines: Column) -> list[tuple[str, Col
     keys = F.map_keys(item)
     known = F.array(*[F.lit(k) for k in required + optional])
     rules = [
-        ("finding is not an object", item.isNull()),
-        ("finding misses required keys", F.size(F.array_except(F.array(*[F.lit(k) for k in required]), keys)) > 0),
-        ("finding has unknown keys", F.size(F.array_except(keys, known)) > 0),
-        ("verdict is not known", ~F.coalesce(_text(item["verdict"]).isin(*VERDICTS), F.lit(False))),
+        (ERRORS["object"], item.isNull()),
+        (ERRORS["keys_missing"], F.size(F.array_except(F.array(*[F.lit(k) for k in required]), keys)) > 0),
+        (ERRORS["keys_unknown"], F.size(F.array_except(keys, known)) > 0),
+        (ERRORS["verdict"], ~F.coalesce(_text(item["verdict"]).isin(*VERDICTS), F.lit(False))),
     ]
     rules += _source_line_rules(item["source_lines"], n_lines, task == "classification")
     for key in optional:
@@ -72,7 +73,7 @@ def _item_rules(task: str, item: Column, n_lines: Column) -> list[tuple[str, Col
             value = item["pid"]
             whole = _is(value, "BIGINT") & (F.try_variant_get(value, "$", "bigint") >= 0)
             rules.append((
-                "pid must be a non-negative integer or null",
+                ERRORS["pid"],
                 value.isNotNull() & ~_is(value, "VOID") & ~F.coalesce(whole, F.lit(False)),
             ))
         else:
@@ -82,14 +83,14 @@ def _item_rules(task: str, item: Column, n_lines: Column) -> list[tuple[str, Col
         entity = ws_trim(_text(item[field]))
         separators = TECHNIQUE_SEPARATORS if task == "persistence" else SEPARATORS
         rules += _string_rules(item["timestamp"], "timestamp", optional=False)
-        rules.append(("timestamp is not a recognised log timestamp format", classify_format(_text(item["timestamp"])).isNull()))
+        rules.append((ERRORS["timestamp"], classify_format(_text(item["timestamp"])).isNull()))
         rules += _string_rules(item[field], field, optional=False)
         rules += [
-            (f"{field} is empty", entity == ""),
-            (f"{field} must name exactly one candidate", entity.rlike(separators)),
+            (ERRORS["entity_empty"].format(field), entity == ""),
+            (ERRORS["entity_many"].format(field), entity.rlike(separators)),
         ]
         if task == "lm":
-            rules.append(("external_host must be a single IP address or hostname", ~entity.rlike(HOST)))
+            rules.append((ERRORS["host"], ~entity.rlike(HOST)))
     return rules
 
 
@@ -129,15 +130,15 @@ def validate_payloads(payloads: DataFrame) -> DataFrame:
     rows = parse_payloads(payloads)
     n_lines = F.col("n_lines")
     whole = _messages([
-        ("output missing or not a regular file", F.col("payload").isNull()),
-        ("output is empty", F.octet_length("payload") == 0),
-        (f"output exceeds {MAX_PAYLOAD_BYTES} bytes", F.octet_length("payload") > MAX_PAYLOAD_BYTES),
-        ("output is not UTF-8", ~F.is_valid_utf8("payload")),
-        ("invalid JSON", F.col("_json").isNull()),
-        ("top-level value must be a JSON array", F.col("items").isNull()),
-        (f"more than {MAX_FINDINGS} findings", F.size("items") > MAX_FINDINGS),
+        (ERRORS["missing"], F.col("payload").isNull()),
+        (ERRORS["empty"], F.octet_length("payload") == 0),
+        (ERRORS["long"].format(MAX_PAYLOAD_BYTES), F.octet_length("payload") > MAX_PAYLOAD_BYTES),
+        (ERRORS["utf8"], ~F.is_valid_utf8("payload")),
+        (ERRORS["json"], F.col("_json").isNull()),
+        (ERRORS["top_level"], F.col("items").isNull()),
+        (ERRORS["many_findings"].format(MAX_FINDINGS), F.size("items") > MAX_FINDINGS),
         (
-            "classification requires exactly one verdict object",
+            ERRORS["one_verdict"],
             (F.col("task") == "classification") & (F.size("items") != 1),
         ),
     ])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions import names as N
-from ..lookups import WINDOW_LINES
+from ..lookups import FINDING_FIELD, OPTIONAL_KEYS, QUARANTINE_REASON, REQUIRED_KEYS, WINDOW_LINES
 
 
 def window_size(representation: Column, sizes: dict[str, int]) -> Column:
@@ -67,7 +69,7 @@ def label_windows(windows: DataFrame, targets_in_window: DataFrame) -> DataFrame
         .otherwise("negative_attack_file")
     )
     rows = rows.withColumn("_label", label).withColumnRenamed("label", "file_label").withColumnRenamed("_label", "label")
-    reason = F.when(F.col("label") == "quarantined", "window contains only ambiguous-target evidence").otherwise("")
+    reason = F.when(F.col("label") == "quarantined", QUARANTINE_REASON).otherwise("")
     return rows.withColumn("quarantine_reason", reason)
 
 
@@ -166,10 +168,45 @@ def guard_sealed(df: DataFrame, allow_test: bool = False) -> DataFrame:
     return df if allow_test else df.filter("split <> 'test'")
 
 
-def render_text(units: DataFrame, templates: DataFrame) -> DataFrame:
-    """Fill ``{column}`` marks of a template per (task, representation, dataset, os) from unit columns."""
+# A mark of a template: a name in braces.
+MARK = r"\{([A-Za-z_][A-Za-z0-9_]*)\}"
+
+
+def parse_templates(templates: DataFrame) -> DataFrame:
+    """Add ``literals`` and ``names``: the texts around the marks of each ``template``, and the names in the marks, in order."""
+    names = F.regexp_extract_all("template", F.lit(MARK), F.lit(1))
+    return templates.withColumn("names", names).withColumn("literals", F.split("template", MARK, -1))
+
+
+def requested_fields(task: Column) -> dict[str, Column]:
+    """What a task asks for, as texts: its required fields, its optional ones, and the field that names the entity."""
+    named = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), task)
+    listed = lambda table: named({k: ", ".join(v) for k, v in table.items()})
+    return {"required_fields": listed(REQUIRED_KEYS), "optional_fields": listed(OPTIONAL_KEYS), "entity_field": named(FINDING_FIELD)}
+
+
+def render_text(units: DataFrame, templates: DataFrame, **more: Column) -> DataFrame:
+    """(unit_id, text, unknown_names): the template of each unit with its marks filled in.
+
+    ``templates``: task, representation, dataset, os, template; a null key stands for any value, and of several templates the one
+    with the most keys that are not null counts, then one chosen by hash. A mark may name any column of ``units``, a field of
+    ``requested_fields``, or one of ``more``; null values are empty. A name that is none of these stays as it stands, and is listed.
+    What a value holds is not filled in again. Templates are parsed once, before they meet the units.
+    """
     keys = ["task", "representation", "dataset", "os"]
-    text = F.col("template")
-    for name in ("task", "representation", "dataset", "os", "n_lines"):
-        text = F.replace(text, F.lit("{" + name + "}"), F.col(name).cast("string"))
-    return units.join(templates.select(*keys, "template"), keys).select("unit_id", text.alias("text"))
+    values = {c: F.col(c).cast("string") for c in units.columns if not isinstance(units.schema[c].dataType, (ArrayType, MapType, StructType))}
+    values |= requested_fields(F.col("task")) | more
+    known = F.map_from_arrays(F.array(*[F.lit(n) for n in values]), F.array(*[F.coalesce(v.cast("string"), F.lit("")) for v in values.values()]))
+    parsed = parse_templates(templates.select(*[F.col(k).alias(f"_{k}") for k in keys], "template"))
+    fits = [F.col(f"_{k}").isNull() | (F.col(f"_{k}") == F.col(k)) for k in keys]
+    met = units.select(*keys).distinct().join(parsed, reduce(Column.__and__, fits))  # closed enumerations meet templates written by hand
+    n_keys = sum((F.col(f"_{k}").isNotNull().cast("int") for k in keys), F.lit(0))
+    best = F.max_by(F.struct("literals", "names"), F.struct(n_keys.alias("n"), F.xxhash64("template").alias("h")))
+    chosen = met.groupBy(*keys).agg(best.alias("_t")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_t.*")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    rows = units.withColumn("_values", known).join(chosen, same)
+    as_written = lambda name: F.concat(F.lit("{"), name, F.lit("}"))
+    value = lambda name: F.when(name.isNull(), "").otherwise(F.coalesce(F.try_element_at("_values", name), as_written(name)))
+    filled = F.zip_with("literals", "names", lambda text, name: F.concat(text, value(name)))
+    unknown = F.array_distinct(F.array_except("names", F.map_keys("_values")))
+    return rows.select("unit_id", F.array_join(filled, "").alias("text"), unknown.alias("unknown_names"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from ..lookups import EXCLUDE_TERMS, FORBIDDEN_PATTERNS, REVIEW_TERMS, TASKS, TECHNIQUE_INDICATORS
+from ..lookups import EXCLUDE_TERMS, FINDING_FIELD, FORBIDDEN_PATTERNS, OPTIONAL_KEYS, REQUIRED_KEYS, REVIEW_TERMS, TASKS, TECHNIQUE_INDICATORS
 from ..operators.uncertainty import POISSON_STEPS, SPREAD, WEIGHT_STEPS
 from ..plans.bindings import TREE_BLOCK
 from ..plans.catalog import LADDER, N_BOOTSTRAP, N_CANDIDATES, N_DRAWS, SPLIT_SEED
@@ -135,6 +135,16 @@ _add(
     select="""SELECT unit_id, rel_path, window_index, label, n_supported, n_ambiguous,
       CASE label WHEN 'quarantined' THEN 'window contains only ambiguous-target evidence' ELSE '' END AS quarantine_reason FROM units""",
 )
+_listed = lambda table: "CASE task " + " ".join(f"WHEN '{k}' THEN '{', '.join(v)}'" for k, v in table.items()) + " END"
+_field = "CASE task " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FINDING_FIELD.items()) + " ELSE '' END"
+_add(
+    "unit_texts", *_UNITS,
+    select=f"""SELECT unit_id, CASE WHEN task = 'classification' THEN 'Judge the ' || n_lines || ' lines of ' || scenario || ' (' || os || '). Give ' || req || '.'
+        WHEN task = 'lm' AND representation = 'raw' THEN 'Raw records of ' || dataset || ', window ' || window_index || ' of ' || n_windows || ': {{' || task || '}} asks for ' || field || '.'
+        ELSE task || ': lines ' || start_line || ' to ' || end_line || ' of ' || rel_path || '. Name ' || field || '; give ' || req || ', or ' || opt || '. {{hint}}' END AS text,
+      CASE WHEN task = 'classification' OR (task = 'lm' AND representation = 'raw') THEN '' ELSE 'hint' END AS unknown_names
+      FROM (SELECT *, {_listed(REQUIRED_KEYS)} AS req, {_listed(OPTIONAL_KEYS)} AS opt, {_field} AS field FROM units)""",
+)
 _add("unit_summary", *_UNITS, select="SELECT split, task, label, count(*) AS n_units, count(DISTINCT group_id) AS n_groups FROM units GROUP BY ALL")
 _add("sealed_units", *_UNITS, select="SELECT split, count(*) AS n_units FROM units WHERE split <> 'test' GROUP BY 1")
 _add(

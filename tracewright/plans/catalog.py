@@ -348,6 +348,21 @@ def window_labels(spark, sf):
     )
 
 
+UNIT_TEXTS = [  # task, representation, dataset, os, template
+    ("classification", None, None, None, "Judge the {n_lines} lines of {scenario} ({os}). Give {required_fields}."),
+    (None, None, None, None, "{task}: lines {start_line} to {end_line} of {rel_path}. Name {entity_field}; give {required_fields}, or {optional_fields}. {hint}"),
+    ("lm", "raw", None, None, "Raw records of {dataset}, window {window_index} of {n_windows}: {{task}} asks for {entity_field}."),
+]
+
+
+@query
+def unit_texts(spark, sf):
+    """The task text of every unit, and the marks that nothing fills."""
+    templates = spark.createDataFrame(UNIT_TEXTS, "task string, representation string, dataset string, os string, template string")
+    out = W.render_text(LogChain(spark, sf).units, templates)
+    return out.select("unit_id", "text", _joined("unknown_names").alias("unknown_names"))
+
+
 @query
 def unit_summary(spark, sf):
     return W.unit_summary(LogChain(spark, sf).units)
