@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import components as G
 from tracewright.operators import edges as ED
+from tracewright.operators import evidence as E
 from tracewright.operators import inventory as I
 from tracewright.operators import scale
 
@@ -214,3 +215,29 @@ def test_points_in_intervals(spark, unit):
         spark.createDataFrame(points, "p long, k string, t long"), spark.createDataFrame(spans, "i long, k string, s long, e long"), "t", "s", "e", ["k"], unit
     ).collect()
     assert sorted((r.p, r.i) for r in got) == sorted((p, i) for p, k, t in points for i, m, s, e in spans if t is not None and k == m and s <= t <= e)
+
+
+def test_target_details(spark):
+    """Merged hosts keep the union of user names; other targets keep all keys of their record; values come once."""
+    rows = [
+        ("optc", "lm", "s", 0, ["t1", "t2"], ["h1", "h9"], {"username": ["b", "a"], "method": ["ssh"]}),
+        ("optc", "lm", "s", 1, ["t2"], ["h1"], {"username": ["c", None, "a"]}), ("optc", "lm", "s", 2, ["t3"], ["h2"], None),
+        ("lab", "persistence", "p", 0, ["t4"], ["Create Account", "Valid Accounts"], {"method": ["x", "x"], "note": []}),
+        ("lab", "lm", "q", 0, ["2024-01-01 00:00", "2024-01-01 00:00:00"], ["h3"], {"username": ["u"], "note": ["n"]}),
+    ]
+    schema = "dataset string, task string, scenario string, record_index long, timestamps array<string>, entities array<string>, extra map<string, array<string>>"
+    annotations = spark.createDataFrame(rows, schema)
+    details = E.target_details(annotations)
+    got = {}
+    for r in details.collect():
+        got.setdefault(r.target_id, []).append((r.key, r.value))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "optc:lm:s:0": [("timestamps", "t1"), ("timestamps", "t2"), ("usernames", "a"), ("usernames", "b"), ("usernames", "c")],
+        "optc:lm:s:1": [("timestamps", "t3")],
+        "lab:persistence:p:0": [("method", "x"), ("timestamps", "t4")], "lab:persistence:p:1": [("method", "x"), ("timestamps", "t4")],
+        "lab:lm:q:0": [("note", "n"), ("timestamps", "2024-01-01 00:00"), ("timestamps", "2024-01-01 00:00:00"), ("username", "u")],
+    }
+    records = {r.target_id: (r.timestamps, r.extra) for r in E.target_records(E.build_targets(annotations)[0], details).collect()}
+    assert records["optc:lm:s:0"] == (["t1", "t2"], {"usernames": ["a", "b", "c"]}) and records["optc:lm:s:1"] == (["t3"], {})
+    assert records["lab:lm:q:0"][1] == {"note": ["n"], "username": ["u"]}
+    assert E.target_details(annotations.limit(0)).count() == 0

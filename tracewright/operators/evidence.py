@@ -56,17 +56,14 @@ def annotation_units(annotations: DataFrame) -> DataFrame:
         .when(F.col("task") == "persistence", per_technique)
         .otherwise(F.array(one(own, zero, F.col("entities"))))
     )
+    extra = [c for c in ("extra",) if c in annotations.columns]
     return annotations.withColumn("_u", F.explode(units)).select(
-        *SCOPE, "record_index", "timestamps", "_u.unit_key", "_u.pos", "_u.names"
+        *SCOPE, "record_index", "timestamps", "_u.unit_key", "_u.pos", "_u.names", *extra
     )
 
 
-def build_targets(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Targets and their stamps: (target_id, ..., aliases) and, in long form, (target_id, stamp).
-
-    Stamps are exploded and deduplicated instead of collected: a merged host may have any number.
-    """
-    rows = annotation_units(annotations)
+def _numbered_targets(rows: DataFrame) -> DataFrame:
+    """The targets of annotation units, numbered inside their scenario, with their ``unit_key``."""
     key = [*SCOPE, "unit_key"]
     targets = rows.groupBy(*key).agg(
         F.min("record_index").alias("record_index"), F.min("pos").alias("pos"), F.min("names").alias("names"),
@@ -76,11 +73,21 @@ def build_targets(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
         targets, SCOPE, ["record_index", "pos", "unit_key"], row_chunk(F.col("record_index")), "_n"
     )
     number = (F.col("_n") - 1).cast("string")
-    targets = targets.select(
+    return targets.select(
         F.concat_ws(":", *SCOPE, number).alias("target_id"), *key,
         entity_kind(F.col("task")).alias("entity_kind"), E.clean_aliases(F.col("names")).alias("aliases"),
         task_precision(F.col("dataset"), F.col("task")).alias("precision"), "record_index", "merged_records",
     )
+
+
+def build_targets(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Targets and their stamps: (target_id, ..., aliases) and, in long form, (target_id, stamp).
+
+    Stamps are exploded and deduplicated instead of collected: a merged host may have any number.
+    """
+    rows = annotation_units(annotations)
+    key = [*SCOPE, "unit_key"]
+    targets = _numbered_targets(rows)
     stamps = rows.select(*key, F.explode("timestamps").alias("stamp")).distinct()
     stamps = stamps.join(targets.select(*key, "target_id", "precision"), key)
     at = T.parse_annotation_time(F.col("stamp"))
@@ -90,6 +97,33 @@ def build_targets(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return targets.drop("unit_key"), stamps
 
 
+def target_details(annotations: DataFrame) -> DataFrame:
+    """(target_id, key, value), in long form: what the records of a target say besides its entity, each value once.
+
+    ``annotations``: as for ``build_targets``, with ``extra`` (a map of lists). The key ``timestamps`` holds the times as they were
+    written. Of a target that merges the records of a host only the user names are kept, as ``usernames``; any other target
+    keeps all keys of its record. Null values are left out.
+    """
+    rows = annotation_units(annotations)
+    key = [*SCOPE, "unit_key"]
+    ids = _numbered_targets(rows).select(*key, "target_id")
+    merged = (F.col("dataset") == "optc") & (F.col("task") == "lm")
+    names = F.create_map(F.lit("usernames"), F.try_element_at("extra", F.lit("username")))
+    kept = F.map_concat(F.create_map(F.lit("timestamps"), F.col("timestamps")), F.when(merged, names).otherwise(F.coalesce("extra", F.create_map().cast("map<string,array<string>>"))))
+    values = rows.select(*key, F.explode(kept).alias("key", "_values")).select(*key, "key", F.explode("_values").alias("value"))
+    return values.filter("value is not null").distinct().join(ids, key).select("target_id", "key", "value")
+
+
+def target_records(targets: DataFrame, details: DataFrame) -> DataFrame:
+    """Targets with ``timestamps`` (sorted, as written) and ``extra`` (a map of sorted lists), for the sink."""
+    lists = details.groupBy("target_id", "key").agg(F.array_sort(F.collect_list("value")).alias("_values"))
+    maps = lists.groupBy("target_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "_values"))).alias("_all"))
+    none = F.create_map().cast("map<string,array<string>>")
+    rows = targets.join(maps, "target_id", "left").withColumn("_all", F.coalesce("_all", none))
+    stamps = F.coalesce(F.try_element_at("_all", F.lit("timestamps")), F.array().cast("array<string>"))
+    return rows.withColumn("timestamps", stamps).withColumn("extra", F.map_filter("_all", lambda k, _: k != "timestamps")).drop("_all")
+
+
 def evidence_lines(targets: DataFrame, stamps: DataFrame, lines: DataFrame) -> DataFrame:
     """Supporting lines: (target_id, rel_path, line_no).
 
@@ -156,6 +190,11 @@ def unplaced_targets(targets: DataFrame, files: DataFrame) -> DataFrame:
     return targets.join(files.select("scenario_key").distinct(), "scenario_key", "left_anti")
 
 
+def quarantined_targets(targets: DataFrame) -> DataFrame:
+    """Targets without support, with the reason: (target_id, status, reason, aliases)."""
+    return targets.filter("status <> 'supported_positive'").select("target_id", "status", "reason", "aliases")
+
+
 def target_summary(targets: DataFrame) -> DataFrame:
     """Targets by status, in all and per (dataset, task)."""
     return targets.rollup("status", "dataset", "task").agg(

@@ -552,6 +552,31 @@ _add(
     select="SELECT * FROM (SELECT arm, max(place) AS n_evaluations, min(step) FILTER (misses >= 4)::int AS stop_step FROM walk GROUP BY arm) WHERE stop_step IS NOT NULL",
 )
 
+DETAILS = """
+said AS (
+  SELECT a.dataset, a.task, a.scenario, a.record_index, a.stamp, e.command, e.k,
+    ['user' || (e.k % 4)] || CASE WHEN e.k % 2 = 0 THEN ['root'] ELSE [] END AS users
+  FROM ann a JOIN log_events e USING (event_id)),
+members AS (SELECT DISTINCT target_id, u.dataset, u.task, u.scenario, u.record_index FROM ann_units u JOIN tg USING (dataset, task, scenario, ukey)),
+details AS (
+  SELECT DISTINCT target_id, key, value FROM (
+    SELECT target_id, 'timestamps' AS key, stamp AS value FROM members JOIN said USING (dataset, task, scenario, record_index)
+    UNION ALL SELECT target_id, CASE WHEN dataset = 'optc' AND task = 'lm' THEN 'usernames' ELSE 'username' END, unnest(users)
+      FROM members JOIN said USING (dataset, task, scenario, record_index)
+    UNION ALL SELECT target_id, 'method', command FROM members JOIN said USING (dataset, task, scenario, record_index) WHERE NOT (dataset = 'optc' AND task = 'lm'))),
+lists AS (SELECT target_id, key, string_agg(value, '/' ORDER BY value) AS v FROM details GROUP BY target_id, key)
+"""
+_add("target_details", *_chain("evidence"), DETAILS, select="SELECT target_id, key, value FROM details")
+_add(
+    "target_records", *_chain("evidence"), DETAILS,
+    select="""SELECT target_id, status, replace(max(v) FILTER (key = 'timestamps'), '/', ',') AS timestamps, string_agg(key || '=' || v, ';' ORDER BY key || '=' || v) FILTER (key <> 'timestamps') AS extra
+      FROM tstatus JOIN lists USING (target_id) GROUP BY target_id, status""",
+)
+_add(
+    "quarantined_targets", *_chain("evidence"),
+    select="SELECT target_id, status, reason, array_to_string(aliases, ',') AS aliases FROM tstatus WHERE status <> 'supported_positive'",
+)
+
 # --- scanned trees ------------------------------------------------------------------------------
 
 TREE_FILES = f"""

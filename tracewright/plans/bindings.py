@@ -168,15 +168,16 @@ def log_annotations(events: DataFrame) -> DataFrame:
     rows = wanted.selectExpr(
         "event_id", "dataset", "task", "if(k % 10 = 3, 'lost-scenario', scenario) as scenario",
         "if(dataset = 'lab' and task <> 'lm', 16, 19) as _n", "local_ts + if(k % 10 = 0, interval 1 day, interval 0 day) as _ts",
+        "map('username', array(concat('user', k % 4), if(k % 2 = 0, 'root', null)), 'method', array(command)) as extra",
         "case when k % 10 = 1 then array('no value') when task = 'lm' then array(host_name, concat('host', u, '.example')) "
         "when task = 'exfiltration' then array(path_name) when k % 10 = 4 then array('Account Creation') "
         "when k % 10 = 5 then array('Create Account', 'Valid Accounts') else array('Create Account') end as entities",
     ).selectExpr(
-        "event_id", "dataset", "task", "scenario", "entities", "array(substring(cast(_ts as string), 1, _n)) as timestamps"
+        "event_id", "dataset", "task", "scenario", "entities", "extra", "array(substring(cast(_ts as string), 1, _n)) as timestamps"
     )
     scope = ["dataset", "task", "scenario"]
     numbered = chunked_row_number(rows, scope, ["event_id"], row_chunk(F.col("event_id")), "_n")
-    return numbered.select(*scope, (F.col("_n") - 1).alias("record_index"), "timestamps", "entities")
+    return numbered.select(*scope, (F.col("_n") - 1).alias("record_index"), "timestamps", "entities", "extra")
 
 
 def timed_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

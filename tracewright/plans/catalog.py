@@ -404,6 +404,27 @@ def target_stamps(spark, sf):
     return LogChain(spark, sf).stamps.select("target_id", "stamp_norm").distinct()
 
 
+@query
+def target_details(spark, sf):
+    """What the records of each target say besides its entity, one row per value."""
+    return E.target_details(LogChain(spark, sf).annotations)
+
+
+@query
+def target_records(spark, sf):
+    """The full record of each target, with its written times and extra keys as texts."""
+    chain = LogChain(spark, sf)
+    out = E.target_records(chain.targets, E.target_details(chain.annotations))
+    pairs = F.array_sort(F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "/"))))
+    return out.select("target_id", "status", _joined("timestamps").alias("timestamps"), F.array_join(pairs, ";").alias("extra"))
+
+
+@query
+def quarantined_targets(spark, sf):
+    out = E.quarantined_targets(LogChain(spark, sf).targets)
+    return out.select("target_id", "status", "reason", _joined("aliases").alias("aliases"))
+
+
 @query
 def target_summary(spark, sf):
     return E.target_summary(LogChain(spark, sf).targets)
