@@ -19,6 +19,7 @@ FORMAT_PATTERNS = {
     "iso_minute": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$",
     "iso_offset": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?[+-]\d{2}:\d{2}$",
 }
+# Where a line of each view carries its time.
 EDGE_TIME = r"^\((.*?)\)"
 RAW_TIME = r"msg=audit\((\d+\.\d+):\d+\)"
 

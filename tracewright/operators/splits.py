@@ -143,8 +143,8 @@ def deal_groups(groups: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
 
     ``quotas``: the counts of the chosen candidate per stratum.
     """
-    # strata are combinations of closed sets: a few hundred rows at most
-    rows = groups.join(F.broadcast(quotas.select(*STRATUM, "rung", "candidate", "k0", "k1")), STRATUM)
+    # data sets come from the data, so the size of the strata decides how this is joined
+    rows = groups.join(quotas.select(*STRATUM, "rung", "candidate", "k0", "k1"), STRATUM)
     rows = rows.withColumn("_u", uniform(F.lit(seed), F.col("rung"), F.col("candidate"), F.col("group_id")))
     ranked = chunked_row_number(rows, STRATUM, ["_u", "group_id"], hash_bucket(F.col("_u")), "_rank")
     split = (
