@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.timestamps import FORMAT_PATTERNS
-from ..lookups import FINDING_FIELD, OPTIONAL_KEYS, REQUIRED_KEYS, VERDICTS
+from ..lookups import FINDING_FIELD, OPTIONAL_KEYS, PAYLOAD_ERRORS, REQUIRED_KEYS, VERDICTS
 from .views import minute, parse, precision, quote, second
 
 _ITEM = r"""CASE WHEN attempt_id = 2 AND k = 17 THEN '17' ELSE '{' ||
@@ -80,6 +80,40 @@ findings AS (SELECT i.* FROM item_ok i JOIN checked c USING (unit_id, attempt_id
 """
 
 
+_SEPARATORS = "CASE task WHEN 'persistence' THEN '[,;|\\n\\r\\t]' ELSE '[,;|\\n\\r\\t]| or | and ' END"
+
+
+def _message(key: str, *values: str) -> str:
+    """An error text whose open places are SQL values."""
+    parts = PAYLOAD_ERRORS[key].split("{}")
+    return " || ".join([quote(parts[0]), *[x for v, p in zip(values, parts[1:]) for x in (v, quote(p))]])
+
+
+# The first error of a payload, in the order in which the rules are read.
+ERRORS = rf"""
+item_errors AS (
+  SELECT unit_id, attempt_id, idx, CASE WHEN json_type(item) <> 'OBJECT' THEN {_message('object')}
+    WHEN NOT list_has_all(keys, {_by_task(REQUIRED_KEYS)}) THEN {_message('keys_missing')} WHEN NOT list_has_all({_by_task(_ALL_KEYS)}, keys) THEN {_message('keys_unknown')}
+    WHEN verdict IS NULL OR verdict NOT IN ({', '.join(quote(v) for v in VERDICTS)}) THEN {_message('verdict')}
+    WHEN refs_type <> 'ARRAY' THEN {_message('lines_list')} WHEN len(refs) = 0 AND task <> 'classification' THEN {_message('no_lines')}
+    WHEN len(refs) > 32 THEN {_message('many_lines', "'32'")}
+    WHEN len(list_filter(refs, lambda x: json_type(x) NOT IN ('UBIGINT', 'BIGINT'))) > 0 THEN {_message('line_integers')}
+    WHEN len(list_filter(refs, lambda x: x::bigint NOT BETWEEN 1 AND n_lines)) > 0 THEN {_message('line_outside')}
+    WHEN len(list_distinct(refs)) < len(refs) THEN {_message('line_twice')} WHEN pid_type NOT IN ('NULL', 'UBIGINT') THEN {_message('pid')}
+    WHEN task = 'classification' THEN NULL WHEN ts_type <> 'VARCHAR' THEN {_message('string', "'timestamp'")} WHEN NOT ({_FORMAT}) THEN {_message('timestamp')}
+    WHEN entity_type <> 'VARCHAR' THEN {_message('string', _FIELD)} WHEN entity = '' THEN {_message('entity_empty', _FIELD)}
+    WHEN regexp_matches(entity, {_SEPARATORS}) THEN {_message('entity_many', _FIELD)}
+    WHEN task = 'lm' AND NOT regexp_matches(entity, '^[A-Za-z0-9][A-Za-z0-9.:\-\[\]]*$') THEN {_message('host')} END AS error
+  FROM items),
+first_errors AS (
+  SELECT p.unit_id, p.attempt_id, CASE WHEN payload = '' THEN {_message('empty')} WHEN NOT json_valid(payload) THEN {_message('json')}
+    WHEN p.items IS NULL THEN {_message('top_level')} WHEN len(p.items) > 32 THEN {_message('many_findings', "'32'")}
+    WHEN p.task = 'classification' AND len(p.items) <> 1 THEN {_message('one_verdict')} ELSE coalesce('finding ' || i.idx || ' ' || i.error, '') END AS first_error
+  FROM parsed p LEFT JOIN (SELECT unit_id, attempt_id, min(idx) AS idx, arg_min(error, idx) AS error FROM item_errors WHERE error IS NOT NULL GROUP BY ALL) i
+    USING (unit_id, attempt_id))
+"""
+
+
 def _entity(kind: str, value: str) -> str:
     return f"""CASE {kind} WHEN 'host' THEN rtrim(trim(lower(trim({value})), '[]'), '.')
       WHEN 'technique' THEN trim(regexp_replace(replace(lower({value}), '-', ' '), '\\s+', ' ', 'g'))

@@ -552,6 +552,8 @@ _add(
     select="SELECT * FROM (SELECT arm, max(place) AS n_evaluations, min(step) FILTER (misses >= 4)::int AS stop_step FROM walk GROUP BY arm) WHERE stop_step IS NOT NULL",
 )
 
+_add("payload_errors", *_chain("checked"), G.ERRORS, select="SELECT unit_id, attempt_id, first_error FROM first_errors")
+
 DETAILS = """
 said AS (
   SELECT a.dataset, a.task, a.scenario, a.record_index, a.stamp, e.command, e.k,

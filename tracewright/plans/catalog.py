@@ -458,6 +458,13 @@ def payload_validity(spark, sf):
     return out.select("unit_id", "attempt_id", "schema_valid", "n_findings", "n_high")
 
 
+@query
+def payload_errors(spark, sf):
+    """The first rule that each payload breaks; empty for a sound one."""
+    out = V.validate_payloads(LogChain(spark, sf).payloads)
+    return out.select("unit_id", "attempt_id", F.coalesce("first_error", F.lit("")).alias("first_error"))
+
+
 def _findings(chain: LogChain) -> DataFrame:
     return cut_lineage(V.explode_findings(V.validate_payloads(chain.payloads)))
 
