@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..session import cut_lineage, shared_dir
 
 # Bytes of words that all tables of a Python worker remember together, twice over, and what an entry takes besides its text.
-CACHE_BYTES, ENTRY_BYTES = 56 << 20, 130
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 130
 # Longer words are computed each time, so that the memory of a cache is bounded.
 CACHE_WORD_CHARS = 64
 # Rows of a batch that a Python worker holds.
