@@ -1,9 +1,15 @@
 """What reaches the driver, and what one task holds."""
 
+import random
+from collections import Counter
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tracewright.session import LLM_CONF, RUNTIME_CONF, configure, cut_lineage
+from tracewright.streaming.spend import Breach
 
 
 def joined(spark, n):
@@ -25,3 +31,59 @@ def test_operators_on_texts_keep_their_threshold(spark):
             assert spark.conf.get(key) == want[key]
     finally:
         configure(spark)
+
+
+class Kept:
+    """Keyed state in a dictionary; every call of it is counted, as each is a round trip between Python and Spark."""
+
+    def __init__(self, calls):
+        self.calls, self.rows, self.value = calls, {}, None
+
+    def __getattribute__(self, name):
+        if name not in ("calls", "rows", "value"):
+            self.calls[name] += 1
+        return object.__getattribute__(self, name)
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    containsKey = lambda self, k: tuple(k) in self.rows
+    getValue = lambda self, k: self.rows[tuple(k)]
+    removeKey = lambda self, k: self.rows.pop(tuple(k))
+    clear = lambda self: self.rows.clear()
+
+    def update(self, value):
+        self.value = value
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def updateValue(self, k, v):
+        self.rows[tuple(k)] = v
+
+
+def test_state_is_not_asked_for_each_row():
+    """Usage in mixed order, with two rows of one moment: booked in order, by far fewer calls of the state than there are rows."""
+    rng, calls, timers = random.Random(3), Counter(), []
+    handle = SimpleNamespace(getValueState=lambda *_: Kept(calls), getMapState=lambda *_: Kept(calls), registerTimer=timers.append)
+    usage = [(k * 7_000_000, k, rng.uniform(0, 1)) for k in range(10_000)]
+    usage += [(usage[7][0], 7, 0.5), (usage[9][0], 3, 0.25)]
+    spent, at = 0.0, {}
+    for us, event_id, usd in usage:
+        at[us, event_id] = at.get((us, event_id), 0.0) + usd
+    for place in sorted(at):
+        spent += at[place]
+        if spent >= 3_000.0:
+            break
+    rng.shuffle(usage)
+    judge, out = Breach(), []
+    judge.init(handle)
+    for part in range(4):
+        rows = [Row(us=us, event_id=e, usd=usd, cap=3_000.0) for us, e, usd in usage[part::4]]
+        out += judge.handleInputRows(("a",), iter(rows), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))
+    waited = SimpleNamespace(getCurrentWatermarkInMs=lambda: 30_000_000)
+    out += judge.handleExpiredTimer(("a",), waited, None)
+    assert not out and timers[-1] == 30_002_000_000 // 1000 + 1  # the usage that follows 30,000 s
+    waited.getCurrentWatermarkInMs = lambda: 70_000_000
+    out += judge.handleExpiredTimer(("a",), waited, None)
+    assert [(r.event_id, r.usd) for r in out] == [(place[1], spent)]
+    assert sum(calls.values()) < len(usage) / 10

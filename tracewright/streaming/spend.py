@@ -70,16 +70,22 @@ def cap_breaches(usage: DataFrame, caps: dict[str, float] = PHASE_CAPS_USD, tota
 BREACH = "phase string, ts timestamp, event_id long, usd double, cap double"
 
 
+# Microseconds of usage that waits together, and rows that are taken in before they are put into state.
+HOUR_US, ROWS_AT_ONCE = 3_600_000_000, 200_000
+
+
 class Breach(StatefulProcessor):
     """One sum per phase, and the usage that the watermark has not passed yet; after the breach, one flag.
 
-    Usage waits in a map keyed by second and microsecond, so that it is booked in event-time order whatever order it comes in.
+    Usage waits in parts of an hour, so that it is booked in event-time order whatever order it comes in, and state is read and
+    written once per hour and batch, not once per row.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.booked = handle.getValueState("booked", "usd double, breached boolean")
-        self.waiting = handle.getMapState("waiting", "us long, event_id long", "usd double, times long, cap double")
+        self.hours = handle.getMapState("hours", "hour long", "parts long, first_us long")
+        self.waiting = handle.getMapState("waiting", "hour long, part long", "us array<long>, event_id array<long>, usd array<double>, cap array<double>")
 
     def _state(self) -> tuple[float, bool]:
         return tuple(self.booked.get()) if self.booked.exists() else (0.0, False)
@@ -87,34 +93,66 @@ class Breach(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self._state()[1]:
             return
+        arrived, n = {}, 0
         for row in rows:
-            place = (row.us, row.event_id)
-            before = self.waiting.getValue(place) if self.waiting.containsKey(place) else (0.0, 0, row.cap)
-            self.waiting.updateValue(place, (before[0] + row.usd, before[1] + 1, row.cap))
+            arrived.setdefault(row.us // HOUR_US, []).append((row.us, row.event_id, row.usd, row.cap))
+            n += 1
+            if n == ROWS_AT_ONCE:
+                self._keep(arrived)
+                arrived, n = {}, 0
+        self._keep(arrived)
         yield from self._book(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._book(key, timerValues.getCurrentWatermarkInMs())
 
+    def _keep(self, arrived: dict[int, list[tuple]]) -> None:
+        """Add a part to each hour, in the order of arrival."""
+        for hour, usage in arrived.items():
+            first = min(row[0] for row in usage)
+            parts, earlier = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else (0, first)
+            self.waiting.updateValue((hour, parts), tuple(list(column) for column in zip(*usage)))
+            self.hours.updateValue((hour,), (parts + 1, min(first, earlier)))
+
+    def _take(self, hour: int, parts: int) -> dict[tuple, tuple[float, float]]:
+        """The usage of an hour by place, which leaves the state; that of one place is summed in the order of arrival."""
+        places = {}
+        for part in range(parts):
+            for us, event_id, usd, cap in zip(*self.waiting.getValue((hour, part))):
+                places[us, event_id] = (places.get((us, event_id), (0.0, cap))[0] + usd, cap)
+            self.waiting.removeKey((hour, part))
+        self.hours.removeKey((hour,))
+        return places
+
     def _book(self, key, watermark_ms: int) -> Iterator[Row]:
         """Book what the watermark has passed, in order, up to the cap, and come again when it passes the next usage."""
         spent, breached = self._state()
         if breached:
             return
-        places = sorted(tuple(place) for place in self.waiting.keys())
-        n_passed = bisect_right(places, (watermark_ms * 1000, float("inf")))
-        for place in places[:n_passed]:
-            usd, _, cap = self.waiting.getValue(place)
-            spent += usd
-            if spent >= cap:
-                self.waiting.clear()
-                self.booked.update((spent, True))
-                yield Row(phase=key[0], ts=datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=place[0]), event_id=place[1], usd=spent, cap=cap)
-                return
-            self.waiting.removeKey(place)
+        following = None
+        for hour in sorted(k[0] for k in self.hours.keys()):
+            parts, following = self.hours.getValue((hour,))
+            if following > watermark_ms * 1000:
+                break
+            usage, following = self._take(hour, parts), None
+            places = sorted(usage)
+            n_passed = bisect_right(places, (watermark_ms * 1000, float("inf")))
+            for place in places[:n_passed]:
+                usd, cap = usage[place]
+                spent += usd
+                if spent >= cap:
+                    self.waiting.clear()
+                    self.hours.clear()
+                    self.booked.update((spent, True))
+                    yield Row(phase=key[0], ts=datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=place[0]), event_id=place[1], usd=spent, cap=cap)
+                    return
+            if n_passed < len(places):
+                following = places[n_passed][0]
+                self._keep({hour: [(*place, *usage[place]) for place in places[n_passed:]]})
+                break
         self.booked.update((spent, False))
-        if n_passed < len(places):
-            self.handle.registerTimer(places[n_passed][0] // 1000 + 1)
+        if following is not None:
+            self.handle.registerTimer(following // 1000 + 1)
 
 
 def breach_events(usage: DataFrame, caps: dict[str, float] = PHASE_CAPS_USD, total: float = TOTAL_CAP_USD, delay: str = "1 day") -> DataFrame:
