@@ -33,6 +33,19 @@ def test_operators_on_texts_keep_their_threshold(spark):
         configure(spark)
 
 
+def test_larger_tables_make_more_tasks_not_larger_ones(spark):
+    """Shuffled rows are read some megabytes at a time, however few cores there are."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200")
+    try:
+        rows = lambda n: spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        few, many = (rows(n).repartition("id").rdd.getNumPartitions() for n in (10_000, 1_000_000))
+        assert few <= spark.sparkContext.defaultParallelism + 1 < many - 1, (few, many)
+    finally:
+        spark.conf.set(key, before)
+
+
 class Kept:
     """Keyed state in a dictionary; every call of it is counted, as each is a round trip between Python and Spark."""
 
