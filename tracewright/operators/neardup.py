@@ -135,20 +135,23 @@ def similar_contents(sets: DataFrame, threshold: float = 0.8, bands: int = BANDS
     band of their min-wise hashes and are met in the first band they share, so no pair is found twice; their similarity is exact.
     Pairs of one band are an equi-join, which is as large as the similar pairs of different sets are many.
     """
-    ordered = F.array_sort("runs")
+    ordered = F.sort_array("runs")  # sorts numbers as numbers; array_sort calls a comparator for each pair
     key = F.when(F.size("runs") > 0, F.concat_ws("/", F.size("runs"), F.xxhash64(ordered), F.xxhash64(F.lit(1), ordered))).otherwise(F.col("sha256"))
-    keyed = sets.withColumn("_key", key)
+    keyed = cut_lineage(sets.withColumn("_key", key))  # read three times
     members = keyed.groupBy("_key").agg(F.min("sha256").alias("content"))
     members = cut_lineage(keyed.select("sha256", "_key").join(members, "_key").select("sha256", "content"))
-    named = sets.join(members.filter("sha256 = content").select("sha256"), "sha256", "left_semi").filter(F.size("runs") > 0)
+    named = keyed.drop("_key").join(members.filter("sha256 = content").select("sha256"), "sha256", "left_semi").filter(F.size("runs") > 0)
     signed = cut_lineage(_signed(named, bands, rows))
     banded = signed.select("content", "_bands", F.posexplode("_bands").alias("_band", "_hash"))
     left = banded.select("_band", "_hash", F.col("content").alias("a"), F.col("_bands").alias("_left"))
     right = banded.select("_band", "_hash", F.col("content").alias("b"), F.col("_bands").alias("_right"))
     met = left.join(right, ["_band", "_hash"]).filter("a < b")
     first = F.array_position(F.zip_with("_left", "_right", lambda x, y: x == y), True) - 1
-    met = met.filter(F.col("_band") == first).select("a", "b")
-    sets_of = lambda name: signed.select(F.col("content").alias(name), F.col("runs").alias(f"_{name}"))
+    met = cut_lineage(met.filter(F.col("_band") == first).select("a", "b"))
+    # the sets of the contents that have a candidate, once for both sides
+    wanted = met.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    held = signed.select("content", "runs").join(wanted, "content", "left_semi")
+    sets_of = lambda name: held.select(F.col("content").alias(name), F.col("runs").alias(f"_{name}"))
     both = met.join(sets_of("a"), "a").join(sets_of("b"), "b").withColumn("n_shared", F.size(F.array_intersect("_a", "_b")))
     both = both.withColumn("n_all", F.size("_a") + F.size("_b") - F.col("n_shared"))
     pairs = both.withColumn("similarity", F.col("n_shared") / F.col("n_all")).filter(F.col("similarity") >= threshold)
