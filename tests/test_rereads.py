@@ -1,6 +1,10 @@
 """What several steps read is worked out once."""
 
+from pyspark.sql import functions as F
+
+from tracewright.operators import evidence as E
 from tracewright.operators import neardup as ND
+from tracewright.plans import bindings as B
 
 
 def counted(spark, df):
@@ -22,3 +26,27 @@ def test_run_sets_are_worked_out_once(spark):
     assert {r.sha256: r.content for r in members.collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
     assert [(r.a, r.b, r.n_shared, r.n_all) for r in pairs.collect()] == [("a", "c", 5, 6)]
     assert seen.value == len(rows)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_are_read_for_their_numbers_only(spark, tmp_path):
+    """The attributes of a log follow from its user, so no third scan, count and join of the events brings them."""
+    rows = [(i, f"2024-01-02 03:04:{i:02}", u, "error", '{"k": 3}') for i, u in enumerate([1, 1, 2, None, 1, 2, 40], 1)]
+    table = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string")
+    table.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    events, files = B.log_events(spark, str(tmp_path)), B.log_files(spark, str(tmp_path))
+    shared = [c for c in files.columns if c != "lines"]
+    assert sorted((r.event_id, r.u, r.line_no) for r in events.collect()) == [(1, 1, 1), (2, 1, 2), (3, 2, 1), (5, 1, 3), (6, 2, 2), (7, 40, 1)]
+    assert events.select(shared).exceptAll(events.select("u").join(files, "u").select(shared)).count() == 0
+    assert plan(events).count("Relation") == 2
+
+
+def test_targets_are_numbered_once(spark):
+    rows = [("lab", "lm", "q", i, [f"2024-01-01 00:0{i}:00"], [f"h{i}"]) for i in range(3)]
+    annotations = spark.createDataFrame(rows, "dataset string, task string, scenario string, record_index long, timestamps array<string>, entities array<string>")
+    targets, stamps = E.build_targets(annotations)
+    assert "Window" not in plan(targets) and "Window" not in plan(stamps)
+    assert sorted((r.target_id, r.stamp_norm) for r in stamps.collect()) == [(f"lab:lm:q:{i}", f"2024-01-01 00:0{i}:00") for i in range(3)]

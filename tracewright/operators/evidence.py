@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as E
 from ..functions import timestamps as T
 from ..lookups import TARGET_REASONS, ENTITY_KIND, PERSISTENCE_TECHNIQUES, PRECISION, TECHNIQUE_INDICATORS
+from ..session import cut_lineage
 from .scale import chunked_row_number, row_chunk
 
 SCOPE = ["dataset", "task", "scenario"]
@@ -87,7 +88,7 @@ def build_targets(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = annotation_units(annotations)
     key = [*SCOPE, "unit_key"]
-    targets = _numbered_targets(rows)
+    targets = cut_lineage(_numbered_targets(rows))  # numbered once, for both
     stamps = rows.select(*key, F.explode("timestamps").alias("stamp")).distinct()
     stamps = stamps.join(targets.select(*key, "target_id", "precision"), key)
     at = T.parse_annotation_time(F.col("stamp"))

@@ -32,7 +32,9 @@ class LogChain:
 
     @cached_property
     def events(self) -> DataFrame:
-        return cut_lineage(B.log_events(self.spark, self.sf_dir))
+        """Without the attributes that only the table of files is asked for."""
+        unread = ("ordinal", "sha256", "host", "os", "ts_format", "scenario_key", "ts", "pos", "ms")
+        return cut_lineage(B.log_events(self.spark, self.sf_dir).drop(*unread))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -45,7 +47,6 @@ class LogChain:
     @cached_property
     def _built(self) -> tuple[DataFrame, DataFrame]:
         targets, stamps = E.build_targets(self.annotations)
-        targets = cut_lineage(targets)
         return targets, cut_lineage(stamps)
 
     @cached_property
