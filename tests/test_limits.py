@@ -8,6 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from tracewright.operators import sampling as SA
 from tracewright.session import LLM_CONF, RUNTIME_CONF, configure, cut_lineage
 from tracewright.streaming.spend import Breach
 
@@ -46,6 +47,28 @@ def test_larger_tables_make_more_tasks_not_larger_ones(spark):
         spark.conf.set(key, before)
 
 
+def written(monkeypatch, module):
+    """Optimized plans of the tables that ``module`` writes from now on."""
+    plans = []
+
+    def write(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(module, "cut_lineage", write)
+    return plans
+
+
+def test_closed_levels_of_draws_need_no_numbers(spark, monkeypatch):
+    """The branches are counted from the cells; groups are numbered once, for the draws."""
+    plans = written(monkeypatch, SA)
+    rows = [(f"u{i}", "lm", ("positive", "benign")[i % 2], f"g{i % 5}", "edge") for i in range(40)]
+    units = spark.createDataFrame(rows, "unit_id string, task string, label string, group_id string, representation string")
+    drawn = SA.draw_units(units, 50, 3)
+    assert len(plans) == 3 and "Join" not in plans[-1]
+    assert drawn.count() == 50 and {r.kind for r in drawn.collect()} == {"positive", "benign"}
+
+
 class Kept:
     """Keyed state in a dictionary; every call of it is counted, as each is a round trip between Python and Spark."""
 

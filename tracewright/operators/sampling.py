@@ -79,7 +79,7 @@ def draw_units(units: DataFrame, n_draws: int, seed: int) -> DataFrame:
 
     # the closed levels: a handful of rows, one per (task, class, kind)
     order = Window.orderBy("task")
-    kinds = groups.groupBy(*BRANCH).agg(F.max("n_groups").alias("n_groups"))
+    kinds = cells.groupBy(*BRANCH).agg(F.max("n_groups").alias("n_groups"))
     kinds = kinds.withColumn("task_no", F.dense_rank().over(order)).withColumn(
         "class_no", F.dense_rank().over(Window.partitionBy("task").orderBy(F.desc("cls")))
     ).withColumn("kind_no", F.row_number().over(Window.partitionBy("task", "cls").orderBy("kind")))
