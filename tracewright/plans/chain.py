@@ -82,7 +82,7 @@ class LogChain:
 
     @cached_property
     def unit_targets(self) -> DataFrame:
-        return E.unit_targets(self.units, self.window_targets, self.targets, self.stamps)
+        return cut_lineage(E.unit_targets(self.units, self.window_targets, self.targets, self.stamps))
 
     @cached_property
     def payloads(self) -> DataFrame:
