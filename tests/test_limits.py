@@ -8,8 +8,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from tracewright.operators import components as G
 from tracewright.operators import matching as M
 from tracewright.operators import sampling as SA
+from tracewright.plans import catalog
 from tracewright.session import LLM_CONF, RUNTIME_CONF, configure, cut_lineage
 from tracewright.streaming.spend import Breach
 
@@ -60,6 +62,17 @@ def written(monkeypatch, module):
     return plans
 
 
+def test_a_round_of_components_makes_three_joins(spark, monkeypatch):
+    """Each join shuffles both sides, and a shuffle is a job and a thread of the driver."""
+    plans = written(monkeypatch, G)
+    nodes = spark.createDataFrame([(x,) for x in "abcdefghxyz"], "node string")
+    edges = spark.createDataFrame([tuple(p) for p in ("hg", "gf", "fe", "ed", "dc", "cb", "yx", "zz", "zq")], "a string, b string")
+    got = {r.node: r.component for r in G.connected_components(nodes, edges).collect()}
+    assert got == {"a": "a", "x": "x", "y": "x", "z": "z"} | dict.fromkeys("bcdefgh", "b")
+    rounds = [p for p in plans if " AS old" in p or "old#" in p]
+    assert len(rounds) > 1 and all(p.count("Join ") == 3 for p in rounds), rounds[0]
+
+
 def test_closed_levels_of_draws_need_no_numbers(spark, monkeypatch):
     """The branches are counted from the cells; groups are numbered once, for the draws."""
     plans = written(monkeypatch, SA)
@@ -90,6 +103,17 @@ def test_findings_are_normalised_once(spark, monkeypatch):
     assert [(r.outcome, r.target_id) for r in out.collect()] == [("tp", "t")]
 
 
+def test_groups_are_worked_out_once_for_the_invariants(spark, monkeypatch, tmp_path):
+    docs = [(i, f"line {i % 9}\nend", "en" if i % 2 else "fr", "s", 10) for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    plans = written(monkeypatch, catalog)
+    out = catalog.split_invariants(spark, str(tmp_path))
+    assert sum("collect_set(task" in p for p in plans) == 1
+    assert [r.n_conflicts for r in out.collect()] == [0]
+
+
 class Kept:
     """Keyed state in a dictionary; every call of it is counted, as each is a round trip between Python and Spark."""
 

@@ -12,9 +12,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     """Smallest reachable node per node, by hooking and pointer jumping (FastSV, Zhang et al. 2020).
 
     ``nodes``: node. ``edges``: a, b. Edges with an unknown end are ignored. A round is equi-joins
-    with one row per node on one side and map-side combined minima, so hubs cost no hot task.
+    with one row per node on one side and map-side combined minima, so hubs cost no hot task. Every shuffle of a round costs the
+    driver a job and, for a minute, a thread, so a round has as few as it can.
     The number of rounds grows with the logarithm of the component size; each round is written to
-    the shared checkpoint folder and reads back one number, the count of changed nodes.
+    the shared checkpoint folder and reads back one row at most, a changed node.
     """
     ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = edges.filter("a <> b").select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct()
@@ -23,19 +24,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     both = cut_lineage(both.join(known.withColumnRenamed("node", "b"), "b", "left_semi"))
     # nodes without an edge are their own component and take no part in the rounds
     state = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("parent")))
+    none = F.lit(None).cast(state.schema["node"].dataType)
     for _ in range(max_rounds):
         up = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = state.join(up, "parent")  # node, parent, grand
+        jumped = state.join(up, "parent").select("node", "parent", "grand")
         seen = jumped.select(F.col("node").alias("b"), "grand")
-        best = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("best"))
-        hooked = jumped.join(best, "node")
-        none = F.lit(None).cast(state.schema["node"].dataType)
-        offers = hooked.select("node", F.least("grand", "best").alias("to"), F.col("parent").alias("old")).unionByName(
-            hooked.select(F.col("parent").alias("node"), F.col("best").alias("to"), none.alias("old"))
+        told = both.join(seen, "b").select(F.col("a").alias("node"), none.alias("parent"), none.alias("grand"), F.col("grand").alias("best"))
+        # every node has one row of its own and an edge, so one grouping brings both together without a join
+        hooked = jumped.withColumn("best", none).unionByName(told).groupBy("node").agg(
+            F.max("parent").alias("parent"), F.max("grand").alias("grand"), F.min("best").alias("best")
         )
+        own = F.struct("node", F.least("grand", "best").alias("to"), F.col("parent").alias("old"))
+        above = F.struct(F.col("parent").alias("node"), F.col("best").alias("to"), none.alias("old"))
+        offers = hooked.select(F.explode(F.array(own, above)).alias("o")).select("o.*")
         step = cut_lineage(offers.groupBy("node").agg(F.min("to").alias("parent"), F.max("old").alias("old")))
         state = step.select("node", "parent")
-        if step.filter("parent <> old").limit(1).count() == 0:
+        if step.filter("parent <> old").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
