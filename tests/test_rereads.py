@@ -71,3 +71,67 @@ def test_two_scorers_share_the_findings(spark):
         alone = {r.task: (r.tp, r.fp, r.fn) for r in C.compat_counts(scenarios, chunks, found, truth, more).collect()}
         assert counts == alone == want, (more, counts, alone)
     assert seen.value == len(rows)
+
+
+def exchanged(spark, df):
+    """Rows of ``df``, and the mean bytes of a row in each exchange and table of its run."""
+    rows = df.collect()
+    plan, seen, left = df._jdf.queryExecution().executedPlan(), [], []
+    left.append(plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan)
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        if kind == "ShuffleExchangeExec":
+            bytes_, n = (node.metrics().apply(m).value() for m in ("shuffleBytesWritten", "shuffleRecordsWritten"))
+            seen.append((bytes_, n, node.child().output().mkString(" ")))
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, seen
+
+
+def test_sets_are_sent_to_chunks_not_to_pairs(spark):
+    """A group of similar contents has many more pairs than contents; their sets are exchanged about as often as the contents are many."""
+    n, base = 120, [f"w{i}" for i in range(400)]
+    texts = [" ".join([f"only{i}", *base[:200], f"mid{i}", *base[200:]]) for i in range(n)]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "rel_path string, text string").withColumn("sha256", F.sha2("text", 256))
+    files = files.repartition(3).localCheckpoint()
+    common = ND.common_runs(files, share=2.0)
+    pairs = ND.similar_contents(
+        ND.run_sets(files, common=common, copies=True), again=lambda wanted: ND.run_sets(files, common=common, only=wanted)
+    )[1]
+    rows, seen = exchanged(spark, pairs)
+    assert len(rows) == n * (n - 1) // 2 and {(r.n_shared, r.n_all) for r in rows} == {(392, 404)}
+    sets = [s for s in seen if "runs#" in s[2]]
+    assert len(sets) == 1 and sets[0][1] == n + len(rows)  # each set once, and a row of two numbers per pair
+    assert sets[0][0] < 2 * n * 398 * 8 < len(rows) * 398 * 8 / 25
+
+
+def test_chunks_of_contents(spark, monkeypatch):
+    """Pairs whose contents lie in several chunks, and contents larger than a chunk, are counted as they are in one."""
+    rows = [(f"s{i:02}", [*range(40), 100 + i, *([200 + i] if i % 3 else [])]) for i in range(24)]
+    sets = spark.createDataFrame(rows, "sha256 string, runs array<bigint>").repartition(4)
+    held = {s: set(v) for s, v in rows}
+    want = {(a, b): (len(held[a] & held[b]), len(held[a] | held[b])) for a in held for b in held if a < b}
+    for contents, runs in ((512, 1 << 18), (5, 1 << 18), (512, 90), (512, 10)):
+        monkeypatch.setattr(ND, "CHUNK_CONTENTS", contents)
+        monkeypatch.setattr(ND, "CHUNK_RUNS", runs)
+        members, pairs = ND.similar_contents(sets)
+        got = [((r.a, r.b), (r.n_shared, r.n_all)) for r in pairs.collect()]
+        assert len(got) == len(want) and dict(got) == want, (contents, runs)
+
+
+def test_boilerplate_counts_contents_not_copies(spark):
+    """A run of thirty copies of one content and of nine others is in ten contents, one of as many copies and of eight others in nine."""
+    texts = ["a b c d e copy"] * 30 + [f"a b c d e x{i}" for i in range(9)] + [f"p q r s t y{i}" for i in range(8)] + ["p q r s t"] * 30 + [None, "", "a b"]
+    files = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("sha256", F.sha2("text", 256)).repartition(4)
+    run = lambda *w: F.xxhash64(F.array(*[F.lit(x) for x in w]))
+    want = spark.range(1).select(run(*"abcde")).first()[0]
+    common = ND.common_runs(files)
+    assert [r.run for r in common.collect()] == [want]
+    got = {r.sha256: r.runs for r in ND.run_sets(files).collect()}
+    assert len(got) == 22 and all(want not in v for v in got.values())
+    twice = [(r.sha256, sorted(r.runs)) for r in ND.run_sets(files, common=common, copies=True).collect()]
+    assert len(twice) == len(texts) and all(sorted(got[s]) == v for s, v in twice)
+    only = files.filter("text = 'a b'").select("sha256")
+    assert [r.sha256 for r in ND.run_sets(files, common=common, only=only).collect()] == [only.first()[0]]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,13 @@ from .scale import compute_once
 # Bands and rows of a signature: a pair of similarity 0.8 shares no band once in 4,600 times, one of 0.4 shares one in three.
 BANDS, ROWS = 16, 4
 # Hashes of a set that are mixed at once.
-RUNS_AT_ONCE = 16_384
+RUNS_AT_ONCE = 512
+# Contents and runs of a chunk; a content of more runs is a chunk of its own.
+CHUNK_CONTENTS, CHUNK_RUNS = 512, 1 << 18
 # A run in more than this share of the contents, and in this many at least, is boilerplate.
 BOILERPLATE_SHARE, BOILERPLATE_LEAST = 0.05, 10
+# Buckets in which runs are counted, per byte of a mean content: with words of five letters each holds a hundredth of the contents.
+BUCKETS_A_BYTE, LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 12, 1 << 20
 
 
 def line_shingles(files: DataFrame, k: int = 3) -> DataFrame:
@@ -74,31 +80,61 @@ def _pieces(text: Column, unit: str) -> Column:
 def with_runs(files: DataFrame, k: int, unit: str) -> DataFrame:
     """Add ``runs``: distinct hashes of the runs of ``k`` lines or words of ``text``; one run of all, if it has fewer."""
     cut = compute_once(files, "_pieces", _pieces(F.col("text"), unit))  # a lambda would cut the text again for each run
-    last = F.greatest(F.size("_pieces") - (k - 1), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("_pieces", i, k)))
+    last = F.greatest(F.size("_pieces") - k, F.lit(0))
+    # the hash of a slice, which is not copied; what lies beyond the end is null and adds nothing
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("_pieces", i + j) for j in range(k)]))
     return cut.withColumn("runs", F.when(F.size("_pieces") > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))).drop("_pieces")
 
 
-def run_sets(
+def common_runs(
     files: DataFrame, k: int = 5, unit: str = "word", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_LEAST
 ) -> DataFrame:
+    """(run): boilerplate, the runs that more than ``share`` of the contents hold, and at least ``least``. ``files``: sha256, text.
+
+    Runs are counted by bucket first, copies as often as they come, so a bucket counts no less than any of its runs; only runs of
+    a bucket that reaches the bounds are exchanged. Buckets follow the length of a content, not the number of contents.
+    """
+    sizes = files.groupBy("sha256").agg(F.max(F.octet_length("text")).alias("bytes"))
+    total, mean = sizes.agg(F.count(F.lit(1)), F.coalesce(F.avg("bytes"), F.lit(0.0))).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(BUCKETS_A_BYTE * mean).bit_length()))
+    many = (F.col("n") >= least) & (F.col("n") > total * share)
+    runs = with_runs(files.select("sha256", "text"), k, unit).select(F.xxhash64("sha256").alias("content"), F.explode("runs").alias("run"))
+    runs = runs.withColumn("bucket", F.pmod("run", F.lit(buckets)))
+    full = cut_lineage(runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(many).select("bucket"))
+    held = runs.join(F.broadcast(full), "bucket", "left_semi").select("run", "content").distinct()  # MOST_BUCKETS numbers at most
+    return cut_lineage(held.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(many).select("run"))
+
+
+def run_sets(
+    files: DataFrame, k: int = 5, unit: str = "word", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_LEAST,
+    common: DataFrame | None = None, only: DataFrame | None = None, copies: bool = False,
+) -> DataFrame:
     """(sha256, runs): the runs of every distinct content, without boilerplate. ``files``: sha256, text.
 
-    Runs are cut and hashed in the row, so texts are not exchanged. A run that more than ``share`` of the contents hold, and at
-    least ``least``, is boilerplate; only the contents that hold one are joined with what they lose.
+    ``common`` (run) is that of ``common_runs``, if it is known; ``only`` (sha256, each once) names the contents that are asked for.
+    Texts are exchanged to bring copies together, and cut after it, since their runs take twice the room; with ``copies`` nothing
+    is exchanged and a content comes as often as its files do. The rows are dealt by sha256 but for ``copies``.
     """
-    sets = cut_lineage(with_runs(files.select("sha256", "text"), k, unit).select("sha256", "runs").dropDuplicates(["sha256"]))
-    rows = sets.select("sha256", F.explode("runs").alias("run"))
-    often = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    total = sets.agg(F.count(F.lit(1)).alias("total"))  # one row
-    common = cut_lineage(often.join(total, F.col("n") > F.col("total") * share).select("run"))
-    lost = rows.join(common, "run").groupBy("sha256").agg(F.collect_list("run").alias("_lost"))
-    kept = F.when(F.col("_lost").isNull(), F.col("runs")).otherwise(F.array_except("runs", "_lost"))
-    return sets.join(lost, "sha256", "left").select("sha256", kept.alias("runs"))
+    common = common_runs(files, k, unit, share, least) if common is None else common
+    texts = files.select("sha256", "text") if copies else files.groupBy("sha256").agg(F.min("text").alias("text"))
+    texts = texts if only is None else texts.join(only, "sha256")
+    # one row; a run of it is in a twentieth of the contents, so it is as long as twenty contents at most
+    lost = common.agg(F.collect_list("run").alias("_lost"))
+    sets = with_runs(texts, k, unit).join(F.broadcast(lost), F.lit(True))
+    return sets.select("sha256", F.array_except("runs", "_lost").alias("runs"))
+
+
+def _mixed(runs: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each run (splitmix64 from ``salt`` on), to be added up over a set."""
+    z = runs + np.uint64(salt)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def _signed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(content, runs, bands): the least of the hashes of a set under each of bands x rows multiplicative hash functions, by band.
+    """(sha256, n, key, check, bands) of every set: its size, two sums of hashes that equal sets share, and, by band, the least of
+    its hashes under each of bands x rows multiplicative hash functions.
 
     Evaluated on Arrow batches: the same in a JVM lambda takes about a hundred times as long.
     """
@@ -110,57 +146,134 @@ def _signed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty((batch.num_rows, bands), np.uint64)
+            at = batch.column(1).offsets.to_numpy()
+            every = batch.column(1).values.to_numpy().view(np.uint64)
             for i in range(batch.num_rows):
-                runs = batch.column(1)[i].values.to_numpy().view(np.uint64)
+                runs = every[at[i] : at[i + 1]]
                 least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(runs), RUNS_AT_ONCE):
-                    mixed = runs[at : at + RUNS_AT_ONCE, None] * factor + shift
+                for k in range(0, len(runs), RUNS_AT_ONCE):
+                    mixed = runs[k : k + RUNS_AT_ONCE, None] * factor + shift
                     mixed ^= mixed >> np.uint64(32)
-                    least = np.minimum(least, (mixed * factor).min(axis=0))
+                    mixed *= factor
+                    least = np.minimum(least, mixed.min(axis=0))
                 out[i] = (least.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64)
+            sums = []
+            for salt in (0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A):
+                up_to = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(every, salt), dtype=np.uint64)])
+                sums.append(pa.array((up_to[at[1:]] - up_to[at[:-1]]).view(np.int64)))
             offsets = pa.array(np.arange(0, out.size + 1, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(out.ravel().view(np.int64)))], ["content", "runs", "_bands"]
-            )
+            signed = pa.ListArray.from_arrays(offsets, pa.array(out.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *sums, signed], ["sha256", "n", "key", "check", "bands"])
+
+    runs = F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs")
+    return sets.select("sha256", runs).mapInArrow(run, "sha256 string, n int, key bigint, check bigint, bands array<bigint>")
 
-    named = sets.select(F.col("sha256").alias("content"), "runs")
-    return named.mapInArrow(run, "content string, runs array<bigint>, _bands array<bigint>")
 
+def _chunked(contents: DataFrame) -> DataFrame:
+    """(v, sha256, chunk) of (v, sha256, n): rows that follow each other share a chunk, up to a number of runs and of contents."""
+    send_package(contents.sparkSession)
 
-def similar_contents(sets: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, contents, runs = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = []
+            for n in batch.column(2).to_pylist():
+                if contents and (contents == CHUNK_CONTENTS or runs + n > CHUNK_RUNS):
+                    chunk, contents, runs = chunk + 1, 0, 0
+                contents, runs = contents + 1, runs + n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["v", "sha256", "chunk"])
+
+    return contents.select("v", "sha256", "n").mapInArrow(run, "v bigint, sha256 string, chunk bigint")
+
+
+def _counted(met: DataFrame, contents: DataFrame, again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(x, y, n_shared, n_all) of the pairs ``met`` (x, y) of ``contents`` (id, sha256, n); ``again`` gives the sets.
+
+    A set is not sent to each of its pairs, of which a large group of similar contents has as many as contents: contents are put in
+    chunks, beside those that share their smallest partner, and a set is sent once to every pair of chunks that it has a pair in. A
+    task holds the sets of two chunks at once.
+    """
+    ends = F.array(F.struct(F.col("x").alias("v"), F.col("y").alias("o")), F.struct(F.col("y").alias("v"), F.col("x").alias("o")))
+    near = met.select(F.explode(ends).alias("e")).groupBy("e.v").agg(F.min("e.o").alias("o"))
+    near = near.withColumn("label", F.least("v", "o")).join(contents.withColumnRenamed("id", "v"), "v")
+    chunks = cut_lineage(_chunked(near.orderBy("label", "v")))
+    place = lambda i, c: chunks.select(F.col("v").alias(i), F.col("chunk").alias(c))
+    placed = met.join(place("x", "_cx"), "x").join(place("y", "_cy"), "y")
+    placed = cut_lineage(placed.select(F.least("_cx", "_cy").alias("low"), F.greatest("_cx", "_cy").alias("high"), "x", "y"))
+    sent = placed.select("low", "high", F.explode(F.array("x", "y")).alias("v")).distinct().join(chunks.select("v", "sha256"), "v")
+    held = again(chunks.select("sha256")).join(sent, "sha256")
+    held = held.select("low", "high", F.col("v").alias("x"), F.lit(None).cast("bigint").alias("y"), "runs")
+    rows = held.unionByName(placed.withColumn("runs", F.lit(None).cast("array<bigint>")))
+    rows = rows.repartition("low", "high").sortWithinPartitions("low", "high", F.col("y").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
+        for batch in batches:
+            low, high, xs, ys = (batch.column(i).to_pylist() for i in range(4))
+            at, every = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+            out = []
+            for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+                if block != (low[i], high[i]):
+                    block, sets = (low[i], high[i]), {}
+                if y is None:
+                    sets[x] = np.sort(every[at[i] : at[i + 1]])
+                    continue
+                both = np.concatenate((sets[x], sets[y]))
+                both.sort(kind="stable")  # merges two sorted parts
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                out.append((x, y, shared, len(both) - shared))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["x", "y", "n_shared", "n_all"])
+
+    return rows.mapInArrow(run, "x bigint, y bigint, n_shared int, n_all int")
+
+
+def similar_contents(
+    sets: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, again: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of contents whose run sets have a Jaccard similarity of ``threshold`` or more.
 
     ``members``: sha256, content; contents of equal run sets are one, named by the smallest; a content without runs is its own and
-    similar to none. ``pairs``: a, b (a < b, such names), n_shared, n_all, similarity. ``sets``: sha256, runs. Candidates share a
-    band of their min-wise hashes and are met in the first band they share, so no pair is found twice; their similarity is exact.
+    similar to none. ``pairs``: a, b (a < b, such names), n_shared, n_all, similarity. ``sets``: sha256, runs; a content may come
+    more than once. ``again`` gives the sets of some contents (sha256, each once) anew, each once, for those that work them out with
+    less room than the sets take; without it the sets are written. Candidates share a band of their min-wise hashes, and their
+    sizes allow the similarity, which is then worked out exactly. Steps up to there move a few numbers per content.
     Pairs of one band are an equi-join, which is as large as the similar pairs of different sets are many.
     """
-    ordered = F.sort_array("runs")  # sorts numbers as numbers; array_sort calls a comparator for each pair
-    key = F.when(F.size("runs") > 0, F.concat_ws("/", F.size("runs"), F.xxhash64(ordered), F.xxhash64(F.lit(1), ordered))).otherwise(F.col("sha256"))
-    keyed = cut_lineage(sets.withColumn("_key", key))  # read three times
-    members = keyed.groupBy("_key").agg(F.min("sha256").alias("content"))
-    members = cut_lineage(keyed.select("sha256", "_key").join(members, "_key").select("sha256", "content"))
-    named = keyed.drop("_key").join(members.filter("sha256 = content").select("sha256"), "sha256", "left_semi").filter(F.size("runs") > 0)
-    signed = cut_lineage(_signed(named, bands, rows))
-    banded = signed.select("content", "_bands", F.posexplode("_bands").alias("_band", "_hash"))
-    left = banded.select("_band", "_hash", F.col("content").alias("a"), F.col("_bands").alias("_left"))
-    right = banded.select("_band", "_hash", F.col("content").alias("b"), F.col("_bands").alias("_right"))
-    met = left.join(right, ["_band", "_hash"]).filter("a < b")
-    first = F.array_position(F.zip_with("_left", "_right", lambda x, y: x == y), True) - 1
-    met = cut_lineage(met.filter(F.col("_band") == first).select("a", "b"))
-    # the sets of the contents that have a candidate, once for both sides
-    wanted = met.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    held = signed.select("content", "runs").join(wanted, "content", "left_semi")
-    sets_of = lambda name: held.select(F.col("content").alias(name), F.col("runs").alias(f"_{name}"))
-    both = met.join(sets_of("a"), "a").join(sets_of("b"), "b").withColumn("n_shared", F.size(F.array_intersect("_a", "_b")))
-    both = both.withColumn("n_all", F.size("_a") + F.size("_b") - F.col("n_shared"))
-    pairs = both.withColumn("similarity", F.col("n_shared") / F.col("n_all")).filter(F.col("similarity") >= threshold)
+    if again is None:
+        sets = cut_lineage(sets)
+        again = lambda wanted, written=sets: written.dropDuplicates(["sha256"]).join(wanted, "sha256")
+    signed = cut_lineage(_signed(sets, bands, rows))  # read three times
+    equal = ["n", "key", "check", "_own"]
+    keyed = signed.select("sha256", "n", "key", "check", F.when(F.col("n") > 0, "").otherwise(F.col("sha256")).alias("_own")).distinct()
+    members = keyed.join(keyed.groupBy(*equal).agg(F.min("sha256").alias("content")), equal)
+    members = cut_lineage(members.select("sha256", "content"))
+    named = signed.filter("n > 0").dropDuplicates(["sha256"]).join(members.filter("sha256 = content").select("sha256"), "sha256")
+    # numbers stand for names, which are longer than all else in a row
+    named = cut_lineage(named.select(F.monotonically_increasing_id().alias("id"), F.col("sha256").alias("content"), "n", "bands"))
+    banded = named.select("id", "n", F.explode("bands").alias("_hash"))
+    side = lambda i, n: banded.select("_hash", F.col("id").alias(i), F.col("n").alias(n))
+    met = side("x", "_nx").join(side("y", "_ny"), "_hash").filter("x < y")
+    met = met.filter(F.least("_nx", "_ny") / F.greatest("_nx", "_ny") >= threshold).select("x", "y").distinct()
+    met = cut_lineage(met)
+    called = lambda i, name: named.select(F.col("id").alias(i), F.col("content").alias(name))
+    counted = _counted(met, named.select("id", F.col("content").alias("sha256"), "n"), again)
+    pairs = counted.withColumn("similarity", F.col("n_shared") / F.col("n_all")).filter(F.col("similarity") >= threshold)
+    pairs = pairs.join(called("x", "_x"), "x").join(called("y", "_y"), "y")
+    pairs = pairs.withColumn("a", F.least("_x", "_y")).withColumn("b", F.greatest("_x", "_y"))
     return members, pairs.select("a", "b", "n_shared", "n_all", "similarity")
 
 
-def similar_families(files: DataFrame, threshold: float = 0.8, **runs) -> DataFrame:
-    """Family of each file by similarity, transitively: (rel_path, sha256, family). ``files``: rel_path, sha256, text."""
-    members, pairs = similar_contents(run_sets(files, **runs), threshold)
+def similar_families(files: DataFrame, threshold: float = 0.8, texts: DataFrame | None = None, **runs) -> DataFrame:
+    """Family of each file by similarity, transitively: (rel_path, sha256, family). ``files``: rel_path, sha256, text.
+
+    ``texts`` (sha256, text) has the texts of the files, if they can be read without what else ``files`` is made of.
+    """
+    texts = files if texts is None else texts
+    sets = partial(run_sets, texts, common=common_runs(texts, **runs), **runs)
+    members, pairs = similar_contents(sets(copies=True), threshold, again=lambda wanted: sets(only=wanted))
     nodes = members.select(F.col("content").alias("node")).distinct()
     found = connected_components(nodes, pairs).withColumnsRenamed({"node": "content", "component": "family"})
     return files.select("rel_path", "sha256").join(members, "sha256").join(found, "content").select("rel_path", "sha256", "family")
