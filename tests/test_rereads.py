@@ -1,5 +1,10 @@
 """What several steps read is worked out once."""
 
+import itertools
+import random
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracewright.operators import compat as C
@@ -135,3 +140,19 @@ def test_boilerplate_counts_contents_not_copies(spark):
     assert len(twice) == len(texts) and all(sorted(got[s]) == v for s, v in twice)
     only = files.filter("text = 'a b'").select("sha256")
     assert [r.sha256 for r in ND.run_sets(files, common=common, only=only).collect()] == [only.first()[0]]
+
+
+def test_codes_of_runs(monkeypatch):
+    """Pieces are those of the split, whatever stands between them and wherever the bytes are parted; equal runs have equal codes only."""
+    rng = random.Random(3)
+    parts = ["a", "bb", "é", "漢字", " ", "x\u0085y", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b\f"]
+    texts = ["", " ", "\n", "a\n", "\na", "one", None] + ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)]
+    blank = "[ \t\n\x0b\f\r]+"
+    for unit, k, size in itertools.product(("word", "line"), (1, 3), (1, 40, 1 << 18)):
+        monkeypatch.setattr(ND, "BYTES_AT_ONCE", size)
+        cut = lambda t: [] if not re.sub(blank, "", t or "") else t.split("\n") if unit == "line" else [w for w in re.split(blank, t) if w]
+        want = [(r, i, tuple(p[i : i + k])) for r, t in enumerate(texts) for p in [cut(t)] for i in range(max(1, len(p) - k + 1) if p else 0)]
+        found = [x for part in ND._coded(pa.array(["skipped", *texts])[1:], k, unit) for x in zip(*(c.tolist() for c in part), strict=True)]
+        assert [x[:2] for x in found] == [x[:2] for x in want], (unit, k, size)
+        codes = {(c, w) for (_, _, c), (_, _, w) in zip(found, want, strict=True)}
+        assert len(codes) == len({c for c, _ in codes}) == len({w for _, w in codes})

@@ -25,6 +25,8 @@ CHUNK_CONTENTS, CHUNK_RUNS = 512, 1 << 18
 BOILERPLATE_SHARE, BOILERPLATE_LEAST = 0.05, 10
 # Buckets in which runs are counted, per byte of a mean content: with words of five letters each holds a hundredth of the contents.
 BUCKETS_A_BYTE, LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 12, 1 << 20
+# Bytes that part words, and bytes of texts that are coded at once.
+BLANK, BYTES_AT_ONCE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), 1 << 18
 
 
 def line_shingles(files: DataFrame, k: int = 3) -> DataFrame:
@@ -77,31 +79,127 @@ def _pieces(text: Column, unit: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"[^ \t\n\x0B\f\r]")), pieces).otherwise(F.array().cast("array<string>"))
 
 
+def _run_at(i: Column, k: int) -> Column:
+    """Hash of the run that begins with piece ``i``. It is that of a slice, which is not copied; what lies beyond the end adds nothing."""
+    return F.xxhash64(*[F.get("_pieces", i + j) for j in range(k)])
+
+
 def with_runs(files: DataFrame, k: int, unit: str) -> DataFrame:
     """Add ``runs``: distinct hashes of the runs of ``k`` lines or words of ``text``; one run of all, if it has fewer."""
     cut = compute_once(files, "_pieces", _pieces(F.col("text"), unit))  # a lambda would cut the text again for each run
     last = F.greatest(F.size("_pieces") - k, F.lit(0))
-    # the hash of a slice, which is not copied; what lies beyond the end is null and adds nothing
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("_pieces", i + j) for j in range(k)]))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: _run_at(i, k))
     return cut.withColumn("runs", F.when(F.size("_pieces") > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))).drop("_pieces")
 
 
+def _mixed(runs: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each run (splitmix64 from ``salt`` on), to be added up over a set."""
+    z = runs + np.uint64(salt)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _spans(text: np.ndarray, at: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each piece, in order, as ``_pieces`` cuts them. ``text``: bytes of UTF-8; a row ends where the next begins, ``at``."""
+    solid = ~BLANK[text]
+    edge = np.zeros(len(text) + 1, bool)
+    edge[at] = True
+    starts = np.flatnonzero(solid & (edge[:-1] | np.concatenate(([True], ~solid[:-1]))))
+    rows = np.searchsorted(at, starts, "right") - 1
+    if unit == "word":
+        return rows, starts, np.flatnonzero(solid & (edge[1:] | np.concatenate((~solid[1:], [True])))) + 1
+    rows, breaks = np.unique(rows), np.flatnonzero(text == ord("\n"))
+    of = np.searchsorted(at, breaks, "right") - 1
+    held = np.isin(of, rows)
+    breaks, of = breaks[held], of[held]
+    return np.sort(np.concatenate((rows, of))), np.sort(np.concatenate((at[rows], breaks + 1))), np.sort(np.concatenate((breaks, at[rows + 1])))
+
+
+def _coded(texts: pa.Array, k: int, unit: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, first piece, code) of the runs of texts. Equal runs have equal codes; others may, so a code only tells what may be equal.
+
+    Works on bytes: a piece is the difference of two sums of bytes times powers of a number, brought to the same power.
+    """
+    texts = texts.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    powers = back = np.ones(1, np.uint64)
+    odd, i = 0x9E3779B97F4A7C15, 0
+    while i < len(texts):
+        end = max(i + 1, int(np.searchsorted(at, at[i] + BYTES_AT_ONCE, "right")) - 1)
+        here, text = at[i : end + 1] - at[i], data[at[i] : at[end]]
+        rows, starts, ends = _spans(text, here, unit)
+        if len(powers) <= len(text):
+            n = max(len(text), BYTES_AT_ONCE)
+            one, both = np.ones(1, np.uint64), (odd, pow(odd, -1, 1 << 64))
+            powers, back = (np.cumprod(np.concatenate((one, np.full(n, x, np.uint64))), dtype=np.uint64) for x in both)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text + np.uint64(1)) * powers[: len(text)], dtype=np.uint64)))
+        pieces = _mixed((sums[ends] - sums[starts]) * back[starts], odd)
+        size = np.bincount(rows, minlength=end - i)
+        index = np.arange(len(rows)) - (np.cumsum(size) - size)[rows]
+        size = size[rows]
+        codes = np.zeros(len(rows), np.uint64)
+        for j in range(min(k, len(rows))):
+            n = len(rows) - j
+            codes[:n] += np.where(index[:n] + j < size[:n], pieces[j:] * np.uint64(pow(odd, 2 * j + 1, 1 << 64)), np.uint64(0))
+        first = index <= np.maximum(size - k, 0)
+        yield rows[first] + i, index[first], _mixed(codes[first], odd)
+        i = end
+
+
+def _bucket_counts(texts: DataFrame, k: int, unit: str, buckets: int) -> DataFrame:
+    """(bucket, n): runs of each part of ``texts`` (text) by the bucket of their code."""
+    send_package(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, _, codes in _coded(batch.column(0), k, unit):
+                np.add.at(n, codes & np.uint64(buckets - 1), 1)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], ["bucket", "n"])
+
+    return texts.mapInArrow(run, "bucket bigint, n bigint")
+
+
+def _marked(texts: DataFrame, k: int, unit: str, buckets: int, full: list[int]) -> DataFrame:
+    """(content, text, at): the texts that have runs in the buckets ``full``, and the first pieces of those runs."""
+    send_package(texts.sparkSession)
+    wanted = np.zeros(buckets, bool)
+    wanted[full] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(rows[hit], first[hit]) for rows, first, codes in _coded(batch.column(1), k, unit) for hit in [wanted[codes & np.uint64(buckets - 1)]]]
+            if not found:
+                continue
+            rows, first = (np.concatenate(x) for x in zip(*found, strict=True))
+            rows, n = np.unique(rows, return_counts=True)
+            at = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(first, pa.int32()))
+            held = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), at], ["content", "text", "at"])
+
+    return texts.select("content", "text").mapInArrow(run, "content bigint, text string, at array<int>")
+
+
 def common_runs(
     files: DataFrame, k: int = 5, unit: str = "word", share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_LEAST
 ) -> DataFrame:
     """(run): boilerplate, the runs that more than ``share`` of the contents hold, and at least ``least``. ``files``: sha256, text.
 
     Runs are counted by bucket first, copies as often as they come, so a bucket counts no less than any of its runs; only runs of
-    a bucket that reaches the bounds are exchanged. Buckets follow the length of a content, not the number of contents.
+    a bucket that reaches the bounds are cut and exchanged. Buckets follow the length of a content, not the number of contents.
     """
     sizes = files.groupBy("sha256").agg(F.max(F.octet_length("text")).alias("bytes"))
     total, mean = sizes.agg(F.count(F.lit(1)), F.coalesce(F.avg("bytes"), F.lit(0.0))).first()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(BUCKETS_A_BYTE * mean).bit_length()))
     many = (F.col("n") >= least) & (F.col("n") > total * share)
-    runs = with_runs(files.select("sha256", "text"), k, unit).select(F.xxhash64("sha256").alias("content"), F.explode("runs").alias("run"))
-    runs = runs.withColumn("bucket", F.pmod("run", F.lit(buckets)))
-    full = cut_lineage(runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(many).select("bucket"))
-    held = runs.join(F.broadcast(full), "bucket", "left_semi").select("run", "content").distinct()  # MOST_BUCKETS numbers at most
+    counts = _bucket_counts(files.select("text"), k, unit, buckets).groupBy("bucket").agg(F.sum("n").alias("n"))
+    full = counts.filter(many).agg(F.collect_list("bucket")).first()[0]  # MOST_BUCKETS numbers at most
+    cut = compute_once(_marked(files.select(F.xxhash64("sha256").alias("content"), "text"), k, unit, buckets, full), "_pieces", _pieces(F.col("text"), unit))
+    held = cut.select("content", F.explode(F.transform("at", lambda i: _run_at(i, k))).alias("run")).distinct()
     return cut_lineage(held.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(many).select("run"))
 
 
@@ -124,14 +222,6 @@ def run_sets(
     return sets.select("sha256", F.array_except("runs", "_lost").alias("runs"))
 
 
-def _mixed(runs: np.ndarray, salt: int) -> np.ndarray:
-    """64 bits of each run (splitmix64 from ``salt`` on), to be added up over a set."""
-    z = runs + np.uint64(salt)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def _signed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     """(sha256, n, key, check, bands) of every set: its size, two sums of hashes that equal sets share, and, by band, the least of
     its hashes under each of bands x rows multiplicative hash functions.
